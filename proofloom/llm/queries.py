@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op3_language_id
+from .licenses import op2_license_scan
 from .wavelet import op1_wavelet_shards
 
 
@@ -17,6 +19,8 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
+    "op2_license_scan": op2_license_scan,
+    "op3_language_id": op3_language_id,
 }
 
 ORACLE: dict[str, str] = {}
