@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op3_language_id
 from .licenses import op2_license_scan
+from .pseudonyms import op4_pseudonyms
 from .wavelet import op1_wavelet_shards
 
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_shards": op1_wavelet_shards,
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
+    "op4_pseudonyms": op4_pseudonyms,
 }
 
 ORACLE: dict[str, str] = {}
