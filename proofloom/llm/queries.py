@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op3_language_id
 from .licenses import op2_license_scan
+from .mixing import OP8_SQL, op8_mixing
 from .pseudonyms import op4_pseudonyms
 from .wavelet import op1_wavelet_shards
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_pseudonyms": op4_pseudonyms,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL}
