@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op7_jaccard_join
 from .language import op3_language_id
 from .licenses import op2_license_scan
 from .mixing import OP8_SQL, op8_mixing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_pseudonyms": op4_pseudonyms,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
 }
 
