@@ -10,7 +10,9 @@ from .jaccard import op7_jaccard_join
 from .language import op3_language_id
 from .licenses import op2_license_scan
 from .mixing import OP8_SQL, op8_mixing
+from .packing import op6_packing
 from .pseudonyms import op4_pseudonyms
+from .vectors import op9_topk_search, op10_embedding_dedup
 from .wavelet import op1_wavelet_shards
 
 
@@ -25,8 +27,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_pseudonyms": op4_pseudonyms,
+    "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
+    "op9_topk_search": op9_topk_search,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL}
