@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import op7_jaccard_join
 from .language import op3_language_id
 from .licenses import op2_license_scan
+from .lines import op5_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op6_packing
 from .pseudonyms import op4_pseudonyms
@@ -27,11 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_topk_search": op9_topk_search,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "pipeline": _pipeline,
 }
 
 ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL}
