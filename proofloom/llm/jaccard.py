@@ -19,10 +19,12 @@ their rows in one component; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,10 @@ BITMAP_WORDS = 4
 TILE = 256
 #: Rounds that join tiles through representatives before pairs are compared.
 STAR_ROUNDS = 2
+#: Postings that a bucket should hold, and that a task holds before it packs them.
+BUCKET, FLUSH = 100_000, 1_000_000
+#: Bits of the bitmap that tells which documents' sets are needed.
+WANTED_LOG2 = 23
 
 _U = np.uint64
 
@@ -55,20 +61,30 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def bin_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents' shingles counted in 2**BINS_LOG2 bins; the driver gets one fixed-size array."""
+def _first_pass(size: int):
+    """Rows of two kinds: doc_id, n, node of each document; and k, part with the task's counts of shingles by bin."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BINS_LOG2, np.int64)
         for batch in batches:
             data, at = common.string_buffers(batch.column("text"))
+            n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for i, j in common.chunks(at):
-                value, _ = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
+                value, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 total += np.bincount((value >> _U(64 - BINS_LOG2)).astype(np.int64), minlength=len(total))
+                n[i:j], node[i:j] = np.diff(rows_at), _nodes(value, rows_at)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "node", "k", "part"])
         for k in range(0, len(total), 1 << 14):
             part = total[k : k + (1 << 14)]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.minimum(part, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["k", "part"])
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int64()), pa.array([np.minimum(part, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["doc_id", "n", "node", "k", "part"])
+
+    return run
+
+
+def bin_order(first: DataFrame) -> np.ndarray:
+    """Magnitudes of the shingle counts in 2**BINS_LOG2 bins: one fixed-size array for the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -76,25 +92,19 @@ def bin_counts(docs: DataFrame, size: int) -> np.ndarray:
             for k, part in zip(batch.column("k").to_pylist(), batch.column("part"), strict=True):
                 sums[k] = sums.get(k, 0) + np.frombuffer(part.as_py(), "<i4").astype(np.int64)
         for k, v in sums.items():
-            # only the magnitude orders shingles
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.ceil(8 * np.log2(v + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["k", "part"])
 
     out = np.zeros(1 << BINS_LOG2, np.uint8)
-    parts = docs.mapInArrow(count, "k long, part binary").repartition(16, "k").mapInArrow(add, "k long, part binary")
-    for row in parts.collect():
+    for row in first.where("k is not null").select("k", "part").repartition(16, "k").mapInArrow(add, "k long, part binary").collect():
         out[row.k : row.k + (1 << 14)] = np.frombuffer(row.part, np.uint8)
     return out
 
 
-def _fold(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each row's set."""
-    out = []
-    for salt in (1, 2):
-        h = words.mix(values + _U(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        total = np.zeros(len(values) + 1, _U)
-        np.cumsum(h, out=total[1:])
-        out.append(words.mix(total[at[1:]] - total[at[:-1]] + _U(salt)))
-    return out[0], out[1]
+def _nodes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's set; equal sets are one node."""
+    total = np.zeros(len(values) + 1, _U)
+    np.cumsum(words.mix(values + _U(0x9E3779B97F4A7C15)), out=total[1:])
+    return words.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(_U)).view(np.int64)
 
 
 def _signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -106,39 +116,117 @@ def _signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(flags, axis=1, bitorder="little")
 
 
-def _scan(order: np.ndarray, size: int, percent: int):
+def _postings(order: np.ndarray, size: int, percent: int, buckets: int):
+    """Each document's first shingles as packed arrays by bucket of shingles: 40 bits of a shingle and the doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def flush() -> pa.RecordBatch:
+            value, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            bucket = ((value >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            value, doc, bucket = value[by], doc[by], bucket[by]
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            press = zstandard.ZstdCompressor(level=1)
+            packed = []
+            for a, b in zip(starts, [*starts[1:], len(value)], strict=True):
+                low = value[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                # documents stand in the order they were read, so their differences are short
+                ids = press.compress(np.diff(doc[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes())
+                packed.append(struct.pack("<I", b - a) + low + ids)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
         for batch in batches:
             data, at = common.string_buffers(batch.column("text"))
+            doc_ids = batch.column("doc_id").to_numpy()
             for i, j in common.chunks(at):
                 values, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 n = np.diff(rows_at)
-                h1, h2 = _fold(values, rows_at)
                 owner = np.repeat(np.arange(j - i), n)
                 rank = np.lexsort((values, order[(values >> _U(64 - BINS_LOG2)).astype(np.int64)], owner))
-                place = np.arange(len(values)) - rows_at[owner]
-                length = np.where(n > 0, _prefix_length(n, percent), 0)
-                chosen = values[rank][place < length[owner]]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(chosen.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["doc_id", "n", "h1", "h2", "prefix"])
+                first = np.arange(len(values)) - rows_at[owner] < _prefix_length(n, percent)[owner]
+                held.append((values[rank][first], doc_ids[i:j][owner[first]]))
+                n_held += int(first.sum())
+                if n_held >= FLUSH:
+                    yield flush()
+                    n_held = 0
+        if n_held:
+            yield flush()
 
     return run
 
 
-def _with_sets(size: int):
+def _shared(key: tuple, table: pa.Table) -> pa.Table:
+    """The postings of a bucket's shingles that more than one row has."""
+    values, docs = [], []
+    for packed in table.column("packed"):
+        raw = packed.as_py()
+        n = struct.unpack_from("<I", raw)[0]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(n, 5)
+        values.append(wide.view("<i8").ravel())
+        docs.append(np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + 5 * n :]), np.uint8).reshape(8, n).T.copy().view("<i8").ravel()))
+    value, doc = np.concatenate(values), np.concatenate(docs)
+    order = np.argsort(value, kind="stable")
+    value, doc = value[order], doc[order]
+    same = np.zeros(len(value) + 1, bool)
+    same[1:-1] = value[1:] == value[:-1]
+    several = same[1:] | same[:-1]
+    return pa.table({"shingle": pa.array(value[several] | (int(key[0].as_py()) << 40)), "doc_id": pa.array(doc[several])})
+
+
+def _with_sets(size: int, wanted: np.ndarray):
+    """node, members, marks of the documents whose doc_id hits the bitmap `wanted`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bit = _bit(batch.column("doc_id").to_numpy())
+            batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             data, at = common.string_buffers(batch.column("text"))
             for i, j in common.chunks(at):
                 values, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 raw = values.tobytes()
                 sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(rows_at[:-1], rows_at[1:], strict=True)], pa.binary())
                 marks = pa.array([m.tobytes() for m in _signatures(values, rows_at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), sets, marks], names=["id", "members", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, rows_at)), pa.array(np.diff(rows_at).astype(np.int64)), sets, marks], names=["id", "n", "members", "marks"])
 
     return run
 
 
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (words.mix(ids.view(_U)) >> _U(64 - WANTED_LOG2)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2**WANTED_LOG2 bits that every id of the one-column frame hits: a filter of fixed size."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << (WANTED_LOG2 - 3), np.uint8)
+        for batch in batches:
+            bit = _bit(batch.column(0).to_numpy())
+            np.bitwise_or.at(flags, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+        step = 1 << (WANTED_LOG2 - 7)
+        for k in range(0, len(flags), step):
+            if flags[k : k + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([flags[k : k + step].tobytes()], pa.binary())], names=["k", "part"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column("k").to_pylist(), batch.column("part"), strict=True):
+                parts[k] = parts.get(k, np.uint8(0)) | np.frombuffer(part.as_py(), np.uint8)
+        for k, v in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["k", "part"])
+
+    out = np.zeros(1 << (WANTED_LOG2 - 3), np.uint8)
+    for row in ids.mapInArrow(mark, "k long, part binary").repartition(16, "k").mapInArrow(join, "k long, part binary").collect():
+        out[row.k : row.k + len(row.part)] = np.frombuffer(row.part, np.uint8)
+    return out
+
+
 def overlap_reaches(a: bytes, b: bytes, percent: int) -> bool:
     """Whether the sets (sorted unsigned 64-bit arrays) reach the similarity, by exact intersection."""
     x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
@@ -159,25 +247,34 @@ def _bound_reaches(n1: int, n2: int, m1: bytes, m2: bytes, percent: int) -> bool
     return 100 * both >= percent * (n1 + n2 - both)
 
 
-def _verify(percent: int):
+def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(k) for k in range(batch.num_columns)]
-            keep = []
-            for k in range(batch.num_rows):
-                s1, s2, m1, m2 = (cols[c][k].as_py() for c in (2, 3, 4, 5))
-                keep.append(_bound_reaches(len(s1) // 8, len(s2) // 8, m1, m2, percent) and overlap_reaches(s1, s2, percent))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "m1", "m2")), strict=True)
+            kept = batch.filter(pa.array([_bound_reaches(*r, percent) for r in rows], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return run
+
+
+def _exact(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s1, s2 = batch.column("s1"), batch.column("s2")
+            kept = batch.filter(pa.array([overlap_reaches(s1[k].as_py(), s2[k].as_py(), percent) for k in range(len(batch))], pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return run
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity; sets has (id, members, marks)."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("s1"), F.col("marks").alias("m1"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("s2"), F.col("marks").alias("m2"))
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "s1", "s2", "m1", "m2").mapInArrow(_verify(percent), "a long, b long")
+    """The pairs (a, b) that reach the similarity; sets has (id, n, members, marks). Bitmaps first, then exact intersection."""
+    for k in "12":
+        pairs = pairs.join(sets.select(F.col("id").alias("ab"[int(k) - 1]), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}")), "ab"[int(k) - 1])
+    passed = pairs.select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_bounded(percent), "a long, b long")
+    left = sets.select(F.col("id").alias("a"), F.col("members").alias("s1"))
+    right = sets.select(F.col("id").alias("b"), F.col("members").alias("s2"))
+    return passed.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(_exact(percent), "a long, b long")
 
 
 def _band(n) -> F.Column:
@@ -196,23 +293,27 @@ def _roots(ids: DataFrame, found: DataFrame) -> DataFrame:
 
 def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
-    common.text_batches(spark)
+    common.text_batches(docs.sparkSession)
     texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    order = bin_counts(texts, size)
-    scanned = common.cut(texts.mapInArrow(_scan(order, size, percent), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "prefixes")
-
-    # classes of equal sets; the smallest doc_id stands for each
-    some = scanned.where("n > 0")
-    classes = common.cut(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
-    entries = classes.select("id", "n", F.explode("prefix").alias("shingle"))
-    shared = entries.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle").hint("shuffle_hash")
-    tiles = common.cut(entries.join(shared, "shingle").select("shingle", "id", "n"), "tiles")
-
-    wanted = tiles.select(F.col("id")).distinct()
-    sets = common.cut(
-        texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_with_sets(size), "id long, members binary, marks binary"), "sets"
-    )
+    known = texts.where("doc_id is not null")
+    first = common.cut(texts.mapInArrow(_first_pass(size), "doc_id long, n long, node long, k long, part binary"), "shingles")
+    order = bin_order(first)
+    own = first.where("k is null").select("doc_id", "n", "node")
+    some = own.where("n > 0 and doc_id is not null")
+    # nodes are classes of equal sets; the smallest doc_id stands for each
+    nodes = common.cut(some.groupBy("node").agg(F.min("doc_id").alias("first_doc")), "nodes")
+
+    n_shingles = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(16, min(1 << 20, n_shingles // (5 * BUCKET)))
+    postings = known.mapInArrow(_postings(order, size, percent, buckets), "bucket long, packed binary")
+    shared = postings.groupBy("bucket").applyInArrow(_shared, "shingle long, doc_id long")
+    by_node = shared.join(some, "doc_id").select("shingle", F.col("node").alias("id"), "n").distinct()
+    by_node = common.cut(by_node, "postings")
+    several = by_node.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle").hint("shuffle_hash")
+    tiles = common.cut(by_node.join(several, "shingle"), "tiles")
+
+    wanted = nodes.join(tiles.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("first_doc")
+    sets = common.cut(known.mapInArrow(_with_sets(size, id_bitmap(wanted)), "id long, n long, members binary, marks binary"), "sets")
     found = None
     labelled = tiles.withColumn("root", F.col("id"))
     for turn in range(STAR_ROUNDS):
@@ -222,25 +323,23 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         heads = banded.groupBy("shingle", "band").agg(F.min_by(F.struct("id", "n", "root"), by).alias("head"))
         meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("head.root").alias("ra"))
         pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), percent))
-        new = common.cut(links(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), sets, percent), "links")
+        new = common.cut(links(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), sets, percent), "links")
         found = new if found is None else found.unionByName(new)
-        labelled = common.cut(_relabel(tiles, found), "labelled")
         # tiles within one component are done
+        labelled = _roots(tiles, found).select("shingle", "id", "n", "root")
         open_ = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
         labelled = common.cut(labelled.join(open_, "shingle", "left_semi"), "open")
         if labelled.isEmpty():
             break
     else:
-        # what is left: all pairs of open tiles in different components, in parts of TILE classes
-        new = common.cut(links(_open_pairs(labelled, sets, percent), sets, percent), "links")
+        # what is left: all pairs of open tiles in different components, in parts of TILE nodes
+        new = common.cut(links(_open_pairs(labelled, sets, percent).distinct(), sets, percent), "links")
         found = found.unionByName(new)
-    of_class = _roots(classes.select("id", "h1", "h2"), found).select("h1", "h2", "root")
-    own = scanned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.col("h2"))
-    return own.join(of_class, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-
-
-def _relabel(tiles: DataFrame, found: DataFrame) -> DataFrame:
-    return _roots(tiles, found).select("shingle", "id", "n", "root")
+    rooted = common.cut(_roots(nodes.withColumnRenamed("node", "id"), found).select("id", "first_doc", "root"), "roots")
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    of_node = rooted.join(least, "root").select(F.col("id").alias("node"), "component_id")
+    out = own.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
+    return out.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _open_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
