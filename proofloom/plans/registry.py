@@ -8,3 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, upto: str = "fixture"):
+    """Registers a function of a Register under its name; sql is the oracle's own part (see oracle.sql)."""
+    from .oracle import sql as whole
+    from .register import Register
+
+    def add(f: Callable[[Register], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Register(spark, sf_dir))
+        if sql is not None:
+            ORACLE[f.__name__] = whole(sql, upto)
+        return f
+
+    return add
+
+
+from . import grading, history, published, texts  # noqa: E402, F401
