@@ -74,10 +74,10 @@ def daily_windows(r: Register) -> DataFrame:
 
 
 @query("""gaps as (select *, case when started_at - lag(started_at) over (partition by agent order by started_at, run_id) < interval 30 minutes then 0 else 1 end as opens from agent_run), numbered as (select *, sum(opens) over (partition by agent order by started_at, run_id rows unbounded preceding) as session from gaps)
-=> select agent, epoch_ms(min(started_at)) as started_ms, count(*) as runs, sum(emitted)::bigint as emitted from numbered group by agent, session""")
+=> select agent, strftime(min(started_at), '%Y-%m-%d %H:%M:%S') as started, count(*) as runs, sum(emitted)::bigint as emitted from numbered group by agent, session""")
 def agent_sessions(r: Register) -> DataFrame:
     s = r.table("agent_run").groupBy("agent", F.session_window("started_at", "30 minutes")).agg(F.count("*").alias("runs"), F.sum("emitted").alias("emitted"))
-    return s.select("agent", F.unix_millis(F.col("session_window.start").cast("timestamp")).alias("started_ms"), "runs", "emitted")
+    return s.select("agent", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "runs", "emitted")
 
 
 @query("=> select agent, arg_max(run_id, run_id) as last_run, arg_max(emitted, run_id) as last_emitted from agent_run group by 1")
