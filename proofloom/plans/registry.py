@@ -24,4 +24,4 @@ def query(sql: str | None = None, upto: str = "fixture"):
     return add
 
 
-from . import grading, history, published, texts  # noqa: E402, F401
+from . import grading, history, published, texts, wider  # noqa: E402, F401
