@@ -76,3 +76,17 @@ def streamed_daily_counts(r: Register) -> DataFrame:
 @query("=> select user_id, arg_max(event_type, event_id) as last_type, max(event_id) as last_event, count(*) as events from events group by 1")
 def streamed_latest_state(r: Register) -> DataFrame:
     return windows.latest_state(r.spark, r.sf_dir)
+
+
+@query("=> select membership, count(*) as n, sum(signed_weight)::bigint as weight from obs group by 1", "obs")
+def streamed_membership(r: Register) -> DataFrame:
+    from ..streaming import register as streams
+
+    return streams.membership(r.spark, r.sf_dir).groupBy("membership").agg(F.count("*").alias("n"), F.sum("signed_weight").alias("weight"))
+
+
+@query("=> select a.user_id, a.event_id as lead_id, b.event_id as receipt_id from events a join events b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'purchase' and b.ts >= a.ts and b.ts <= a.ts + interval 1 hour")
+def streamed_leads_with_receipts(r: Register) -> DataFrame:
+    from ..streaming import register as streams
+
+    return streams.leads_with_receipts(r.spark, r.sf_dir, "view", "purchase")
