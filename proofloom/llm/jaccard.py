@@ -4,7 +4,7 @@ A document's set is the hashes of its different word shingles. Documents with th
 class. Classes meet in tiles: those of one rare shingle and neighbouring size bands. If two sets
 reach the similarity t, they share one of the first n - ceil(t n) + 1 shingles of either in any
 fixed order, so each set enters only the tiles of its first shingles, rarest first. The order comes
-from counts of all shingles in 2**20 bins (a fixed size, whatever the input); it decides how much
+from counts of all shingles in 2**BINS_LOG2 bins (a fixed size, whatever the input); it decides how much
 work there is, never the result. Within a tile sizes and bit counts of bitmap signatures bound the
 overlap from above, and what passes is decided by exact intersection of sorted arrays.
 
@@ -34,9 +34,9 @@ from .components import components
 SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 80
-BINS_LOG2 = 20
-#: Words of 64 bits in a bitmap signature.
-BITMAP_WORDS = 4
+BINS_LOG2 = 22
+#: Least bits of a bitmap signature; larger sets have at least two bits a member.
+LEAST_BITS = 256
 #: A tile part holds so many classes at most.
 TILE = 256
 #: Rounds that join tiles through representatives before pairs are compared.
@@ -65,20 +65,20 @@ def _first_pass(size: int):
     """Rows of two kinds: doc_id, n, node of each document; and k, part with the task's counts of shingles by bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BINS_LOG2, np.int64)
+        total = np.zeros(1 << BINS_LOG2, np.int32)
         for batch in batches:
             data, at = common.string_buffers(batch.column("text"))
             n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for i, j in common.chunks(at):
                 value, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                total += np.bincount((value >> _U(64 - BINS_LOG2)).astype(np.int64), minlength=len(total))
+                np.add.at(total, (value >> _U(64 - BINS_LOG2)).astype(np.int64), 1)
                 n[i:j], node[i:j] = np.diff(rows_at), _nodes(value, rows_at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "node", "k", "part"])
         for k in range(0, len(total), 1 << 14):
             part = total[k : k + (1 << 14)]
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int64()), pa.array([np.minimum(part, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["doc_id", "n", "node", "k", "part"])
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int64()), pa.array([np.minimum(part, 2**16 - 1).astype("<u2").tobytes()], pa.binary())], names=["doc_id", "n", "node", "k", "part"])
 
     return run
 
@@ -90,7 +90,7 @@ def bin_order(first: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column("k").to_pylist(), batch.column("part"), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_py(), "<i4").astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_py(), "<u2").astype(np.int64)
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.ceil(8 * np.log2(v + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["k", "part"])
 
@@ -107,13 +107,24 @@ def _nodes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return words.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(_U)).view(np.int64)
 
 
-def _signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bitmap signatures, one row a set: a bit for each member's hash."""
-    rows, bits = len(at) - 1, 64 * BITMAP_WORDS
-    owner = np.repeat(np.arange(rows), np.diff(at))
-    flags = np.zeros((rows, bits), bool)
-    flags[owner, (words.mix(values) >> _U(32)).astype(np.int64) % bits] = True
-    return np.packbits(flags, axis=1, bitorder="little")
+def _signatures(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Bitmap signatures of rows: a bit for each member's hash, in a power of two of bits."""
+    n = np.diff(at)
+    width = np.maximum(LEAST_BITS, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(len(n)), n)
+    flags = np.zeros(start[-1], bool)
+    flags[start[owner] + (words.mix(values) & (width[owner] - 1).astype(_U)).astype(np.int64)] = True
+    raw = np.packbits(flags, bitorder="little").tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(start[:-1], start[1:], strict=True)]
+
+
+def _fold(marks: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (last axis, 64-bit words) narrowed to size words."""
+    while marks.shape[-1] > size:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] | marks[..., half:]
+    return marks
 
 
 def _postings(order: np.ndarray, size: int, percent: int, buckets: int):
@@ -178,8 +189,8 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"shingle": pa.array(value[several] | (int(key[0].as_py()) << 40)), "doc_id": pa.array(doc[several])})
 
 
-def _with_sets(size: int, wanted: np.ndarray):
-    """node, members, marks of the documents whose doc_id hits the bitmap `wanted`."""
+def _describe(size: int, wanted: np.ndarray, exact: bool):
+    """id, n and members (exact) or marks of the documents whose doc_id hits the bitmap `wanted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,14 +199,20 @@ def _with_sets(size: int, wanted: np.ndarray):
             data, at = common.string_buffers(batch.column("text"))
             for i, j in common.chunks(at):
                 values, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                raw = values.tobytes()
-                sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(rows_at[:-1], rows_at[1:], strict=True)], pa.binary())
-                marks = pa.array([m.tobytes() for m in _signatures(values, rows_at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, rows_at)), pa.array(np.diff(rows_at).astype(np.int64)), sets, marks], names=["id", "n", "members", "marks"])
+                raw = values.tobytes() if exact else b""
+                what = [raw[8 * a : 8 * b] for a, b in zip(rows_at[:-1], rows_at[1:], strict=True)] if exact else _signatures(values, rows_at)
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, rows_at)), pa.array(np.diff(rows_at).astype(np.int64)), pa.array(what, pa.binary())], names=["id", "n", "members" if exact else "marks"])
 
     return run
 
 
+def described(known: DataFrame, nodes: DataFrame, ids: DataFrame, size: int, exact: bool) -> DataFrame:
+    """Sets or signatures of at least the nodes in ids, made anew from the texts of their first documents."""
+    wanted = nodes.join(ids.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("first_doc")
+    kind = "members" if exact else "marks"
+    return common.cut(known.mapInArrow(_describe(size, id_bitmap(wanted), exact), f"id long, n long, {kind} binary"), kind)
+
+
 def _bit(ids: np.ndarray) -> np.ndarray:
     return (words.mix(ids.view(_U)) >> _U(64 - WANTED_LOG2)).astype(np.int64)
 
@@ -242,6 +259,7 @@ def overlap_reaches(a: bytes, b: bytes, percent: int) -> bool:
 def _bound_reaches(n1: int, n2: int, m1: bytes, m2: bytes, percent: int) -> bool:
     """Whether the bitmaps leave room for the similarity: a bit that only one set has stands for at least one member that the other lacks."""
     x, y = np.frombuffer(m1, _U), np.frombuffer(m2, _U)
+    x, y = _fold(x, min(len(x), len(y))), _fold(y, min(len(x), len(y)))
     only1, only2 = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
     both = min(n1 - only1, n2 - only2)
     return 100 * both >= percent * (n1 + n2 - both)
@@ -267,14 +285,19 @@ def _exact(percent: int):
     return run
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity; sets has (id, n, members, marks). Bitmaps first, then exact intersection."""
-    for k in "12":
-        pairs = pairs.join(sets.select(F.col("id").alias("ab"[int(k) - 1]), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}")), "ab"[int(k) - 1])
-    passed = pairs.select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_bounded(percent), "a long, b long")
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("s1"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("s2"))
-    return passed.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(_exact(percent), "a long, b long")
+def bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave room for the similarity."""
+    for k, end in enumerate("ab", 1):
+        pairs = pairs.join(marks.select(F.col("id").alias(end), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}")), end)
+    return pairs.select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_bounded(percent), "a long, b long")
+
+
+def links(pairs: DataFrame, known: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity by exact intersection; pairs is a written table."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = described(known, nodes, ends, size, True)
+    left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("s1")), sets.select(F.col("id").alias("b"), F.col("members").alias("s2"))
+    return common.cut(pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(_exact(percent), "a long, b long"), "links")
 
 
 def _band(n) -> F.Column:
@@ -312,18 +335,20 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     several = by_node.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle").hint("shuffle_hash")
     tiles = common.cut(by_node.join(several, "shingle"), "tiles")
 
-    wanted = nodes.join(tiles.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("first_doc")
-    sets = common.cut(known.mapInArrow(_with_sets(size, id_bitmap(wanted)), "id long, n long, members binary, marks binary"), "sets")
-    found = None
+    marks = described(known, nodes, tiles, size, False)
+    found = tried = None
     labelled = tiles.withColumn("root", F.col("id"))
     for turn in range(STAR_ROUNDS):
-        # one representative a tile and size band: the least id, then others by hash; it meets its own band and the next
-        by = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        # one representative a tile and size band: the least id, then another one in each tile; it meets its own band and the next
+        by = F.col("id") if turn == 0 else F.xxhash64("id", "shingle", F.lit(turn))
         banded = labelled.withColumn("band", _band(F.col("n")))
         heads = banded.groupBy("shingle", "band").agg(F.min_by(F.struct("id", "n", "root"), by).alias("head"))
         meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("head.root").alias("ra"))
         pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), percent))
-        new = common.cut(links(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), sets, percent), "links")
+        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        pairs = common.cut(bounded(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), marks, percent), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = links(pairs, known, nodes, size, percent)
         found = new if found is None else found.unionByName(new)
         # tiles within one component are done
         labelled = _roots(tiles, found).select("shingle", "id", "n", "root")
@@ -333,8 +358,8 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
             break
     else:
         # what is left: all pairs of open tiles in different components, in parts of TILE nodes
-        new = common.cut(links(_open_pairs(labelled, sets, percent).distinct(), sets, percent), "links")
-        found = found.unionByName(new)
+        pairs = common.cut(_open_pairs(labelled, marks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = found.unionByName(links(pairs, known, nodes, size, percent))
     rooted = common.cut(_roots(nodes.withColumnRenamed("node", "id"), found).select("id", "first_doc", "root"), "roots")
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_node = rooted.join(least, "root").select(F.col("id").alias("node"), "component_id")
@@ -342,14 +367,14 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     return out.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _open_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(labelled: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs of a tile in different components whose sizes and bitmaps leave room for a link.
 
     A tile's classes are dealt into parts of about TILE by size; a part meets itself and the others, each
     pair of parts in one task, where bit counts decide before any pair is emitted.
     """
     counts = labelled.groupBy("shingle").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / TILE)).cast("int").alias("parts"))
-    dealt = labelled.join(counts, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(sets.select("id", "marks"), "id")
+    dealt = labelled.join(counts, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(marks.select("id", "marks").dropDuplicates(["id"]), "id")
     row = F.struct("id", "n", "root", "marks")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
     spread = dealt.withColumn("meet", F.explode(meets)).select("shingle", "meet", "part", row.alias("row"))
@@ -361,20 +386,22 @@ def _open_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows").to_pylist(), strict=True):
                 part = np.array([r["part"] for r in rows])
                 ids, n, root = (np.array([r["row"][k] for r in rows], np.int64) for k in ("id", "n", "root"))
-                marks = np.frombuffer(b"".join(r["row"]["marks"] for r in rows), _U).reshape(len(rows), -1)
+                marks = [np.frombuffer(r["row"]["marks"], _U) for r in rows]
+                width = np.array([len(m) for m in marks])
+                # for each width the bitmaps of the rows that have it, or twice it
+                at_width = {int(w): {int(k): _fold(marks[k], int(w)) for k in np.flatnonzero((width == w) | (width == 2 * w))} for w in np.unique(width)}
                 ones, others = np.flatnonzero(part == i), np.flatnonzero(part == j)
                 for k in ones:
                     o = others[(root[others] != root[k]) & (np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent)]
                     if i == j:
                         o = o[o > k]
-                    if not len(o):
-                        continue
-                    only1 = np.bitwise_count(marks[k] & ~marks[o]).sum(axis=1, dtype=np.int64)
-                    only2 = np.bitwise_count(marks[o] & ~marks[k]).sum(axis=1, dtype=np.int64)
-                    both = np.minimum(n[k] - only1, n[o] - only2)
-                    ok = o[100 * both >= percent * (n[k] + n[o] - both)]
-                    out_a += np.minimum(ids[k], ids[ok]).tolist()
-                    out_b += np.maximum(ids[k], ids[ok]).tolist()
+                    for w in np.unique(np.minimum(width[o], width[k])):
+                        mine = o[np.minimum(width[o], width[k]) == w]
+                        x, y = at_width[int(w)][int(k)], np.stack([at_width[int(w)][int(q)] for q in mine])
+                        both = np.minimum(n[k] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[mine] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                        ok = mine[100 * both >= percent * (n[k] + n[mine] - both)]
+                        out_a += np.minimum(ids[k], ids[ok]).tolist()
+                        out_b += np.maximum(ids[k], ids[ok]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     grouped = spread.groupBy("shingle", F.col("meet.i").alias("i"), F.col("meet.j").alias("j")).agg(F.collect_list(F.struct("part", "row")).alias("rows"))
