@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evidence, graph, score
+from ..operators.shared import cut
 from ..sources import fixture
 
 
@@ -30,7 +31,8 @@ class Register:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return score.gather(self.table("proposition"), self.observations, self.roots, self.table("profile"))
+        """Written once: grading reads the observations six times and this table twice."""
+        return cut(score.gather(self.table("proposition"), cut(self.observations, "observations"), self.roots, self.table("profile")), "wide")
 
     @cached_property
     def first_grades(self) -> DataFrame:
