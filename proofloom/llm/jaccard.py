@@ -35,7 +35,7 @@ SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 80
 BINS_LOG2 = 22
-#: Least bits of a bitmap signature; larger sets have at least two bits a member.
+#: Least bits of a bitmap signature; larger sets have at least four bits a member.
 LEAST_BITS = 256
 #: A tile part holds so many classes at most.
 TILE = 256
@@ -110,7 +110,7 @@ def _nodes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _signatures(values: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Bitmap signatures of rows: a bit for each member's hash, in a power of two of bits."""
     n = np.diff(at)
-    width = np.maximum(LEAST_BITS, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    width = np.maximum(LEAST_BITS, 4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     start = np.concatenate([[0], np.cumsum(width)])
     owner = np.repeat(np.arange(len(n)), n)
     flags = np.zeros(start[-1], bool)
@@ -128,25 +128,25 @@ def _fold(marks: np.ndarray, size: int) -> np.ndarray:
 
 
 def _postings(order: np.ndarray, size: int, percent: int, buckets: int):
-    """Each document's first shingles as packed arrays by bucket of shingles: 40 bits of a shingle and the doc_id."""
+    """Each document's first shingles as packed arrays by bucket of shingles: 40 bits of a shingle, the doc_id and the shingle's place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n_held = 0
 
         def flush() -> pa.RecordBatch:
-            value, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            value, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             bucket = ((value >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            value, doc, bucket = value[by], doc[by], bucket[by]
+            value, doc, pos, bucket = value[by], doc[by], pos[by], bucket[by]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             press = zstandard.ZstdCompressor(level=1)
             packed = []
             for a, b in zip(starts, [*starts[1:], len(value)], strict=True):
                 low = value[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                 # documents stand in the order they were read, so their differences are short
-                ids = press.compress(np.diff(doc[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes())
+                ids = press.compress(np.diff(doc[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() + pos[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
                 packed.append(struct.pack("<I", b - a) + low + ids)
             return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
@@ -158,8 +158,9 @@ def _postings(order: np.ndarray, size: int, percent: int, buckets: int):
                 n = np.diff(rows_at)
                 owner = np.repeat(np.arange(j - i), n)
                 rank = np.lexsort((values, order[(values >> _U(64 - BINS_LOG2)).astype(np.int64)], owner))
-                first = np.arange(len(values)) - rows_at[owner] < _prefix_length(n, percent)[owner]
-                held.append((values[rank][first], doc_ids[i:j][owner[first]]))
+                place = np.arange(len(values)) - rows_at[owner]
+                first = place < _prefix_length(n, percent)[owner]
+                held.append((values[rank][first], doc_ids[i:j][owner[first]], place[first]))
                 n_held += int(first.sum())
                 if n_held >= FLUSH:
                     yield flush()
@@ -172,21 +173,23 @@ def _postings(order: np.ndarray, size: int, percent: int, buckets: int):
 
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """The postings of a bucket's shingles that more than one row has."""
-    values, docs = [], []
+    values, docs, places = [], [], []
     for packed in table.column("packed"):
         raw = packed.as_py()
         n = struct.unpack_from("<I", raw)[0]
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(n, 5)
         values.append(wide.view("<i8").ravel())
-        docs.append(np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + 5 * n :]), np.uint8).reshape(8, n).T.copy().view("<i8").ravel()))
-    value, doc = np.concatenate(values), np.concatenate(docs)
+        rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + 5 * n :]), np.uint8)
+        docs.append(np.cumsum(rest[: 8 * n].reshape(8, n).T.copy().view("<i8").ravel()))
+        places.append(rest[8 * n :].reshape(4, n).T.copy().view("<u4").ravel())
+    value, doc, pos = np.concatenate(values), np.concatenate(docs), np.concatenate(places)
     order = np.argsort(value, kind="stable")
-    value, doc = value[order], doc[order]
+    value, doc, pos = value[order], doc[order], pos[order]
     same = np.zeros(len(value) + 1, bool)
     same[1:-1] = value[1:] == value[:-1]
     several = same[1:] | same[:-1]
-    return pa.table({"shingle": pa.array(value[several] | (int(key[0].as_py()) << 40)), "doc_id": pa.array(doc[several])})
+    return pa.table({"shingle": pa.array(value[several] | (int(key[0].as_py()) << 40)), "doc_id": pa.array(doc[several]), "pos": pa.array(pos[several].astype(np.int32))})
 
 
 def _describe(size: int, wanted: np.ndarray, exact: bool):
@@ -305,8 +308,9 @@ def _band(n) -> F.Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
 
 
-def _feasible(n1, n2, percent: int):
-    return (F.least(n1, n2) * 100) >= (F.greatest(n1, n2) * percent)
+def _feasible(n1, n2, left, percent: int):
+    """Whether sets of these sizes can reach the similarity if they have no more than `left` members in common."""
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (left * (100 + percent) >= (n1 + n2) * percent)
 
 
 def _roots(ids: DataFrame, found: DataFrame) -> DataFrame:
@@ -329,8 +333,9 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     n_shingles = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, min(1 << 20, n_shingles // (5 * BUCKET)))
     postings = known.mapInArrow(_postings(order, size, percent, buckets), "bucket long, packed binary")
-    shared = postings.groupBy("bucket").applyInArrow(_shared, "shingle long, doc_id long")
-    by_node = shared.join(some, "doc_id").select("shingle", F.col("node").alias("id"), "n").distinct()
+    shared = postings.groupBy("bucket").applyInArrow(_shared, "shingle long, doc_id long, pos int")
+    # what is still to come after a shingle bounds the overlap of two sets whose first common shingle it is
+    by_node = shared.join(some, "doc_id").select("shingle", F.col("node").alias("id"), "n", (F.col("n") - F.col("pos")).cast("long").alias("left")).distinct()
     by_node = common.cut(by_node, "postings")
     several = by_node.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle").hint("shuffle_hash")
     tiles = common.cut(by_node.join(several, "shingle"), "tiles")
@@ -342,16 +347,16 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         # one representative a tile and size band: the least id, then another one in each tile; it meets its own band and the next
         by = F.col("id") if turn == 0 else F.xxhash64("id", "shingle", F.lit(turn))
         banded = labelled.withColumn("band", _band(F.col("n")))
-        heads = banded.groupBy("shingle", "band").agg(F.min_by(F.struct("id", "n", "root"), by).alias("head"))
-        meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("head.root").alias("ra"))
-        pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), percent))
+        heads = banded.groupBy("shingle", "band").agg(F.min_by(F.struct("id", "n", "root", "left"), by).alias("head"))
+        meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("head.root").alias("ra"), F.col("head.left").alias("la"))
+        pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), F.least("la", "left"), percent))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.cut(bounded(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), marks, percent), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = links(pairs, known, nodes, size, percent)
         found = new if found is None else found.unionByName(new)
         # tiles within one component are done
-        labelled = _roots(tiles, found).select("shingle", "id", "n", "root")
+        labelled = _roots(tiles, found).select("shingle", "id", "n", "left", "root")
         open_ = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
         labelled = common.cut(labelled.join(open_, "shingle", "left_semi"), "open")
         if labelled.isEmpty():
@@ -375,7 +380,7 @@ def _open_pairs(labelled: DataFrame, marks: DataFrame, percent: int) -> DataFram
     """
     counts = labelled.groupBy("shingle").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / TILE)).cast("int").alias("parts"))
     dealt = labelled.join(counts, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(marks.select("id", "marks").dropDuplicates(["id"]), "id")
-    row = F.struct("id", "n", "root", "marks")
+    row = F.struct("id", "n", "left", "root", "marks")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
     spread = dealt.withColumn("meet", F.explode(meets)).select("shingle", "meet", "part", row.alias("row"))
 
@@ -385,7 +390,7 @@ def _open_pairs(labelled: DataFrame, marks: DataFrame, percent: int) -> DataFram
             out_b: list[int] = []
             for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows").to_pylist(), strict=True):
                 part = np.array([r["part"] for r in rows])
-                ids, n, root = (np.array([r["row"][k] for r in rows], np.int64) for k in ("id", "n", "root"))
+                ids, n, left, root = (np.array([r["row"][k] for r in rows], np.int64) for k in ("id", "n", "left", "root"))
                 marks = [np.frombuffer(r["row"]["marks"], _U) for r in rows]
                 width = np.array([len(m) for m in marks])
                 # for each width the bitmaps of the rows that have it, or twice it
@@ -393,6 +398,7 @@ def _open_pairs(labelled: DataFrame, marks: DataFrame, percent: int) -> DataFram
                 ones, others = np.flatnonzero(part == i), np.flatnonzero(part == j)
                 for k in ones:
                     o = others[(root[others] != root[k]) & (np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent)]
+                    o = o[np.minimum(left[o], left[k]) * (100 + percent) >= (n[o] + n[k]) * percent]
                     if i == j:
                         o = o[o > k]
                     for w in np.unique(np.minimum(width[o], width[k])):
