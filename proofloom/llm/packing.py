@@ -28,8 +28,10 @@ SEQUENCE = 2048
 #: Lengths are counted in steps of so many tokens, rounded up.
 GRAIN = 8
 END_ID = 1
+#: Column generation ends when the relaxation is proven to be within this of its optimum.
+GAP = 0.001
 #: Pieces of a class that one salt should hold.
-SALT_ROWS = 20_000
+SALT_ROWS = 4_000
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +97,8 @@ def patterns(counts: dict[int, int], capacity: int, most_rounds: int = 4000) ->
     for _ in range(most_rounds):
         dual = inverse.sum(axis=0)
         new = price(np.maximum(dual, 0), sizes, demand, capacity)
-        if dual @ new <= 1 + 1e-9:
+        # the relaxation's optimum is at least its value now / the best price, and at least what fills every sequence
+        if dual @ new <= 1 + GAP or x.sum() <= (1 + GAP) * (sizes @ demand) / capacity:
             break
         step = inverse @ new
         up = step > 1e-9
