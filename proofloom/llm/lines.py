@@ -1,11 +1,13 @@
 """Operator 5, fuzzy line dedup.
 
 Lines of at least MIN_WORDS words are normalised (A-Z lower-cased, digits to 0, ASCII punctuation
-dropped). Equal normalised lines are one node with a 64-bit SimHash of its words and word pairs. Two
-nodes are candidates when their SimHashes differ in at most DISTANCE bits: such pairs agree in at
-least BLOCKS - DISTANCE of BLOCKS blocks, so nodes meet under every choice of that many blocks. A
-candidate is a link when the edit similarity of the word sequences is at least SIMILARITY. Of each
-connected group's occurrences the first by (doc_id, line number) stays, all others are removed.
+dropped). Equal normalised lines are one node. Two nodes are linked when the edit similarity of
+their word sequences is at least SIMILARITY, and the search for such pairs is complete: d edits
+spoil at most q * d runs of q words, so the first runs of both lines, as many as may be spoilt and
+one more, in one order of all runs, have one in common (prefix filter). Long runs come first in that
+order, as they are rare. Nodes that meet in a run are candidates when their lengths and the parities
+of their word hashes allow d edits, which no linked pair fails. Of each connected group's
+occurrences the first by (doc_id, line number) stays, all others are removed.
 
 A bucket first gives a spanning forest of its candidate pairs; only where the edit similarity turns
 one of those down are all its other pairs compared. Shorter lines are never touched. Null texts stay
@@ -27,10 +29,17 @@ from . import common, words
 from .components import components
 
 MIN_WORDS = 4
+#: Distance and blocks of block_keys, which the line search does not use.
 DISTANCE, BLOCKS = 3, 5
 SIMILARITY = 0.8
-#: Nodes that a bucket of candidate search should hold.
-BUCKET = 50_000
+#: Columns of 64 parities each.
+SIDES = ["s0", "s1", "s2", "s3"]
+#: Words of a run at most.
+RUN = 4
+#: Runs that a bucket of candidate search should hold.
+BUCKET = 500_000
+#: Runs that a task deals out together.
+DEAL = 2_000_000
 #: Bits of the bitmap that tells which lines' texts are needed.
 WANTED_LOG2 = 23
 
@@ -53,46 +62,152 @@ def _line_offsets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(starts, at[-1]), owner, number
 
 
-def _simhash(features: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHash of runs of features; every run has at least one."""
-    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+def _chunk_lines(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
+    """For each chunk of texts: doc_id, number, hash and words of its lines of enough words, with all words' hashes and byte lengths and each line's first word."""
+    data, at = common.string_buffers(batch.column("text"))
+    ids = batch.column("doc_id").to_numpy()
+    for i, j in common.chunks(at):
+        part, part_at = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        lines, owner, number = _line_offsets(part, part_at)
+        low = _NORMAL[part]
+        starts, ends, first = words.word_spans(low, lines, _NOT_WORD)
+        n = np.diff(first)
+        use = np.flatnonzero(n >= min_words)
+        if not len(use):
+            continue
+        hashes = words.span_hashes(low, starts, ends)
+        place = np.arange(len(hashes)) - np.repeat(first[:-1], n)
+        total = np.zeros(len(hashes) + 1, _U)
+        np.cumsum(words.mix(hashes + place.astype(_U) * _U(0x9E3779B97F4A7C15)), out=total[1:])
+        key = words.mix(total[first[use + 1]] - total[first[use]] + n[use].astype(_U))
+        yield ids[i:j][owner[use]], number[use], key.view(np.int64), n[use], hashes, ends - starts, first[use]
 
 
 def _scan(min_words: int):
+    """Lines with their hash, number of words and parities: bit k of 256 tells whether an odd number of words have it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = common.string_buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
-            for i, j in common.chunks(at):
-                part, part_at = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                lines, owner, number = _line_offsets(part, part_at)
-                low = _NORMAL[part]
-                starts, ends, first = words.word_spans(low, lines, _NOT_WORD)
-                hashes = words.span_hashes(low, starts, ends)
-                n = np.diff(first)
-                use = np.flatnonzero(n >= min_words)
-                if not len(use):
-                    continue
-                line_of = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(hashes)) - first[line_of]
-                total = np.zeros(len(hashes) + 1, _U)
-                np.cumsum(words.mix(hashes + place.astype(_U) * _U(0x9E3779B97F4A7C15)), out=total[1:])
-                key = words.mix(total[first[use + 1]] - total[first[use]] + n[use].astype(_U))
-                # features: each word and each pair of neighbours, in the place of the pair's first word
-                pair = np.zeros_like(hashes)
-                pair[:-1] = words.mix(hashes[:-1] * _U(3) + hashes[1:])
-                keep = (n >= min_words)[line_of]
-                both = np.stack([hashes, pair], axis=1)[keep].ravel()
-                last = np.cumsum(n[use])
-                valid = np.ones(len(both), bool)
-                valid[2 * last - 1] = False  # a line's last word has no neighbour
-                counts = 2 * n[use] - 1
-                sim = _simhash(both[valid], np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][owner[use]]), pa.array(number[use]), pa.array(key.view(np.int64)), pa.array(sim.view(np.int64))], names=["doc_id", "line", "id", "sim"]
-                )
+            for doc, number, key, n, hashes, _, first in _chunk_lines(batch, min_words):
+                bit = _U(1) << (hashes & _U(63))
+                which = hashes >> _U(6) & _U(3)
+                # every second stretch lies between two lines
+                bounds = np.stack([first, first + n], axis=1).ravel()
+                sides = [np.bitwise_xor.reduceat(np.append(np.where(which == _U(k), bit, _U(0)), _U(0)), bounds)[::2].copy().view(np.int64) for k in range(len(SIDES))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, number, key, n.astype(np.int64), *sides)], names=["doc_id", "line", "id", "n", *SIDES])
+
+    return run
+
+
+def least_words(n: np.ndarray, least: float) -> np.ndarray:
+    """Words that stay at least between similar lines, the longer of which has n; n less these are the edits."""
+    return np.ceil(least * n).astype(np.int64)
+
+
+def prefixes(longest: int, least: float) -> dict[int, np.ndarray]:
+    """For every run length q: the number of first runs that a line of n words deals out, by n."""
+    m = np.arange(int(longest / least) + 8)
+    edits = m - least_words(m, least)
+    size = np.clip(m // (edits + 1), 1, RUN)  # the longest runs of which edits leave one
+    out = {}
+    for q in range(1, RUN + 1):
+        of = size == q
+        # a line of n words and a longer one of m: at most q * edits - (m - n) of its runs are spoilt
+        most = np.maximum.accumulate(np.where(of, q * edits - m, -len(m) * RUN)[::-1])[::-1]
+        nearest = np.minimum.accumulate(np.where(of, m, len(m) - 1)[::-1])[::-1]
+        some = of[nearest] & (least_words(nearest, least) <= m)
+        out[q] = np.where(some, np.maximum(most + m + 1, 1), 0)[: longest + 1]
+    return out
+
+
+def _runs(min_words: int, least: float, buckets: int):
+    """Packs key, id and length of every line's first runs by bucket of keys."""
+
+    def packs(some: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        value, ids, n = (np.concatenate(x) for x in zip(*some, strict=True))
+        key = words.mix(value)
+        bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        rows = np.empty(len(key), _MET)
+        rows["value"] = key[order] << _U(40) | ids[order].view(_U) & _U(_ID)
+        rows["code"] = np.searchsorted(_CODES, n[order], side="right") - 1
+        bucket = bucket[order].astype(np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)], pa.binary())], names=["bucket", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        tables = prefixes(256, least)
+        for batch in batches:
+            for _, _, key, n, hashes, size, first in _chunk_lines(batch, min_words):
+                _, once = np.unique(key, return_index=True)
+                if n.max() >= len(tables[1]):
+                    tables = prefixes(2 * int(n.max()), least)
+                upto = np.concatenate([[0], np.cumsum(size)])
+                for k in range(0, len(once), 1 << 17):
+                    few = once[k : k + (1 << 17)]
+                    for q, table in tables.items():
+                        of = few[(table[n[few]] > 0) & (n[few] >= q)]
+                        if len(of):
+                            some.append(_first_runs(q, table[n[of]], key[of], n[of], first[of], hashes, upto))
+            if sum(len(x) for x, *_ in some) > DEAL:
+                yield packs(some)
+                some = []
+        if some:
+            yield packs(some)
+
+    return run
+
+
+#: 24 bits of the key and 40 of the line's id, and the code of its length.
+_MET = np.dtype([("value", "<u8"), ("code", "u1")])
+_ID = (1 << 40) - 1
+#: Least length of each code: exact up to 127, then 16 to an octave; the last one has no upper end.
+_CODES = np.concatenate([np.arange(128), np.ceil(127 * 2 ** (np.arange(1, 129) / 16)).astype(np.int64)])
+_CODE_ENDS = np.append(_CODES[1:] - 1, 1 << 62)
+_FACTORS = [int(words.mix(np.asarray([i + 1], _U) * _U(0xA0761D6478BD642F))[0]) | 1 for i in range(RUN)]
+
+
+def _first_runs(q: int, wanted: np.ndarray, ids: np.ndarray, n: np.ndarray, first: np.ndarray, hashes: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, line ids and lengths of the wanted number of different runs of q words of each line, long runs first."""
+    count = n - q + 1
+    line = np.repeat(np.arange(len(n)), count)
+    at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+    value = np.full(len(at), q, _U)
+    for i in range(q):
+        value += hashes[at + i] * _U(_FACTORS[i])
+    short = (127 - np.minimum(upto[at + q] - upto[at], 127)).astype(_U)
+    # line, shortness and hash in one number, sorted
+    ranked = np.sort(line.astype(_U) << _U(47) | short << _U(40) | words.mix(value) >> _U(24))
+    ranked = ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])]
+    line = (ranked >> _U(47)).astype(np.int64)
+    begin = np.searchsorted(line, np.arange(len(n)))
+    keep = np.arange(len(line)) - begin[line] < wanted[line]
+    return (ranked[keep] & _U((1 << 47) - 1)) + _U(q << 48), ids[line[keep]], n[line[keep]]
+
+
+def _meet(least: float):
+    """(key, short) of the runs that several lines deal out whose lengths allow similarity; short is the last 40 bits of the id."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(p.as_py(), _MET) for p in table.column("packed")])
+        of = (rows["value"] >> _U(40)).astype(np.uint32)
+        same = np.sort(of)
+        again = np.unique(same[1:][same[1:] == same[:-1]])
+        if len(again):
+            rows = rows[again[np.minimum(np.searchsorted(again, of), len(again) - 1)] == of]
+            _, once = np.unique(rows["value"], return_index=True)
+            rows = rows[once]
+            of = (rows["value"] >> _U(40)).astype(np.int64)
+            order = np.lexsort((rows["code"], of))
+            rows, of = rows[order], of[order]
+            code = rows["code"].astype(np.int64)
+            near = (of[1:] == of[:-1]) & (_CODE_ENDS[code[:-1]] >= least_words(_CODES[code[1:]], least))
+            some = np.append(near, False) | np.insert(near, 0, False)
+            rows, of = rows[some], of[some]
+        else:
+            rows, of = rows[:0], np.zeros(0, np.int64)
+        return pa.table({"key": pa.array(of | int(key[0].as_py()) << 24), "short": pa.array((rows["value"] & _U(_ID)).astype(np.int64))})
 
     return run
 
@@ -105,18 +220,15 @@ def block_keys(sim: np.ndarray, distance: int, blocks: int) -> Iterator[np.ndarr
         yield words.mix((sim & _U(sum(masks[x] for x in some))) + _U((k + 1) * 0xD1342543DE82EF95 % (1 << 64)))
 
 
-def _deal(distance: int, blocks: int, buckets: int, columns: list[str]):
-    """Packs (key, columns) of every node and choice of blocks by bucket of keys."""
+def _deal(buckets: int, columns: list[str]):
+    """Packs the columns, the first of which is the key, by bucket of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
-            sim = np.ascontiguousarray(values[:, 0]).view(_U)
-            keys = list(block_keys(sim, distance, blocks))
-            key, values = np.concatenate(keys), np.tile(values, (len(keys), 1))
-            bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            rows = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+            bucket = ((words.mix(np.ascontiguousarray(rows[:, 0]).view(_U)) >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, rows = bucket[order], np.concatenate([key[:, None].view(np.int64), values], axis=1)[order]
+            bucket, rows = bucket[order], rows[order]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             if len(starts):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)], pa.binary())], names=["bucket", "packed"])
@@ -124,29 +236,32 @@ def _deal(distance: int, blocks: int, buckets: int, columns: list[str]):
     return run
 
 
-def _pairs(key: np.ndarray, sim: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs with equal key whose sims are near; key is sorted."""
+def _pairs(key: np.ndarray, n: np.ndarray, sides: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs with equal key whose lengths and parities allow similarity; rows are sorted by key and n."""
     starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     length = np.diff(np.append(starts, len(key)))
     run_end = np.repeat(starts + length, length)
+    stay = least_words(n, least)
+    differ = 2 * (n - stay)  # an edit changes two words at most
     shift, alive = 1, np.flatnonzero(np.repeat(length, length) > 1)
     while len(alive):
         alive = alive[alive + shift < run_end[alive]]
-        near = alive[np.bitwise_count(sim[alive] ^ sim[alive + shift]) <= distance]
+        alive = alive[n[alive] >= stay[alive + shift]]
+        near = alive[np.bitwise_count(sides[alive] ^ sides[alive + shift]).sum(axis=1) <= differ[alive + shift]]
         if len(near):
             yield near, near + shift
         shift += 1
 
 
-def _candidates(distance: int, forest: bool):
+def _candidates(least: float, forest: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(p.as_py(), np.int64) for p in table.column("packed")])
-        rows = rows.reshape(-1, 3 if forest else 4)
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        node, label = np.unique(rows[:, 2], return_inverse=True)
+        rows = rows.reshape(-1, len(SIDES) + (3 if forest else 4))
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        node, label = np.unique(rows[:, 1], return_inverse=True)
         root = np.arange(len(node))
         out: list[np.ndarray] = []
-        for a, b in _pairs(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1]).view(_U), distance):
+        for a, b in _pairs(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 2]), np.ascontiguousarray(rows[:, 3 : 3 + len(SIDES)]).view(_U), least):
             if forest:  # links between parts that are not joined yet, one for each part that moves
                 a, b = label[a], label[b]
                 while True:
@@ -161,8 +276,8 @@ def _candidates(distance: int, forest: bool):
                     while (root[root] != root).any():
                         root = root[root]
             else:
-                cross = rows[a, 3] != rows[b, 3]
-                out.append(np.stack([rows[a[cross], 2], rows[b[cross], 2]]))
+                cross = rows[a, -1] != rows[b, -1]
+                out.append(np.stack([rows[a[cross], 1], rows[b[cross], 1]]))
         found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         found = np.unique(np.sort(found, axis=0), axis=1)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
@@ -228,7 +343,7 @@ def _texts(wanted: np.ndarray):
                 lines, owner, number = _line_offsets(part, at[i : j + 1] - at[i])
                 bit = _place_hash(ids[i:j][owner], number)
                 hits = np.flatnonzero(wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                text = [" ".join(_NORMAL[part[lines[k] : lines[k + 1]]].tobytes().decode("utf-8", "replace").split()) for k in hits]
+                text = [" ".join(filter(None, _NORMAL[part[lines[k] : lines[k + 1]]].tobytes().decode("utf-8", "replace").split(" "))) for k in hits]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][owner[hits]]), pa.array(number[hits]), pa.array(text, pa.string())], names=["doc_id", "line", "words"])
 
     return run
@@ -260,16 +375,20 @@ def _bitmap(places: DataFrame) -> np.ndarray:
     return out
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that are not their group's first occurrence."""
     common.text_batches(docs.sparkSession)
     texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null")
-    lines = common.cut(texts.mapInArrow(_scan(min_words), "doc_id long, line long, id long, sim long"), "lines")
-    nodes = common.cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim")), "line-nodes")
-    buckets = max(16, min(1 << 20, nodes.count() * len(list(combinations(range(blocks), distance))) // BUCKET))
+    lines = common.cut(texts.mapInArrow(_scan(min_words), ", ".join(f"{c} long" for c in ("doc_id", "line", "id", "n", *SIDES))), "lines")
+    nodes = common.cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(k) for c, k in (("n", "words"), *zip(SIDES, SIDES, strict=True)))), "line-nodes")
+    n_words = nodes.agg(F.sum("words")).first()[0] or 0
+    buckets = max(16, min(1 << 16, n_words // BUCKET))
+    met = texts.mapInArrow(_runs(min_words, similarity, buckets), "bucket long, packed binary").groupBy("bucket").applyInArrow(_meet(similarity), "key long, short long")
+    met = common.cut(met, "line-runs")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    dealt = nodes.select("sim", "id").mapInArrow(_deal(distance, blocks, buckets, ["sim", "id"]), "bucket long, packed binary")
-    tree = common.cut(dealt.groupBy("bucket").applyInArrow(_candidates(distance, True), "a long, b long").distinct(), "candidates")
+    short = F.col("id").bitwiseAND(F.lit(_ID)).alias("short")
+    dealt = met.join(nodes.select(short, "id", "words", *SIDES), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES]), "bucket long, packed binary")
+    tree = common.cut(dealt.groupBy("bucket").applyInArrow(_candidates(similarity, True), "a long, b long").distinct(), "candidates")
     checked = common.cut(_checked(tree, nodes, texts, similarity), "checked")
     links = checked.where("ok").select("a", "b")
     if not checked.where("not ok").isEmpty():
@@ -278,9 +397,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, distance: int =
         torn = checked.where("not ok").select(F.col("a").alias("id")).distinct().join(near, "id").select("root").distinct()
         again = near.join(torn, "root", "left_semi").select("id")
         linked = components(links)
-        apart = nodes.join(again, "id", "left_semi").select("sim", "id").join(linked, "id", "left").select("sim", "id", F.coalesce("root", "id").alias("root"))
-        rest = apart.mapInArrow(_deal(distance, blocks, buckets, ["sim", "id", "root"]), "bucket long, packed binary")
-        rest = rest.groupBy("bucket").applyInArrow(_candidates(distance, False), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        apart = nodes.join(again, "id", "left_semi").select("id", "words", *SIDES).join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rest = met.join(apart.select(short, "*"), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES, "root"]), "bucket long, packed binary")
+        rest = rest.groupBy("bucket").applyInArrow(_candidates(similarity, False), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = common.cut(_checked(common.cut(rest, "candidates"), nodes, texts, similarity), "checked")
         links = links.unionByName(more.where("ok").select("a", "b"))
     common.text_batches(docs.sparkSession)
