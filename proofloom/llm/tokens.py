@@ -4,11 +4,13 @@ Both vocabularies cut a text into independent parts wherever a space or a newlin
 character that is no white space: their patterns put white space only at the front of a part,
 look at nothing to the left of it, and normalisation neither joins nor reorders across it.
 So the library encodes each different piece once and a text's ids are its pieces' ids in a row.
-A text with white space before a space or newline is encoded whole.
+A text with white space before a space or newline, or with an added token, is encoded whole:
+the library takes added tokens out of a text before anything else.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -26,7 +28,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # in capitals too: making small letters must not turn other text into an added token
+        self.marks = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
         # words to the tokenizer in a newline and a letter: one where white space is dropped
         self.newline_words = len(set(self.tokenizer.encode("\na", add_special_tokens=False).word_ids))
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
@@ -86,6 +89,15 @@ class PieceEncoder:
         return text.lower()
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if self.marks.search(t)]
+        if marked:
+            whole = dict(zip(marked, self._encode([texts[i] for i in marked]), strict=True))
+            others = iter(self._pieced([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(others) for i in range(len(texts))]
+        return self._pieced(texts)
+
+    def _pieced(self, texts: list[str]) -> list[bytes]:
+        """ids of texts without added tokens."""
         if self.lowers:
             texts = [self._lowered(t) for t in texts]
         pieces: list[list[str] | None] = [t.replace("\n", " \n").split(" ") for t in texts]
