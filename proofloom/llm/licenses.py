@@ -48,7 +48,7 @@ TAG = "spdx license identifier"
 #: Grades of licence families by the first part of an identifier.
 GRADES = {"mit": 3, "apache": 3, "bsd": 3, "isc": 3, "zlib": 3, "unlicense": 3, "cc0": 3, "0bsd": 3, "cc": 2, "mpl": 2, "lgpl": 2, "epl": 2, "cddl": 2, "gpl": 1, "agpl": 1}
 
-_TAG_LINE = re.compile(r"spdx-license-identifier\s*:?[ \t]*([^\r\n]{1,400})", re.IGNORECASE | re.ASCII)
+_TAG_LINE = re.compile(r"spdx-license-identifier\s*:?[ \t]*((?:(?!spdx-license-identifier)[^\r\n])+)", re.IGNORECASE | re.ASCII)
 _PART = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
@@ -62,7 +62,8 @@ def parse(expression: str) -> list[str]:
     ops: list[str] = []
     best: list[str] = []
     operand = True  # an identifier or "(" must come next
-    for token in _PART.findall(expression):
+    for part in _PART.finditer(expression):
+        token = part[0]
         low = token.lower()
         if operand:
             if token == "(":
