@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +23,42 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Keep Arrow batches of text columns small for plans made from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Holds the session's rows per Arrow batch at `rows` (None: as it is) while a plan runs, then puts back what was there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    if rows is not None:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
+        elif rows is not None:
+            spark.conf.unset(name)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests); elsewhere an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="proofloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors.
+
+    rows: rows per Arrow batch while it is written; None leaves the session's number.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/proofloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,20 +1,25 @@
 """Operator 7, n-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
 A document's set is the hashes of its different word shingles. Documents with the same set are one
-class. Classes meet in tiles: those of one rare shingle and neighbouring size bands. If two sets
-reach the similarity t, they share one of the first n - ceil(t n) + 1 shingles of either in any
-fixed order, so each set enters only the tiles of its first shingles, rarest first. The order comes
-from counts of all shingles in 2**BINS_LOG2 bins (a fixed size, whatever the input); it decides how much
-work there is, never the result. Within a tile sizes and bit counts of bitmap signatures bound the
-overlap from above, and what passes is decided by exact intersection of sorted arrays.
-
-Large tiles are first joined through representatives, several times by different ones; only pairs of
-a tile that are still in different components are then compared. So a group of thousands of
-near copies costs a few comparisons a copy, and no link between components is lost.
+class, named by the smallest doc_id whose shingles were dealt out. Only classes that can have a link
+go on, and that is proven, not guessed:
+
+- Each class deals out its first ceil(p n) shingles in one order of all shingles, where p is the
+  dissimilarity allowed plus SPARE. Whoever reaches the similarity shares at least ceil(SPARE n) of
+  them, so a class of which fewer stand in another class as well has no link and leaves (`peeled`).
+- What stays of a class is ordered by how many classes have it, rarest first; all but SPARE n - 1 of
+  them, the first ones, open tiles. Linked classes meet in a tile, in the same or in neighbouring
+  size bands, and what is still to come after the shingle bounds what they share.
+
+Within a tile sizes and bit counts of bitmap signatures bound the overlap from above, and what passes
+is decided by exact intersection of sorted arrays. Tiles are first joined through representatives,
+several times by different ones; only pairs of a tile that are still in different components are
+then compared. So a group of thousands of near copies costs a few comparisons a copy, and no link
+between components is lost.
 
 Null texts and texts without words have an empty set and link with nothing; texts with fewer words
-than a shingle are one shingle; repeated rows of a doc_id count as one document with the union of
-their rows in one component; an empty table gives no rows; other columns are ignored.
+than a shingle are one shingle; repeated rows of a doc_id are in one component; an empty table gives
+no rows; a null doc_id links with nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -34,7 +39,8 @@ from .components import components
 SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 80
-BINS_LOG2 = 22
+#: Percent of a set that is dealt out beyond the dissimilarity allowed: similar sets share so much of it.
+SPARE = 10
 #: Least bits of a bitmap signature; larger sets have at least four bits a member.
 LEAST_BITS = 256
 #: A tile part holds so many classes at most.
@@ -43,8 +49,12 @@ TILE = 256
 STAR_ROUNDS = 2
 #: Postings that a bucket should hold, and that a task holds before it packs them.
 BUCKET, FLUSH = 100_000, 1_000_000
-#: Bits of the bitmap that tells which documents' sets are needed.
+#: Bytes of text for each posting, about; it decides the number of buckets alone.
+POSTING_BYTES = 20
+#: Bits of the bitmap that tells in advance which documents' texts are not needed.
 WANTED_LOG2 = 23
+#: Rows in an Arrow batch of packed postings, and of pairs of sets.
+PACKED_ROWS, PAIR_ROWS = 200, 500
 
 _U = np.uint64
 
@@ -57,49 +67,6 @@ def _sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return words.distinct_by_row(value, owner, len(at) - 1)
 
 
-def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (n * percent + 99) // 100 + 1
-
-
-def _first_pass(size: int):
-    """Rows of two kinds: doc_id, n, node of each document; and k, part with the task's counts of shingles by bin."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BINS_LOG2, np.int32)
-        for batch in batches:
-            data, at = common.string_buffers(batch.column("text"))
-            n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for i, j in common.chunks(at):
-                value, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                np.add.at(total, (value >> _U(64 - BINS_LOG2)).astype(np.int64), 1)
-                n[i:j], node[i:j] = np.diff(rows_at), _nodes(value, rows_at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "node", "k", "part"])
-        for k in range(0, len(total), 1 << 14):
-            part = total[k : k + (1 << 14)]
-            if part.any():
-                none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int64()), pa.array([np.minimum(part, 2**16 - 1).astype("<u2").tobytes()], pa.binary())], names=["doc_id", "n", "node", "k", "part"])
-
-    return run
-
-
-def bin_order(first: DataFrame) -> np.ndarray:
-    """Magnitudes of the shingle counts in 2**BINS_LOG2 bins: one fixed-size array for the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column("k").to_pylist(), batch.column("part"), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_py(), "<u2").astype(np.int64)
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.ceil(8 * np.log2(v + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["k", "part"])
-
-    out = np.zeros(1 << BINS_LOG2, np.uint8)
-    for row in first.where("k is not null").select("k", "part").repartition(16, "k").mapInArrow(add, "k long, part binary").collect():
-        out[row.k : row.k + (1 << 14)] = np.frombuffer(row.part, np.uint8)
-    return out
-
-
 def _nodes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row's set; equal sets are one node."""
     total = np.zeros(len(values) + 1, _U)
@@ -127,93 +94,147 @@ def _fold(marks: np.ndarray, size: int) -> np.ndarray:
     return marks
 
 
-def _postings(order: np.ndarray, size: int, percent: int, buckets: int):
-    """Each document's first shingles as packed arrays by bucket of shingles: 40 bits of a shingle, the doc_id and the shingle's place in the order."""
+def dealt_length(n, percent: int):
+    """Members of a set of n that are dealt out."""
+    return (n * min(100, 100 - percent + SPARE) + 99) // 100
+
+
+def _five(values: np.ndarray) -> bytes:
+    """The last 40 bits of each number."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that sorts by bucket, and (bucket, from, to) in it."""
+    order = np.argsort(bucket, kind="stable")
+    there = bucket[order]
+    starts = np.flatnonzero(np.diff(there, prepend=-1))
+    return order, list(zip(there[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(there)], strict=True))
+
+
+_FIRST = "doc_id long, n long, node long, node2 long, dealt boolean, bucket long, keys binary, docs binary"
+
+
+def _first_pass(size: int, percent: int, buckets: int):
+    """Rows of two kinds: each document's size and class; and packed postings of dealt shingles by bucket, 40 bits of a shingle and the doc_id of each.
+
+    Within a task one document of a class deals; the others have `dealt` false.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n_held = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held, seen = 0, set()
+        press = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
-            value, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = ((value >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            value, doc, pos, bucket = value[by], doc[by], pos[by], bucket[by]
-            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            press = zstandard.ZstdCompressor(level=1)
-            packed = []
-            for a, b in zip(starts, [*starts[1:], len(value)], strict=True):
-                low = value[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                # documents stand in the order they were read, so their differences are short
-                ids = press.compress(np.diff(doc[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() + pos[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-                packed.append(struct.pack("<I", b - a) + low + ids)
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
-
+            order, runs = _by_bucket(((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64))
+            key, doc = key[order], doc[order]
+            # documents stand in the order they were read, so their differences are short
+            docs = [press.compress(np.diff(doc[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()) for _, a, b in runs]
+            none = pa.nulls(len(runs), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(runs), pa.bool_()), pa.array([k for k, _, _ in runs], pa.int64()), pa.array([_five(key[a:b]) for _, a, b in runs], pa.binary()), pa.array(docs, pa.binary())], names=names)
+
+        names = [c.split()[0] for c in _FIRST.split(", ")]
         for batch in batches:
             data, at = common.string_buffers(batch.column("text"))
-            doc_ids = batch.column("doc_id").to_numpy()
+            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column("doc_id").fill_null(0).to_numpy()
+            n, node, node2, dealt = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), np.zeros(len(batch), bool)
             for i, j in common.chunks(at):
-                values, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                n = np.diff(rows_at)
-                owner = np.repeat(np.arange(j - i), n)
-                rank = np.lexsort((values, order[(values >> _U(64 - BINS_LOG2)).astype(np.int64)], owner))
-                place = np.arange(len(values)) - rows_at[owner]
-                first = place < _prefix_length(n, percent)[owner]
-                held.append((values[rank][first], doc_ids[i:j][owner[first]], place[first]))
+                value, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
+                n[i:j] = np.diff(rows_at)
+                node[i:j], node2[i:j] = _nodes(value, rows_at), _nodes(value ^ _U(0x5851F42D4C957F2D), rows_at)
+                for k in range(i, j):
+                    if known[k] and n[k] and (name := (int(node[k]), int(node2[k]))) not in seen:
+                        seen.add(name)
+                        dealt[k] = True
+                owner = np.repeat(np.arange(j - i), n[i:j])
+                place = np.arange(len(value)) - rows_at[owner]
+                first = dealt[i:j][owner] & (place < dealt_length(n[i:j], percent)[owner])
+                held.append((words.mix(value[first]), doc_ids[i:j][owner[first]]))
                 n_held += int(first.sum())
                 if n_held >= FLUSH:
                     yield flush()
                     n_held = 0
+            nothing = [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), pa.array(node2), pa.array(dealt), *nothing], names=names)
         if n_held:
             yield flush()
 
     return run
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """The postings of a bucket's shingles that more than one row has."""
-    values, docs, places = [], [], []
-    for packed in table.column("packed"):
-        raw = packed.as_py()
-        n = struct.unpack_from("<I", raw)[0]
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(n, 5)
-        values.append(wide.view("<i8").ravel())
-        rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + 5 * n :]), np.uint8)
-        docs.append(np.cumsum(rest[: 8 * n].reshape(8, n).T.copy().view("<i8").ravel()))
-        places.append(rest[8 * n :].reshape(4, n).T.copy().view("<u4").ravel())
-    value, doc, pos = np.concatenate(values), np.concatenate(docs), np.concatenate(places)
-    order = np.argsort(value, kind="stable")
-    value, doc, pos = value[order], doc[order], pos[order]
-    same = np.zeros(len(value) + 1, bool)
-    same[1:-1] = value[1:] == value[:-1]
-    several = same[1:] | same[:-1]
-    return pa.table({"shingle": pa.array(value[several] | (int(key[0].as_py()) << 40)), "doc_id": pa.array(doc[several]), "pos": pa.array(pos[several].astype(np.int32))})
-
-
-def _describe(size: int, wanted: np.ndarray, exact: bool):
-    """id, n and members (exact) or marks of the documents whose doc_id hits the bitmap `wanted`."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By bucket the different keys of a task's postings: those that it holds once, and those it holds several times."""
+    held: dict[int, list[np.ndarray]] = {}
+    n_held = 0
+
+    def flush() -> pa.RecordBatch:
+        once, more = [], []
+        for some in held.values():
+            keys, count = np.unique(np.concatenate(some), return_counts=True)
+            once.append(_five(keys[count == 1]))
+            more.append(_five(keys[count > 1]))
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["bucket", "once", "more"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys"), strict=True):
+            held.setdefault(bucket, []).append(_wide(keys.as_py()))
+            n_held += len(held[bucket][-1])
+        if n_held >= FLUSH:
+            yield flush()
+            n_held = 0
+    if held:
+        yield flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = _bit(batch.column("doc_id").to_numpy())
-            batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
-            data, at = common.string_buffers(batch.column("text"))
-            for i, j in common.chunks(at):
-                values, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                raw = values.tobytes() if exact else b""
-                what = [raw[8 * a : 8 * b] for a, b in zip(rows_at[:-1], rows_at[1:], strict=True)] if exact else _signatures(values, rows_at)
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, rows_at)), pa.array(np.diff(rows_at).astype(np.int64)), pa.array(what, pa.binary())], names=["id", "n", "members" if exact else "marks"])
 
-    return run
+def _several(key: tuple, table: pa.Table) -> pa.Table:
+    """The keys of a bucket that stand in several documents; each task sends a key once, so no key is hot here."""
+    once = np.sort(np.concatenate([_wide(x.as_py()) for x in table.column("once")]))
+    more = np.concatenate([_wide(x.as_py()) for x in table.column("more")])
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "several": pa.array([_five(np.union1d(once[1:][once[1:] == once[:-1]], more))], pa.binary())})
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, doc_id) of the postings whose key several documents have."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for bucket, keys, docs, several in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "docs", "several")), strict=True):
+            key, wanted = _wide(keys), _wide(several)
+            hit = np.flatnonzero(np.isin(key, wanted, kind="sort")) if len(wanted) else np.zeros(0, np.int64)
+            doc = np.cumsum(np.frombuffer(press.decompress(docs), np.uint8).reshape(8, len(key)).T.copy().view("<i8").ravel())
+            yield pa.RecordBatch.from_arrays([pa.array((key[hit] | _U(bucket << 40)).view(np.int64)), pa.array(doc[hit])], names=["shingle", "doc_id"])
 
 
-def described(known: DataFrame, nodes: DataFrame, ids: DataFrame, size: int, exact: bool) -> DataFrame:
-    """Sets or signatures of at least the nodes in ids, made anew from the texts of their first documents."""
-    wanted = nodes.join(ids.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("first_doc")
-    kind = "members" if exact else "marks"
-    return common.cut(known.mapInArrow(_describe(size, id_bitmap(wanted), exact), f"id long, n long, {kind} binary"), kind)
+def peeled(postings: DataFrame, percent: int) -> DataFrame:
+    """shingle, id, n, left: what classes that may have links open tiles with, rarest shingles first.
+
+    postings: shingle, id, n. A class leaves when others have fewer of its shingles than a link needs,
+    once before and once after the shingles of classes that left are taken out; `left` tells how many
+    shared shingles a class has from this one on.
+
+    Of sets of n and m members with p n and p m dealt out, the one with the lower last shingle shares
+    all its dealt members but those that the other lacks, n less the overlap: p n - n + t (n + m) / (1 + t)
+    or the same for m. Over all m from t n to n / t that is (p - 1 + t) n at least, the number needed.
+    """
+    own = Window.partitionBy("id")
+    needed = F.ceil(F.col("n") * (min(100, 100 - percent + SPARE) - 100 + percent) / 100)
+    some = common.cut(postings.withColumn("have", F.count("*").over(own)).where(F.col("have") >= needed).drop("have"), "peeled")
+    several = some.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    again = some.join(common.cut(several, "several"), "shingle").withColumn("have", F.count("*").over(own)).where(F.col("have") >= needed)
+    place = F.row_number().over(own.orderBy("classes", "shingle")) - 1
+    again = again.withColumn("place", place).where(F.col("place") <= F.col("have") - needed)
+    return again.select("shingle", "id", "n", (F.col("have") - F.col("place")).alias("left"))
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -221,7 +242,7 @@ def _bit(ids: np.ndarray) -> np.ndarray:
 
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of 2**WANTED_LOG2 bits that every id of the one-column frame hits: a filter of fixed size."""
+    """A bitmap of 2**WANTED_LOG2 bits that every id of the one-column frame hits: a filter of fixed size, before an exact one."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << (WANTED_LOG2 - 3), np.uint8)
@@ -247,6 +268,33 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) whose doc_id is one of ids (doc_id): most others fall to a bitmap before the join shuffles any text."""
+    wanted = id_bitmap(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = _bit(batch.column("doc_id").to_numpy())
+            yield batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return texts.mapInArrow(run, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+
+
+def _described(size: int):
+    """id, n, marks (the bitmap signature) and members (the sorted set) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = common.string_buffers(batch.column("text"))
+            for i, j in common.chunks(at):
+                values, rows_at = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
+                raw = values.tobytes()
+                members = [raw[8 * a : 8 * b] for a, b in zip(rows_at[:-1], rows_at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(rows_at).astype(np.int64)), pa.array(_signatures(values, rows_at), pa.binary()), pa.array(members, pa.binary())], names=["id", "n", "marks", "members"])
+
+    return run
+
+
 def overlap_reaches(a: bytes, b: bytes, percent: int) -> bool:
     """Whether the sets (sorted unsigned 64-bit arrays) reach the similarity, by exact intersection."""
     x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
@@ -271,8 +319,8 @@ def _bound_reaches(n1: int, n2: int, m1: bytes, m2: bytes, percent: int) -> bool
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "m1", "m2")), strict=True)
-            kept = batch.filter(pa.array([_bound_reaches(*r, percent) for r in rows], pa.bool_()))
+            rows = zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist(), batch.column("m1"), batch.column("m2"), strict=True)
+            kept = batch.filter(pa.array([_bound_reaches(n1, n2, m1.as_py(), m2.as_py(), percent) for n1, n2, m1, m2 in rows], pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return run
@@ -288,29 +336,26 @@ def _exact(percent: int):
     return run
 
 
-def bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps leave room for the similarity."""
-    for k, end in enumerate("ab", 1):
-        pairs = pairs.join(marks.select(F.col("id").alias(end), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}")), end)
-    return pairs.select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_bounded(percent), "a long, b long")
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sizes and bitmaps leave room for the similarity and whose exact intersection reaches it."""
+    end = lambda e, k, what, to: sets.select(F.col("id").alias(e), F.col("n").alias(f"n{k}"), F.col(what).alias(f"{to}{k}"))
+    room = pairs.join(end("a", 1, "marks", "m"), "a").join(end("b", 2, "marks", "m"), "b").select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_bounded(percent), "a long, b long")
+    room = common.cut(room.distinct(), "pairs", PAIR_ROWS)
+    exact = room.join(end("a", 1, "members", "s").drop("n1"), "a").join(end("b", 2, "members", "s").drop("n2"), "b").select("a", "b", "s1", "s2").mapInArrow(_exact(percent), "a long, b long")
+    return common.cut(exact.distinct(), "links", PAIR_ROWS)
 
 
-def links(pairs: DataFrame, known: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity by exact intersection; pairs is a written table."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = described(known, nodes, ends, size, True)
-    left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("s1")), sets.select(F.col("id").alias("b"), F.col("members").alias("s2"))
-    return common.cut(pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(_exact(percent), "a long, b long"), "links")
-
-
-def _band(n) -> F.Column:
+def _band(n, percent: int) -> F.Column:
     """Size bands whose bounds grow by the similarity: sets that can link stand in the same or in neighbouring bands."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent))).cast("int")
 
 
-def _feasible(n1, n2, left, percent: int):
-    """Whether sets of these sizes can reach the similarity if they have no more than `left` members in common."""
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (left * (100 + percent) >= (n1 + n2) * percent)
+def _feasible(n1, n2, left1, left2, percent: int):
+    """Whether sets of these sizes can reach the similarity if this is the first shingle they share: what both still have must hold what they share at least."""
+    p = min(100, 100 - percent + SPARE)
+    dealt = lambda n: F.ceil(n * p / 100) - n
+    least = F.least(dealt(n1), dealt(n2)) + F.ceil((n1 + n2) * percent / (100 + percent))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(left1, left2) >= least)
 
 
 def _roots(ids: DataFrame, found: DataFrame) -> DataFrame:
@@ -318,100 +363,98 @@ def _roots(ids: DataFrame, found: DataFrame) -> DataFrame:
     return ids.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    common.text_batches(docs.sparkSession)
-    texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    known = texts.where("doc_id is not null")
-    first = common.cut(texts.mapInArrow(_first_pass(size), "doc_id long, n long, node long, k long, part binary"), "shingles")
-    order = bin_order(first)
-    own = first.where("k is null").select("doc_id", "n", "node")
-    some = own.where("n > 0 and doc_id is not null")
-    # nodes are classes of equal sets; the smallest doc_id stands for each
-    nodes = common.cut(some.groupBy("node").agg(F.min("doc_id").alias("first_doc")), "nodes")
-
-    n_shingles = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(16, min(1 << 20, n_shingles // (5 * BUCKET)))
-    postings = known.mapInArrow(_postings(order, size, percent, buckets), "bucket long, packed binary")
-    shared = postings.groupBy("bucket").applyInArrow(_shared, "shingle long, doc_id long, pos int")
-    # what is still to come after a shingle bounds the overlap of two sets whose first common shingle it is
-    by_node = shared.join(some, "doc_id").select("shingle", F.col("node").alias("id"), "n", (F.col("n") - F.col("pos")).cast("long").alias("left")).distinct()
-    by_node = common.cut(by_node, "postings")
-    several = by_node.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle").hint("shuffle_hash")
-    tiles = common.cut(by_node.join(several, "shingle"), "tiles")
-
-    marks = described(known, nodes, tiles, size, False)
+def class_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that connect whatever the tiles (shingle, id, n, left) hold of similar sets."""
     found = tried = None
     labelled = tiles.withColumn("root", F.col("id"))
     for turn in range(STAR_ROUNDS):
         # one representative a tile and size band: the least id, then another one in each tile; it meets its own band and the next
         by = F.col("id") if turn == 0 else F.xxhash64("id", "shingle", F.lit(turn))
-        banded = labelled.withColumn("band", _band(F.col("n")))
+        banded = labelled.withColumn("band", _band(F.col("n"), percent))
         heads = banded.groupBy("shingle", "band").agg(F.min_by(F.struct("id", "n", "root", "left"), by).alias("head"))
         meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("head.root").alias("ra"), F.col("head.left").alias("la"))
-        pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), F.least("la", "left"), percent))
+        pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), F.col("la"), F.col("left"), percent))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        pairs = common.cut(bounded(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), marks, percent), "pairs")
+        pairs = common.cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "met")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = links(pairs, known, nodes, size, percent)
+        new = links(pairs, sets, percent)
         found = new if found is None else found.unionByName(new)
         # tiles within one component are done
         labelled = _roots(tiles, found).select("shingle", "id", "n", "left", "root")
         open_ = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
         labelled = common.cut(labelled.join(open_, "shingle", "left_semi"), "open")
         if labelled.isEmpty():
-            break
-    else:
-        # what is left: all pairs of open tiles in different components, in parts of TILE nodes
-        pairs = common.cut(_open_pairs(labelled, marks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = found.unionByName(links(pairs, known, nodes, size, percent))
-    rooted = common.cut(_roots(nodes.withColumnRenamed("node", "id"), found).select("id", "first_doc", "root"), "roots")
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_node = rooted.join(least, "root").select(F.col("id").alias("node"), "component_id")
-    out = own.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
-    return out.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+            return found
+    # what is left: all pairs of open tiles in different components, in parts of TILE classes
+    pairs = common.cut(_open_pairs(labelled, percent).join(tried, ["a", "b"], "left_anti"), "met")
+    return found.unionByName(links(pairs, sets, percent))
 
 
-def _open_pairs(labelled: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a tile in different components whose sizes and bitmaps leave room for a link.
+def _open_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a tile in different components that can reach the similarity by their sizes and places.
 
-    A tile's classes are dealt into parts of about TILE by size; a part meets itself and the others, each
-    pair of parts in one task, where bit counts decide before any pair is emitted.
+    A tile's classes are dealt into parts of about TILE; a part meets itself and the others, each pair
+    of parts in one row, which holds five numbers a class. Bitmaps are joined to what passes.
     """
     counts = labelled.groupBy("shingle").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / TILE)).cast("int").alias("parts"))
-    dealt = labelled.join(counts, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(marks.select("id", "marks").dropDuplicates(["id"]), "id")
-    row = F.struct("id", "n", "left", "root", "marks")
+    dealt = labelled.join(counts, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
-    spread = dealt.withColumn("meet", F.explode(meets)).select("shingle", "meet", "part", row.alias("row"))
+    spread = dealt.withColumn("meet", F.explode(meets))
+    columns = ["part", "id", "n", "left", "root"]
+    tiles = spread.groupBy("shingle", F.col("meet.i").alias("i"), F.col("meet.j").alias("j")).agg(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in columns))).alias("rows"))
+    p = min(100, 100 - percent + SPARE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a: list[int] = []
-            out_b: list[int] = []
-            for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                part = np.array([r["part"] for r in rows])
-                ids, n, left, root = (np.array([r["row"][k] for r in rows], np.int64) for k in ("id", "n", "left", "root"))
-                marks = [np.frombuffer(r["row"]["marks"], _U) for r in rows]
-                width = np.array([len(m) for m in marks])
-                # for each width the bitmaps of the rows that have it, or twice it
-                at_width = {int(w): {int(k): _fold(marks[k], int(w)) for k in np.flatnonzero((width == w) | (width == 2 * w))} for w in np.unique(width)}
-                ones, others = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            lists = batch.column("rows")
+            at = lists.offsets.to_numpy()
+            part, ids, n, left, root = (lists.values.field(c).to_numpy() for c in columns)
+            spare = (n * p + 99) // 100 - n
+            for i, j, a, b in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), at[:-1], at[1:], strict=True):
+                ones, others = a + np.flatnonzero(part[a:b] == i), a + np.flatnonzero(part[a:b] == j)
+                found = []
                 for k in ones:
                     o = others[(root[others] != root[k]) & (np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent)]
-                    o = o[np.minimum(left[o], left[k]) * (100 + percent) >= (n[o] + n[k]) * percent]
-                    if i == j:
-                        o = o[o > k]
-                    for w in np.unique(np.minimum(width[o], width[k])):
-                        mine = o[np.minimum(width[o], width[k]) == w]
-                        x, y = at_width[int(w)][int(k)], np.stack([at_width[int(w)][int(q)] for q in mine])
-                        both = np.minimum(n[k] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[mine] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-                        ok = mine[100 * both >= percent * (n[k] + n[mine] - both)]
-                        out_a += np.minimum(ids[k], ids[ok]).tolist()
-                        out_b += np.maximum(ids[k], ids[ok]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    grouped = spread.groupBy("shingle", F.col("meet.i").alias("i"), F.col("meet.j").alias("j")).agg(F.collect_list(F.struct("part", "row")).alias("rows"))
-    return grouped.select("i", "j", "rows").mapInArrow(compare, "a long, b long")
+                    both = -(-(n[o] + n[k]) * percent // (100 + percent))
+                    o = o[np.minimum(left[o], left[k]) >= np.minimum(spare[o], spare[k]) + both]
+                    o = o[o > k] if i == j else o
+                    found.append(np.stack([np.minimum(ids[o], ids[k]), np.maximum(ids[o], ids[k])]))
+                pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return common.cut(tiles.select("i", "j", "rows").mapInArrow(compare, "a long, b long").distinct(), "open-pairs", PACKED_ROWS)
+
+
+def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(16, min(1 << 20, n_bytes // (POSTING_BYTES * BUCKET)))
+    first = common.cut(texts.mapInArrow(_first_pass(size, percent, buckets), _FIRST), "shingles", common.TEXT_ROWS)
+    own = first.where("bucket is null").select("doc_id", "n", "node", "node2", "dealt")
+    some = own.where("n > 0 and doc_id is not null")
+    # classes of equal sets by two hashes; id is the smallest doc_id that dealt for it, first_doc the smallest of all
+    classes = some.groupBy("node", "node2").agg(F.min(F.when(F.col("dealt"), F.col("doc_id"))).alias("id"), F.min("doc_id").alias("first_doc"), F.max("n").alias("n"))
+    classes = common.cut(classes, "classes")
+
+    postings = first.where("bucket is not null").select("bucket", "keys", "docs")
+    counted = common.cut(postings.select("bucket", "keys").mapInArrow(_counted, "bucket long, once binary, more binary"), "counted", PACKED_ROWS)
+    several = common.cut(counted.groupBy("bucket").applyInArrow(_several, "bucket long, several binary"), "several")
+    shared = postings.join(several, "bucket").select("bucket", "keys", "docs", "several").mapInArrow(_kept, "shingle long, doc_id long")
+    by_class = shared.join(classes.select(F.col("id").alias("doc_id"), "n").distinct(), "doc_id").select("shingle", F.col("doc_id").alias("id"), "n")
+    tiles = common.cut(peeled(common.cut(by_class, "postings", PACKED_ROWS), percent), "tiles")
+
+    alive = texts_of(texts.where("doc_id is not null"), tiles.select(F.col("id").alias("doc_id")).distinct())
+    sets = common.cut(alive.mapInArrow(_described(size), "id long, n long, marks binary, members binary"), "sets", common.TEXT_ROWS)
+    found = class_links(tiles, sets, percent)
+    # rows of one doc_id are one document, whatever classes they are in
+    named = some.select("doc_id", "node", "node2").join(classes, ["node", "node2"])
+    same = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
+    rooted = common.cut(_roots(classes, found.unionByName(same)).select("node", "node2", "first_doc", "root"), "roots")
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    of_class = rooted.join(least, "root").select("node", "node2", "component_id")
+    keyed = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")
+    return own.select("doc_id", "n", keyed, "node2").join(of_class, ["node", "node2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,6 @@ def _counts(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, scaled to length 1. Collects languages x dimensions numbers."""
-    common.text_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -166,7 +165,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
     rows = common.columns(docs, text=(text_col, "string"), lang=(lang_col, "string")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "lang string, code long, weight long").groupBy("lang", "code").agg(F.sum("weight").alias("weight"))
-    sums = counts.mapInArrow(bundle, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).toPandas()
+    with common.arrow_rows(docs.sparkSession, common.TEXT_ROWS):
+        sums = counts.mapInArrow(bundle, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).toPandas()
     langs = sorted(set(sums.lang))
     prototypes = np.zeros((len(langs), dimensions))
     for k, lang in enumerate(langs):
@@ -230,7 +230,6 @@ class Profiles:
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """doc_id, lang_pred, cosine, and score (the cosine moved from -1..1 to 0..1)."""
-    common.text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(prototypes, seed)
@@ -245,7 +244,6 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
 
 def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = LEAST_COSINE, text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text has letters and reaches the cosine with some language."""
-    common.text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(prototypes, seed)

@@ -155,7 +155,6 @@ _OUT = pa.schema(
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document with counts, places, labels, the first expression (postfix), the strictest grade and a score."""
-    common.text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,7 +36,6 @@ SALT_ROWS = 4_000
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, doc_tokens and ids (little-endian unsigned 32-bit) of every piece."""
-    common.text_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_i
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     found = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
-    return common.cut(found, "pieces")
+    return common.cut(found, "pieces", common.TEXT_ROWS)
 
 
 def price(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:

@@ -141,7 +141,6 @@ class Shard:
 
 def shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Wavelet shards of all documents in ascending id order, written to the shared folder."""
-    common.text_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +171,7 @@ def shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield flush()
 
     ordered = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.cut(ordered.mapInArrow(build, _SHARDS), "wavelet")
+    return common.cut(ordered.mapInArrow(build, _SHARDS), "wavelet", common.TEXT_ROWS)
 
 
 def documents(shard_table: DataFrame) -> DataFrame:
