@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
 
 
-def build_observations(raw: DataFrame, documents: DataFrame) -> DataFrame:
+GATES = ["gate_a", "gate_b", "gate_c", "gate_d", "gate_e", "gate_f"]
+
+
+def build_observations(raw: DataFrame, documents: DataFrame, propositions: DataFrame) -> DataFrame:
     """Raw observations with provenance of their documents, clamps, weights, membership and the reason of exclusion.
 
-    Rows from negative searches take the register's own provenance. A pending tier limits the
-    magnitude to 2; magnitude 4 needs the six gates, a T1 or T2 source, verification and instance scope.
+    Rows from negative searches take the register's own provenance and are verified about the search.
+    An instance that is not bound to its subject becomes a class. Rows of the matrix take sign and
+    magnitude from their two ordinals. A pending tier limits the magnitude to 2 and loses catalogue
+    and ordinals; magnitude 4 needs the six gates, a T1 or T2 source, verification and instance scope.
+    A row excludes the null by its catalogue entry (of any null or the proposition's own), else by its
+    alternative (A0 or A1), or because it is of magnitude 4 on its face and by an authority.
     """
-    docs = documents.select("document_id", "tier", "channel", "causal", "era", "self_attesting", "echo", "model_family", "document_date")
-    o = raw.join(docs, "document_id", "left")
+    docs = documents.select("document_id", "tier", "channel", "causal", "era", "self_attesting", "echo", "model_family", F.coalesce("document_date", "first_observed").alias("document_date"))
+    o = raw.join(docs, "document_id", "left").join(propositions.select("proposition_id", "null_id"), "proposition_id", "left")
     own = lambda c, v: F.when(F.col("negative_search"), F.lit(v)).otherwise(F.col(c))
     o = o.select(
-        "observation_id", "proposition_id", "document_id", "negative_search", "sign", "scope", "receipt_state", "mirror_only", "raw_magnitude", "gates", "gate_e", "locus", "fact_key", "excluding", "superseded",
-        "rebutted", "asserted_on", "improbable", "documents_null", "refutation_class", "in_basis", "model_family", "document_date",
+        "observation_id", "proposition_id", "document_id", "negative_search", "mirror_only", "raw_magnitude", *GATES, "locus", "fact_key", "superseded", "rebutted", "asserted_on", "documents_null", "refutation_class", "in_basis",
+        "model_family", "document_date", "source", "expected", "alternative", "catalog_excluding", "catalog_null", "null_id", "direct", "lawful", "georeferenced", "witness_id", "custody", "disagreed", "defaulted", "bound",
+        F.when(~F.col("bound") & (F.col("scope") == "INSTANCE"), "CLASS").otherwise(F.col("scope")).alias("scope"), own("receipt_state", "VERIFIED").alias("receipt_state"), F.col("sign").alias("raw_sign"),
         own("tier", "T3").alias("prov_tier"), own("channel", "ORIGIN-HOST").alias("prov_channel"), own("causal", "UNSOLICITED").alias("prov_causal"), own("era", "PRE-2022").alias("prov_era"),
         F.coalesce(own("self_attesting", False), F.lit(False)).alias("self_attesting"), F.coalesce(own("echo", False), F.lit(False)).alias("echo"),
     )
+    by_matrix = (F.col("source") == "MATRIX") & F.col("alternative").isNotNull() & ~F.col("negative_search")
+    o = o.withColumn("sign", F.when(by_matrix, exprs.matrix_sign(F.col("expected"), F.col("alternative"))).otherwise(F.col("raw_sign")))
+    o = o.withColumn("raw_magnitude", F.when(by_matrix, exprs.matrix_magnitude(F.col("expected"), F.col("alternative"))).otherwise(F.col("raw_magnitude")))
+    o = o.withColumn("gates", reduce(and_, map(F.col, GATES))).withColumn("improbable", F.col("expected") == "E0")
     gated = F.col("gates") & F.col("prov_tier").isin("T1", "T2") & (F.col("receipt_state") == "VERIFIED") & (F.col("scope") == "INSTANCE") & (F.col("prov_causal") == "UNSOLICITED")
     clamped = F.when((F.col("raw_magnitude") == 4) & ~gated, 3).otherwise(F.col("raw_magnitude"))
-    o = o.withColumn("magnitude", F.when(F.col("prov_tier") == "PENDING", F.least(clamped, F.lit(2))).otherwise(clamped))
-    o = o.withColumn("null_excluding", F.col("excluding") & (F.col("magnitude") >= 2)).withColumn("signed_weight", exprs.signed_weight(F.col("sign"), F.col("magnitude")))
-    return o.withColumn("membership", exprs.membership()).withColumn("exclusion_reason", exprs.exclusion_reason()).drop("raw_magnitude", "excluding")
+    pending = (F.col("prov_tier") == "PENDING") & (clamped > 2)
+    o = o.withColumn("pending", F.coalesce(pending, F.lit(False))).withColumn("magnitude", F.when(F.col("pending"), 2).otherwise(clamped))
+    o = o.withColumn("source", F.when(F.col("pending"), "DEFAULT").otherwise(F.col("source")))
+    kept = lambda c: F.when(~F.col("pending"), F.col(c))
+    by_catalog = kept("catalog_excluding") & (F.col("catalog_null").isNull() | (F.col("catalog_null") == F.col("null_id")))
+    excluding = F.when(kept("catalog_excluding").isNotNull(), by_catalog).when(kept("alternative").isNotNull(), F.col("alternative").isin("A0", "A1")).otherwise(False)
+    face = (F.col("magnitude") == 4) & F.col("gate_d") & F.col("gate_e")
+    o = o.withColumn("null_excluding", excluding | face).withColumn("signed_weight", exprs.signed_weight(F.col("sign"), F.col("magnitude")))
+    return o.withColumn("membership", exprs.membership()).withColumn("exclusion_reason", exprs.exclusion_reason()).drop("raw_magnitude", "raw_sign", "catalog_excluding", "catalog_null", "null_id", "pending")
 
 
 def _n(condition):
@@ -47,38 +68,41 @@ def counts(obs: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(v & F.col("null_excluding") & (mag >= 3)), F.lit(False)).alias("excl_d3"), F.coalesce(F.bool_or(v & F.col("null_excluding") & (mag >= 2)), F.lit(False)).alias("excl_d2"),
         F.coalesce(F.bool_or(v & F.col("null_excluding")), F.lit(False)).alias("excl_any"),
         F.coalesce(F.bool_or(F.col("documents_null") & (F.col("receipt_state") == "VERIFIED") & F.col("prov_tier").isin("T1", "T2")), F.lit(False)).alias("null_documented"),
+        _n(v & (mag >= 3) & ~F.col("prov_causal").isin(vocab.COUNTED_CAUSES)).alias("solicited_d3"), _n(v & (mag >= 3) & (~F.col("bound") | (F.col("receipt_state") != "VERIFIED"))).alias("unbound_d3"),
+        F.coalesce(F.bool_or(v & (F.col("prov_tier") == "T1") & ~claim), F.lit(False)).alias("t1_place"), F.coalesce(F.bool_or(F.col("disagreed") | F.col("defaulted")), F.lit(False)).alias("judged_apart"),
         F.coalesce(F.sum(F.when(v & ~claim, mag)), F.lit(0)).cast("long").alias("place_weight"), F.coalesce(F.sum(F.when(v & claim, mag)), F.lit(0)).cast("long").alias("claim_weight"),
     )
 
 
-def lineage_rows(obs: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Independent lineages of V rows of magnitude >= least: proposition_id, lineage_key, n_rows, has_claim, has_place_excluding, documents.
+def _keyed(obs: DataFrame, roots: DataFrame) -> DataFrame:
+    """V rows, one a fact (the strongest, then the earliest, then the least id), with the key of their lineage.
 
-    One row a fact (the strongest, then the earliest, then the least id), then rows of one model family
-    and rows of one citation component are one lineage. roots: node, root.
+    The strongest row of a fact is the same whatever the least magnitude asked for, so one pass serves all.
+    Rows of one model family and rows of one citation component are one lineage. roots: node, root.
     """
-    v = obs.where((F.col("membership") == "V") & (F.col("magnitude") >= least))
     fact = Window.partitionBy("proposition_id", F.coalesce("fact_key", "observation_id")).orderBy(F.desc("magnitude"), "asserted_on", "observation_id")
-    one = v.withColumn("k", F.row_number().over(fact)).where("k = 1")
-    keyed = one.join(roots.withColumnRenamed("node", "document_id"), "document_id", "left").withColumn(
+    one = obs.where("membership = 'V'").withColumn("k", F.row_number().over(fact)).where("k = 1")
+    return one.join(roots.withColumnRenamed("node", "document_id"), "document_id", "left").withColumn(
         "lineage_key",
         F.when(F.col("model_family").isNotNull(), F.concat(F.lit("model-family:"), "model_family"))
         .when(F.col("document_id").isNotNull(), F.concat(F.lit("component:"), F.coalesce("root", "document_id").cast("string")))
         .when(F.col("negative_search"), F.concat(F.lit("negative-search:"), "observation_id")).otherwise(F.concat(F.lit("orphan:"), "observation_id")),
     )
+
+
+def lineage_rows(obs: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """Independent lineages of V rows of magnitude >= least: proposition_id, lineage_key, n_rows, has_claim, has_place_excluding, documents."""
     place = (F.col("locus") == "PLACE") & F.col("null_excluding")
+    keyed = _keyed(obs, roots).where(F.col("magnitude") >= least)
     return keyed.groupBy("proposition_id", "lineage_key").agg(F.count("*").alias("n_rows"), F.bool_or(F.col("locus") == "CLAIM").alias("has_claim"), F.bool_or(place).alias("has_place_excluding"), F.count_distinct("document_id").alias("documents"))
 
 
 def lineage_counts(obs: DataFrame, roots: DataFrame) -> DataFrame:
     """proposition_id with l_d0, l_d2, l_d3, l_d3_claim and l_d2_place_excluding."""
-    parts = None
-    for k in (0, 2, 3):
-        part = lineage_rows(obs, roots, k).select("proposition_id", F.lit(k).alias("k"), "has_claim", "has_place_excluding")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("proposition_id").agg(
-        _n(F.col("k") == 0).alias("l_d0"), _n(F.col("k") == 2).alias("l_d2"), _n(F.col("k") == 3).alias("l_d3"), _n((F.col("k") == 3) & F.col("has_claim")).alias("l_d3_claim"),
-        _n((F.col("k") == 2) & F.col("has_place_excluding")).alias("l_d2_place_excluding"),
+    m, place = F.col("magnitude"), (F.col("locus") == "PLACE") & F.col("null_excluding")
+    lines = _keyed(obs, roots).groupBy("proposition_id", "lineage_key").agg(F.max("magnitude").alias("top"), F.bool_or((m >= 3) & (F.col("locus") == "CLAIM")).alias("claim3"), F.bool_or((m >= 2) & place).alias("place2"))
+    return lines.groupBy("proposition_id").agg(
+        _n(F.col("top") >= 0).alias("l_d0"), _n(F.col("top") >= 2).alias("l_d2"), _n(F.col("top") >= 3).alias("l_d3"), _n(F.col("claim3")).alias("l_d3_claim"), _n(F.col("place2")).alias("l_d2_place_excluding"),
     )
 
 
@@ -99,13 +123,32 @@ def refuting_rows(obs: DataFrame) -> DataFrame:
     return obs.where("refutation_class is not null").groupBy("proposition_id").agg(F.coalesce(F.bool_or(r3), F.lit(False)).alias("r3"), F.coalesce(F.bool_or((F.col("refutation_class") == "R1") & ok), F.lit(False)).alias("r1"))
 
 
+#: Kinds of custody that let a witness count.
+HELD = ["interview", "quotation", "deposition", "accession"]
+
+
+def attestations(obs: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """Attested observations with `resolvable` (the witness stands in an unrelated record) and `held` (custody is known);
+    without custody the statement's lineage is that of the asserting document."""
+    a = obs.where("witness_id is not null").select("observation_id", "proposition_id", "membership", "witness_id", "custody", "document_id", "direct", "lawful", "georeferenced")
+    a = a.join(witnesses.select("witness_id", (F.col("resolvable") & (F.col("record_kind") != "none")).alias("resolvable")), "witness_id", "left")
+    held = F.col("custody").isin(HELD)
+    return a.withColumn("resolvable", F.coalesce("resolvable", F.lit(False))).withColumn("held", held).withColumn("lineage_of", F.when(held, F.concat(F.lit("witness:"), F.col("witness_id").cast("string"))).otherwise(F.concat(F.lit("document:"), F.col("document_id").cast("string"))))
+
+
+def direct_witnesses(obs: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """proposition_id with n_direct: V rows seen in person, lawfully, tied to the ground, by a resolvable witness in known custody."""
+    ok = F.col("direct") & F.col("lawful") & F.col("georeferenced") & F.col("resolvable") & F.col("held") & (F.col("membership") == "V")
+    return attestations(obs, witnesses).groupBy("proposition_id").agg(_n(ok).alias("n_direct"))
+
+
 def search(profiles: DataFrame) -> DataFrame:
     """proposition_id with the numbers of applicable and searched profiles, the index and flags for the reading of silence."""
     counted = F.col("applicable") & F.col("resolved_x").isin("X1", "X2", "X3")
     found = F.col("searched") | F.col("outcome").isin("POSITIVE", "NEGATIVE")
     s = profiles.groupBy("proposition_id").agg(
-        _n(counted).cast("long").alias("search_n"), _n(counted & F.coalesce(found, F.col("searched"))).cast("long").alias("search_k"), F.coalesce(F.bool_or(counted & (F.col("outcome") == "NEGATIVE")), F.lit(False)).alias("negative_receipt")
+        F.coalesce(F.bool_or(F.col("applicable") & (F.col("override") == "RECORD-DESTROYED")), F.lit(False)).alias("destroyed"), _n(counted).cast("long").alias("search_n"), _n(counted & F.coalesce(found, F.col("searched"))).cast("long").alias("search_k"), F.coalesce(F.bool_or(counted & (F.col("outcome") == "NEGATIVE")), F.lit(False)).alias("negative_receipt")
     )
     index = F.when(F.col("search_n") == 0, F.lit(1000)).otherwise(F.round(F.col("search_k") * 1000 / F.col("search_n"))).cast("long")
-    reading = F.when(F.col("search_n") == 0, "UNINFORMATIVE").when(F.col("search_k") == 0, "UNSEARCHED").when(F.col("negative_receipt"), "INFORMATIVE").otherwise("UNSEARCHED")
+    reading = F.when(F.col("destroyed"), "RECORD-DESTROYED").when(F.col("search_n") == 0, "UNINFORMATIVE").when(F.col("search_k") == 0, "UNSEARCHED").when(F.col("negative_receipt"), "INFORMATIVE").otherwise("UNSEARCHED")
     return s.withColumn("search_index", index).withColumn("silence", reading)

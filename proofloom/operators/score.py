@@ -9,14 +9,14 @@ from ..functions import exprs, vocab
 from . import evidence
 from .shared import cut
 
-_FLAGS = ["has_t1t2", "mirror_d3", "dated_before_cut", "excl_d3", "excl_d2", "excl_any", "null_documented", "unrebutted_d3", "r3", "r1", "negative_receipt"]
+_FLAGS = ["t1_place", "judged_apart", "destroyed", "has_t1t2", "mirror_d3", "dated_before_cut", "excl_d3", "excl_d2", "excl_any", "null_documented", "unrebutted_d3", "r3", "r1", "negative_receipt"]
 
 
-def gather(propositions: DataFrame, obs: DataFrame, roots: DataFrame, profiles: DataFrame) -> DataFrame:
+def gather(propositions: DataFrame, obs: DataFrame, roots: DataFrame, profiles: DataFrame, witnesses: DataFrame) -> DataFrame:
     """One wide row a proposition with every count and flag the conditions read; absent evidence counts as none."""
     wide = propositions.join(evidence.counts(obs), "proposition_id", "left").join(evidence.lineage_counts(obs, roots), "proposition_id", "left")
-    wide = wide.join(evidence.undercut_flags(obs, roots), "proposition_id", "left").join(evidence.refuting_rows(obs), "proposition_id", "left").join(evidence.search(profiles), "proposition_id", "left")
-    numbers = [c for c, t in wide.dtypes if t == "bigint" and c.startswith(("n_", "v_", "l_", "u_", "place_", "claim_", "search_"))]
+    wide = wide.join(evidence.undercut_flags(obs, roots), "proposition_id", "left").join(evidence.refuting_rows(obs), "proposition_id", "left").join(evidence.search(profiles), "proposition_id", "left").join(evidence.direct_witnesses(obs, witnesses), "proposition_id", "left")
+    numbers = [c for c, t in wide.dtypes if t == "bigint" and c.startswith(("n_", "v_", "l_", "u_", "place_", "claim_", "search_", "solicited_", "unbound_"))]
     return wide.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers} | {c: F.coalesce(c, F.lit(False)) for c in _FLAGS} | {"silence": F.coalesce("silence", F.lit("UNINFORMATIVE"))})
 
 
@@ -36,9 +36,9 @@ def conditions(c1c: Column | None = None) -> dict[str, Column]:
     c, ns = F.col, F.col("null_state")
     clear = ~c("unrebutted_d3")
     return {
-        "A1": (c("v_d4_claim") >= 1) | (c("l_d3_claim") >= 2), "A3": ns == "EXCLUDED", "A4": clear, "A6": ~c("mirror_d3") | (c("l_d2") >= 2),
-        "B1": (c("l_d3") >= 2) | ((c("l_d2") >= 3) & c("has_t1t2")), "B2": ns.isin("EXCLUDED", "INSUFFICIENT"), "B4": c("n_v_claim") >= 1,
-        "C1a": c("v_d2_claim") >= 1, "C1b": c("l_d2_place_excluding") >= 2, "C1c": F.lit(False) if c1c is None else c1c, "C2": ns != "UNTESTED",
+        "A1": (c("v_d4_claim") >= 1) | (c("l_d3_claim") >= 2), "A1alt": c("class").isin(vocab.PLACE_CLASSES) & (c("n_direct") >= 2) & c("t1_place"), "A2": c("unbound_d3") == 0, "A5": c("solicited_d3") == 0, "A3": ns == "EXCLUDED", "A4": clear, "A6": ~c("mirror_d3") | (c("l_d2") >= 2),
+        "B1": (c("l_d3") >= 2) | ((c("l_d2") >= 3) & c("has_t1t2")), "B2": ns.isin("EXCLUDED", "INSUFFICIENT"), "B3": clear, "B4": c("n_v_claim") >= 1,
+        "C1a": c("v_d2_claim") >= 1, "C1b": c("l_d2_place_excluding") >= 2, "C1c": F.lit(False) if c1c is None else c1c, "C2": ns != "UNTESTED", "C3": clear,
         "D1": (c("v_d1") >= 1) | (c("v_d0") >= 2), "D2": ns.isin("SURVIVING", "DOMINANT", "UNTESTED"), "E1": c("n_v") > 0, "E2": c("v_d2") == 0,
     }
 
@@ -54,13 +54,13 @@ def evaluate(wide: DataFrame, program_grades: DataFrame | None = None) -> DataFr
     w = w.withColumns(conditions(None if program_grades is None else F.coalesce("program_ok", F.lit(False)) & (F.col("v_d1_claim") >= 1)))
     c = F.col
     award = (
-        F.when(c("refutation") != "R0", "R").when(c("A1") & c("A3") & c("A4") & c("A6"), "A").when(c("B1") & c("B2") & c("A4") & c("B4"), "B")
-        .when((c("C1a") | c("C1b") | c("C1c")) & c("C2") & c("A4"), "C").when(c("D1") & c("D2"), "D").when(c("E1") & c("E2"), "E").otherwise("F")
+        F.when(c("refutation") != "R0", "R").when((c("A1") | c("A1alt")) & c("A2") & c("A3") & c("A4") & c("A5") & c("A6"), "A").when(c("B1") & c("B2") & c("B3") & c("B4"), "B")
+        .when((c("C1a") | c("C1b") | c("C1c")) & c("C2") & c("C3"), "C").when(c("D1") & c("D2"), "D").when(c("E1") & c("E2"), "E").otherwise("F")
     )
     w = w.withColumn("awarded", award)
     place = c("class").isin([*vocab.PLACE_CLASSES, "TYPOLOGY"])
     caps = [
-        ("CAP-1", (c("l_d2") <= 1) & ~c("A1"), "C"), ("CAP-2a", (c("n_v_claim") == 0) & place, "D"), ("CAP-2b", (c("n_v_claim") == 0) & ~place, "E"), ("CAP-3", c("citogenesis"), "E"),
+        ("CAP-1", (c("l_d2") <= 1) & ~c("A1") & ~c("A1alt"), "C"), ("CAP-2a", (c("n_v_claim") == 0) & place, "D"), ("CAP-2b", (c("n_v_claim") == 0) & ~place, "E"), ("CAP-3", c("citogenesis"), "E"),
         ("CAP-4", (c("n_v") > 0) & ~c("dated_before_cut"), "D"), ("CAP-5", c("n_v") == 0, "F"), ("CAP-6", c("mirror_d3") & ~c("A6"), "B"), ("CAP-7", c("null_state") == "UNTESTED", "D"),
         ("CAP-C1c", c("C1c") & ~c("C1a") & ~c("C1b"), "C"),
     ]
@@ -73,9 +73,11 @@ def evaluate(wide: DataFrame, program_grades: DataFrame | None = None) -> DataFr
     w = w.withColumn("caps", F.when(floored, F.array_append("caps", F.lit("SCI-FLOOR"))).otherwise(c("caps"))).withColumn("grade", F.when(floored, "X").otherwise(c("capped")))
     none_expected = (c("search_n") == 0) & (c("n_v_claim") == 0)
     w = w.withColumn("ceiling", F.when(c("citogenesis"), "E").when(none_expected & place, "D").when(none_expected, "E").otherwise("A"))
-    marginal = ((c("l_d2") == 2) & (c("grade") == "B")) | ((c("l_d3") == 2) & c("grade").isin("A", "B")) | ((c("l_d2") == 1) & (c("grade") == "C"))
+    marginal = ((c("l_d2") == 2) & (c("grade") == "B")) | ((c("l_d3") == 2) & c("grade").isin("A", "B")) | ((c("l_d2") == 1) & (c("grade") == "C")) | c("judged_apart")
     w = w.withColumn("marginal", marginal).withColumn("at_ceiling", c("grade") == c("ceiling")).withColumn("cap_text", F.array_join("caps", ","))
-    return w.withColumn("limiting", limiting())
+    w = w.withColumn("ceiling_reason", F.when(c("citogenesis"), "citogenesis").when(none_expected, "no record of the claim is expected"))
+    capped = (F.size("caps") > 0) & (c("grade") != c("awarded"))
+    return w.withColumn("limiting", F.when(capped, F.concat(F.coalesce(limiting(), F.lit("")), F.lit(" [capped by "), F.array_join("caps", ", "), F.lit("]"))).otherwise(limiting()))
 
 
 def limiting() -> Column:
@@ -83,8 +85,8 @@ def limiting() -> Column:
     c = F.col
     return (
         F.when(c("grade") == "A", F.lit(None).cast("string"))
-        .when(c("grade") == "B", F.when(~c("A1"), "A1").when(~c("A3"), "A3").when(~c("A4"), "A4").otherwise("A6"))
-        .when(c("grade") == "C", F.when(~c("B1"), "B1").when(~c("B2"), "B2").when(~c("A4"), "B3").otherwise("B4"))
+        .when(c("grade") == "B", F.when(~c("A1") & ~c("A1alt"), "A1").when(~c("A2"), "A2").when(~c("A3"), "A3").when(~c("A4"), "A4").when(~c("A5"), "A5").otherwise("A6"))
+        .when(c("grade") == "C", F.when(~c("B1"), "B1").when(~c("B2"), "B2").when(~c("B3"), "B3").otherwise("B4"))
         .when(c("grade") == "D", F.when(~(c("C1a") | c("C1b") | c("C1c")), "C1").when(~c("C2"), "C2").otherwise("C3"))
         .when(c("grade") == "E", F.when(~c("D1"), "D1").otherwise("D2"))
         .when(c("grade") == "F", F.when(~c("E1"), "E1").otherwise("E2"))
@@ -93,32 +95,34 @@ def limiting() -> Column:
     )
 
 
-def candidate_sets(propositions: DataFrame, graded: DataFrame) -> DataFrame:
-    """candidate_set_id with members, documented instances and program_ok: at most three members an instance, and a program graded A or B."""
+def candidate_sets(propositions: DataFrame, graded: DataFrame, sets: DataFrame) -> DataFrame:
+    """candidate_set_id with members, documented instances and program_ok: at most three members a documented instance, and a program graded A or B."""
     in_set = propositions.where("candidate_set_id is not null").select("proposition_id", "candidate_set_id", "class", "entity_id")
     with_grade = in_set.join(graded.select("proposition_id", "grade"), "proposition_id")
-    good = F.col("grade").isin("A", "B")
-    s = with_grade.groupBy("candidate_set_id").agg(F.count_distinct("entity_id").alias("members"), F.count_if(good & (F.col("class") == "EXIST")).alias("instances"), F.bool_or(good & (F.col("class") == "PROGRAM")).alias("program"))
-    return s.withColumn("undiluted", F.col("members") <= 3 * F.col("instances")).withColumn("program_ok", F.col("undiluted") & F.col("program"))
+    program = F.col("grade").isin("A", "B") & (F.col("class") == "PROGRAM")
+    s = with_grade.groupBy("candidate_set_id").agg(F.count_distinct("entity_id").alias("members"), F.bool_or(program).alias("program")).join(sets, "candidate_set_id")
+    return s.withColumn("undiluted", F.col("members") <= 3 * F.col("documented")).withColumn("program_ok", F.col("undiluted") & F.col("program"))
 
 
-def clamp(graded: DataFrame, unranked_parent: bool = False, max_levels: int = 16) -> DataFrame:
+def clamp(graded: DataFrame, unranked_parent: bool = False) -> DataFrame:
     """graded with `final` (not above the parent's final grade) and `clamped`; PROGRAM, ORIGIN and EXIST are exempt.
 
-    Level by level from the propositions without parents. An unranked parent limits its children only
-    where unranked_parent is set.
+    Level by level from the propositions without parents, as many levels as there are. An unranked
+    parent limits its children only where unranked_parent is set. A child whose parent is not in the
+    table keeps its own grade; parents in a circle are an error.
     """
-    own = graded.withColumn("free", F.col("class").isin("EXIST", "PROGRAM", "ORIGIN") | F.col("parent_id").isNull())
-    done = cut(own.where("free").withColumn("final", F.col("grade")), "clamped")
-    open_ = own.where("not free")
-    for _ in range(max_levels):
-        parents = done.select(F.col("proposition_id").alias("parent_id"), F.col("final").alias("parent_final"))
+    own = cut(graded.withColumn("free", F.col("class").isin("EXIST", "PROGRAM", "ORIGIN") | F.col("parent_id").isNull()), "own")
+    known = own.select(F.col("proposition_id").alias("parent_id"))
+    held = own.where("not free")
+    done = own.where("free").unionByName(held.join(known, "parent_id", "left_anti").select(*own.columns)).withColumn("final", F.col("grade"))
+    level = done = cut(done, "clamped")
+    open_ = cut(held.join(known, "parent_id", "left_semi").select(*own.columns), "open")
+    while not open_.isEmpty():
+        parents = level.select(F.col("proposition_id").alias("parent_id"), F.col("final").alias("parent_final"))
         limit = F.when(exprs.grade_rank(F.col("parent_final")).isNull() & F.lit(not unranked_parent), F.col("grade")).otherwise(exprs.grade_min(F.col("grade"), F.col("parent_final")))
-        now = cut(open_.join(parents, "parent_id").withColumn("final", limit).drop("parent_final").select(*done.columns), "clamped")
-        done = done.unionByName(now)
-        open_ = open_.join(now.select("proposition_id"), "proposition_id", "left_anti")
-        if now.isEmpty():
-            break
-    # what has no gradable parent keeps its own grade
-    done = done.unionByName(open_.withColumn("final", F.col("grade")).select(*done.columns))
+        level = cut(open_.join(parents, "parent_id").withColumn("final", limit).select(*done.columns), "clamped")
+        if level.isEmpty():
+            raise ValueError("propositions are their own parents in a circle")
+        done = done.unionByName(level)
+        open_ = cut(open_.join(level.select("proposition_id"), "proposition_id", "left_anti"), "open")
     return done.drop("free").withColumn("clamped", F.col("final") != F.col("grade"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, graph, score
@@ -12,15 +12,12 @@ from .registry import query
 
 @query("=> select grade, count(*) as n, count(*) * 10000 // sum(count(*)) over ()::bigint as share_bp from graded group by 1", "graded")
 def band_occupancy(r: Register) -> DataFrame:
-    bands = r.graded.groupBy("grade").agg(F.count("*").alias("n"))
-    total = bands.agg(F.sum("n").alias("total"))
-    return bands.crossJoin(F.broadcast(total)).select("grade", "n", F.expr("n * 10000 div total").alias("share_bp"))
+    bands = r.graded.groupBy("grade").agg(F.count("*").alias("n"))  # eight rows, so a window over all is small
+    return bands.withColumn("total", F.sum("n").over(Window.partitionBy())).select("grade", "n", F.expr("n * 10000 div total").alias("share_bp"))
 
 
 @query("=> select class, grade, count(*) as n, count(*) * 10000 // sum(count(*)) over (partition by class)::bigint as share_bp from graded group by 1, 2", "graded")
 def band_occupancy_by_class(r: Register) -> DataFrame:
-    from pyspark.sql import Window
-
     bands = r.graded.groupBy("class", "grade").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("class")))
     return bands.select("class", "grade", "n", F.expr("n * 10000 div total").alias("share_bp"))
 
@@ -56,16 +53,12 @@ def two_bars(r: Register) -> DataFrame:
 @query("""strongest as (select *, row_number() over (partition by proposition_id, sign, coalesce(fact_key, observation_id) order by magnitude desc, asserted_on, observation_id) as k from obs where membership in ('V', 'U'))
 => select proposition_id, observation_id, sign, magnitude from strongest where k = 1""", "obs")
 def merged_evidence(r: Register) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("proposition_id", "sign", F.coalesce("fact_key", "observation_id")).orderBy(F.desc("magnitude"), "asserted_on", "observation_id")
     return r.observations.where(F.col("membership").isin("V", "U")).withColumn("k", F.row_number().over(w)).where("k = 1").select("proposition_id", "observation_id", "sign", "magnitude")
 
 
 @query("=> select proposition_id, membership, locus, observation_id, row_number() over (partition by proposition_id, membership, locus order by magnitude desc, observation_id) as tick from obs", "obs")
 def evidence_ticks(r: Register) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("proposition_id", "membership", "locus").orderBy(F.desc("magnitude"), "observation_id")
     return r.observations.select("proposition_id", "membership", "locus", "observation_id", F.row_number().over(w).alias("tick"))
 
@@ -176,7 +169,7 @@ def null_and_refutation(r: Register) -> DataFrame:
     return score.evaluate(r.wide).select("proposition_id", "null_state", "refutation", "u_lineages", "unrebutted_d3")
 
 
-_CONDITIONS = "A1, A3, A4, A6, B1, B2, B4, C1a, C1b, C1c, C2, D1, D2, E1, E2"
+_CONDITIONS = "A1, A1alt, A2, A3, A4, A5, A6, B1, B2, B3, B4, C1a, C1b, C1c, C2, C3, D1, D2, E1, E2"
 
 
 @query(f"=> select proposition_id, awarded, {_CONDITIONS} from graded", "graded")
@@ -184,9 +177,9 @@ def band_conditions(r: Register) -> DataFrame:
     return r.graded.select("proposition_id", "awarded", *_CONDITIONS.split(", "))
 
 
-@query("=> select proposition_id, grade, awarded, cap_text, ceiling, at_ceiling, marginal, limiting from graded", "graded")
+@query("=> select proposition_id, grade, awarded, cap_text, ceiling, ceiling_reason, at_ceiling, marginal, limiting from graded", "graded")
 def grades(r: Register) -> DataFrame:
-    return r.graded.select("proposition_id", "grade", "awarded", "cap_text", "ceiling", "at_ceiling", "marginal", "limiting")
+    return r.graded.select("proposition_id", "grade", "awarded", "cap_text", "ceiling", "ceiling_reason", "at_ceiling", "marginal", "limiting")
 
 
 @query("=> select cap, count(*) as n from (select unnest(string_split(cap_text, ',')) as cap from graded where cap_text <> '') t group by 1", "graded")
@@ -194,9 +187,9 @@ def cap_counts(r: Register) -> DataFrame:
     return r.graded.select(F.explode("caps").alias("cap")).groupBy("cap").agg(F.count("*").alias("n"))
 
 
-@query("=> select candidate_set_id, members, instances, program, members <= 3 * instances as undiluted from sets", "graded")
+@query("=> select candidate_set_id, members, documented, program, members <= 3 * documented as undiluted from sets", "graded")
 def candidate_dilution(r: Register) -> DataFrame:
-    return score.candidate_sets(r.table("proposition"), r.first_grades).select("candidate_set_id", "members", "instances", "program", "undiluted")
+    return score.candidate_sets(r.table("proposition"), r.first_grades, r.table("candidate_set")).select("candidate_set_id", "members", "documented", "program", "undiluted")
 
 
 @query("=> select proposition_id, grade, final, final <> grade as clamped from final", "graded")
@@ -210,7 +203,5 @@ def verification_priority(r: Register) -> DataFrame:
     """The 200 propositions whose unverified rows matter most; the limit is the report."""
     distance = F.when(F.col("grade") == "A", 0).when(F.col("grade") == "B", 1).when(F.col("grade") == "C", 2).when(F.col("grade") == "D", 3).when(F.col("grade") == "E", 4).otherwise(5)
     g = r.graded.where("n_v0 > 0").select("proposition_id", F.least(F.lit(4), F.col("l_d2") + F.col("n_v0")).alias("reachable_lineages"), (F.col("n_v0") * (6 - distance)).alias("priority"))
-    from pyspark.sql import Window
-
     top = g.orderBy(F.desc("priority"), "proposition_id").limit(200)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "proposition_id")))

@@ -104,7 +104,7 @@ def not_locatable(r: Register) -> DataFrame:
 
 
 @query("""=> select 'observation' as tab, 'magnitude 4 needs its gates' as rule, observation_id as key from obs where magnitude = 4 and not (gates and receipt_state = 'VERIFIED' and scope = 'INSTANCE')
-union all select 'observation', 'raw magnitude clamped', observation_id from obs where raw_magnitude <> magnitude union all select 'proposition', 'own parent', proposition_id::varchar from proposition where parent_id = proposition_id
+union all select 'observation', 'raw magnitude clamped', observation_id from obs join (select observation_id, raw_magnitude as rm from raw_observation) using (observation_id) where rm <> magnitude union all select 'proposition', 'own parent', proposition_id::varchar from proposition where parent_id = proposition_id
 union all select 'entity', 'canary published', entity_id::varchar from entity where is_canary and publication_state = 'PUBLISHED' union all select 'citation', 'duplicate edge', citing || '>' || cited from citation group by citing, cited having count(*) > 1""", "obs")
 def rule_violations(r: Register) -> DataFrame:
     o = r.observations.join(r.table("raw_observation").select("observation_id", "raw_magnitude"), "observation_id")

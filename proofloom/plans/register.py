@@ -23,7 +23,7 @@ class Register:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return evidence.build_observations(self.table("raw_observation"), self.table("document"))
+        return evidence.build_observations(self.table("raw_observation"), self.table("document"), self.table("proposition"))
 
     @cached_property
     def roots(self) -> DataFrame:
@@ -32,7 +32,7 @@ class Register:
     @cached_property
     def wide(self) -> DataFrame:
         """Written once: grading reads the observations six times and this table twice."""
-        return cut(score.gather(self.table("proposition"), cut(self.observations, "observations"), self.roots, self.table("profile")), "wide")
+        return cut(score.gather(self.table("proposition"), cut(self.observations, "observations"), self.roots, self.table("profile"), self.table("witness")), "wide")
 
     @cached_property
     def first_grades(self) -> DataFrame:
@@ -41,9 +41,9 @@ class Register:
 
     @cached_property
     def graded(self) -> DataFrame:
-        sets = score.candidate_sets(self.table("proposition"), self.first_grades)
-        return score.evaluate(self.wide, sets.select("candidate_set_id", "program_ok"))
+        sets = score.candidate_sets(self.table("proposition"), self.first_grades, self.table("candidate_set"))
+        return cut(score.evaluate(self.wide, sets.select("candidate_set_id", "program_ok")), "graded")
 
     @cached_property
     def final(self) -> DataFrame:
-        return score.clamp(self.graded.select("proposition_id", "entity_id", "class", "parent_id", "grade", "awarded", "limiting", "ceiling", "marginal", "created_on"))
+        return score.clamp(self.graded.select("proposition_id", "entity_id", "class", "parent_id", "grade", "awarded", "limiting", "ceiling", "marginal", "created_on", "cap_text", "null_state", "refutation"))
