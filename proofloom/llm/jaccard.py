@@ -45,8 +45,8 @@ SPARE = 10
 LEAST_BITS = 256
 #: A tile part holds so many classes at most.
 TILE = 256
-#: Rounds that join tiles through representatives before pairs are compared.
-STAR_ROUNDS = 2
+#: Representatives of a tile and size band in each round that joins tiles before pairs are compared.
+STARS = (1, 8, 64)
 #: Postings that a bucket should hold, and that a task holds before it packs them.
 BUCKET, FLUSH = 100_000, 1_000_000
 #: Bytes of text for each posting, about; it decides the number of buckets alone.
@@ -367,12 +367,12 @@ def class_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect whatever the tiles (shingle, id, n, left) hold of similar sets."""
     found = tried = None
     labelled = tiles.withColumn("root", F.col("id"))
-    for turn in range(STAR_ROUNDS):
-        # one representative a tile and size band: the least id, then another one in each tile; it meets its own band and the next
-        by = F.col("id") if turn == 0 else F.xxhash64("id", "shingle", F.lit(turn))
+    for turn, stars in enumerate(STARS):
+        # representatives of a tile and size band: the least id, then others by a hash, so that tiles of one group have the same; they meet their own band and the next
+        by = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         banded = labelled.withColumn("band", _band(F.col("n"), percent))
-        heads = banded.groupBy("shingle", "band").agg(F.min_by(F.struct("id", "n", "root", "left"), by).alias("head"))
-        meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("head.root").alias("ra"), F.col("head.left").alias("la"))
+        heads = banded.withColumn("star", F.row_number().over(Window.partitionBy("shingle", "band").orderBy(by, "id"))).where(F.col("star") <= stars)
+        meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("left").alias("la"))
         pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), F.col("la"), F.col("left"), percent))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "met")
