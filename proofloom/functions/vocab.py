@@ -1,13 +1,9 @@
 """Closed vocabularies and fixed tables of the register."""
 
 # Ordered vocabularies; the order carries meaning.
-CLASSES = ["EXIST", "EXTENT", "HARDEN", "CONTROL", "FUNCTION", "STATUS", "LOCATE", "FEATURE", "PROGRAM", "IDENTITY", "ORIGIN", "TYPOLOGY"]
-GRADES = ["A", "B", "C", "D", "E", "F", "R", "X"]
 RANKED = {"A": 7, "B": 6, "C": 5, "D": 4, "E": 3, "F": 2}
-TIERS = ["T1", "T2", "T3", "T4", "T5", "PENDING"]
-PRECISIONS = ["surveyed", "approximate_1km", "approximate_10km", "regional", "admin_area", "claimed_only", "place_name_only", "non_located"]
-TYPOLOGIES = ["cog-coop", "military-hardened", "missile-silo", "relay-comms", "research"]
 PLACE_CLASSES = ["EXIST", "EXTENT", "LOCATE", "FEATURE"]
+CAUSES = ["NEW-SEARCH", "NEW-VERIFICATION", "NEW-DISCLOSURE", "RE-ANALYSIS", "SCORER-CHANGE", "TABLE-VERSION-CHANGE", "RESCORE-NOISE", "MERGE", "SPLIT"]
 COUNTED_CAUSES = ["UNSOLICITED", "SOLICITED-3P"]
 EXEMPT_CAUSES = ["SCORER-CHANGE", "TABLE-VERSION-CHANGE", "RESCORE-NOISE", "NEW-DISCLOSURE", "MERGE", "SPLIT"]
 DRIFT_CAUSES = ["SCORER-CHANGE", "TABLE-VERSION-CHANGE", "RESCORE-NOISE"]

@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
+# Kinds of location, the most precise first.
+PRECISIONS = ["surveyed", "approximate_1km", "approximate_10km", "regional", "admin_area", "claimed_only", "place_name_only", "non_located"]
+
+
+def ranked(rows: DataFrame, orders: dict[str, list[Column]], key: str) -> DataFrame:
+    """rows with their place in each of several total orders, ties by the key.
+
+    Places come from a range shuffle, not from one task: rows are dealt into ranges of the order,
+    ranked in each, and the sizes of the ranges before are added.
+    """
+    for name, by in orders.items():
+        dealt = rows.repartitionByRange(*by, key).withColumn("__part", F.spark_partition_id())
+        # written, as both readers must see the same ranges
+        local = cut(dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*by, key))), "ranges")
+        sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
+        first = sizes.withColumn("__first", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__first")  # one small row a range
+        rows = local.join(first, "__part").withColumn(name, (F.col("__rank") + F.col("__first")).cast("int")).drop("__part", "__rank", "__first")
+    return rows
+
+
+def preferred(assertions: DataFrame) -> DataFrame:
+    """One location an entity: the preferred, then the most precise, then the first that is not superseded; n tells how many compete."""
+    precision = F.array_position(F.array(*(F.lit(p) for p in PRECISIONS)), F.col("loc_precision"))
+    live = assertions.where("not superseded")
+    best = live.withColumn("k", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("preferred"), precision, "assertion_id"))).where("k = 1").drop("k")
+    return best.join(live.groupBy("entity_id").agg(F.count("*").alias("n")), "entity_id")
+
 
 def render_mode(located: Column) -> Column:
     """How an entity may be shown; a point only where it is precise and its place is proven."""
@@ -20,13 +49,16 @@ def radius() -> Column:
 
 
 def grid_clusters(features: DataFrame, low: int = 2, high: int = 9) -> DataFrame:
-    """Per zoom and degree cell: features, how many are precise, and up to 25 sample ids, best graded first."""
+    """Per zoom and degree cell: features, how many are precise, and up to 25 sample ids, the smallest."""
     cell = F.col("cell_c")
     z = features.withColumn("zoom", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("cell_c", F.greatest(F.lit(1), F.expr("36000 div cast(power(2, zoom + 3) as int)")))
     z = z.withColumn("cell_x", F.floor((F.col("lon_c") + 18000) / cell).cast("long")).withColumn("cell_y", F.floor((F.col("lat_c") + 9000) / cell).cast("long"))
-    return z.groupBy("zoom", "cell_x", "cell_y").agg(
-        F.count("*").alias("n"), F.count_if(F.col("mode") == "point").alias("points"), F.array_join(F.slice(F.array_sort(F.collect_list("entity_id")), 1, 25).cast("array<string>"), ",").alias("sample")
-    )
+    keys = ["zoom", "cell_x", "cell_y"]
+    counts = z.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("mode") == "point").alias("points"))
+    # the first 25 ids by a limited rank, which is taken in part before the shuffle
+    first = z.select(*keys, "entity_id").withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("entity_id"))).where("k <= 25")
+    sample = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("entity_id")).cast("array<string>"), ",").alias("sample"))
+    return counts.join(sample, keys)
 
 
 def viewport(features: DataFrame, west: int, south: int, east: int, north: int) -> DataFrame:

@@ -45,9 +45,9 @@ def ratchet_holds(events: DataFrame) -> DataFrame:
 
 
 def state_hash(obs: DataFrame) -> DataFrame:
-    """proposition_id with the md5 of its rows' states in the order of the rendered strings."""
+    """proposition_id with a hash of its rows' states, the same in any order and made without bringing rows together."""
     line = F.concat_ws("|", "observation_id", "membership", F.col("magnitude").cast("string"), "sign")
-    return obs.groupBy("proposition_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), ",")).alias("state_hash"))
+    return obs.groupBy("proposition_id").agg(F.count("*").alias("n"), exprs.key_digest(line).alias("h")).select("proposition_id", F.md5(F.concat_ws(":", "n", "h")).alias("state_hash"))
 
 
 def change_set(obs: DataFrame, changed_documents: DataFrame, roots: DataFrame, propositions: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def ratchet(r: Register) -> DataFrame:
     return state.ratchet_holds(r.table("grade_event")).select("seq", "direction", "held")
 
 
-@query("=> select proposition_id, md5(string_agg(s, ',' order by s)) as state_hash from (select proposition_id, observation_id || '|' || membership || '|' || magnitude || '|' || sign as s from obs) t group by 1", "obs")
+@query("=> select proposition_id, md5(count(*) || ':' || sum(('0x' || substr(md5(s), 1, 8))::bigint)::bigint) as state_hash from (select proposition_id, observation_id || '|' || membership || '|' || magnitude || '|' || sign as s from obs) t group by 1", "obs")
 def evidence_state_hash(r: Register) -> DataFrame:
     return state.state_hash(r.observations)
 
