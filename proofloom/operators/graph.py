@@ -61,20 +61,57 @@ def components(edges: DataFrame, a: str = "citing", b: str = "cited") -> DataFra
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def on_cycle(edges: DataFrame, max_depth: int = MAX_DEPTH * 2) -> DataFrame:
-    """Nodes that reach themselves: what is left after nodes without incoming or outgoing edges are peeled away, traced."""
-    core = cut(edges.select("citing", "cited").where("citing <> cited").distinct(), "core")
-    n = core.count()
-    while n:
-        ends = core.select(F.col("citing").alias("x")).distinct().join(core.select(F.col("cited").alias("x")).distinct(), "x", "left_semi")
-        core = cut(core.join(ends.withColumnRenamed("x", "citing"), "citing", "left_semi").join(ends.withColumnRenamed("x", "cited"), "cited", "left_semi").select("citing", "cited"), "core")
-        m = core.count()
-        if m == n:
+def _reached(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label: the largest label that comes to each node along edges (a, b), its own included; edges stay within a part."""
+    now = cut(labels, "labels")
+    while True:
+        step = edges.join(now.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.max("label").alias("come"))
+        new = cut(now.join(step, "node", "left").select("node", F.greatest("label", "come").alias("label"), (F.col("come") > F.col("label")).alias("moved")), "labels")
+        done = new.where("moved").isEmpty()
+        now = new.select("node", "label")
+        if done:
+            return now
+
+
+def strong_parts(edges: DataFrame, a: str = "citing", b: str = "cited") -> DataFrame:
+    """(node, part) of the nodes on circles: nodes that reach each other are one part, whatever the length of the way.
+
+    Nodes without an edge in or out are peeled off; then the largest node that reaches a node colours it,
+    and those that reach back to their colour's node within the colour are a part and leave. All colours
+    are worked on at once; rounds are written, so a lost executor costs one round.
+    """
+    live = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "live")
+    found = None
+    while not live.isEmpty():
+        n = live.count()
+        while True:  # peel
+            both = live.select(F.col("a").alias("x")).distinct().join(live.select(F.col("b").alias("x")).distinct(), "x", "left_semi")
+            live = cut(live.join(both.withColumnRenamed("x", "a"), "a", "left_semi").join(both.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"), "live")
+            m = live.count()
+            if m * 20 >= n * 19:  # little comes off any more: colours do the rest
+                break
+            n = m
+        if not m:
             break
-        n = m
-    trace = trace_origin(core.withColumn("kind", F.lit("x")), core.select(F.col("citing").alias("seed")).distinct(), max_depth)
-    back = core.select(F.col("citing").alias("node"), F.col("cited").alias("seed"))
-    return trace.select("seed", "node").join(back, ["seed", "node"], "left_semi").select(F.col("seed").alias("node")).distinct()
+        nodes = live.select(F.col("a").alias("node")).unionByName(live.select(F.col("b").alias("node"))).distinct()
+        colour = cut(_reached(live, nodes.select("node", F.col("node").alias("label"))), "colour")
+        own = live.join(colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b").where("ca = cb")
+        inside = cut(own.select("a", "b"), "inside")
+        # back along the edges from each colour's node
+        back = _reached(inside.select(F.col("b").alias("a"), F.col("a").alias("b")), colour.select("node", F.when(F.col("node") == F.col("label"), 1).otherwise(0).alias("label")))
+        part = cut(back.where("label = 1").select("node").join(colour, "node").select("node", F.col("label").alias("part")), "part")
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("node")
+        live = cut(live.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "live")
+    if found is None:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("part"))
+    several = found.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    return found.join(several, "part", "left_semi").select("node", "part")
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves by a way of any length over other nodes."""
+    return strong_parts(edges).select("node")
 
 
 def origin_paths(trace: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

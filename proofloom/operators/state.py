@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
+from .shared import cut
 
 def _by_seq():
     return Window.partitionBy("proposition_id").orderBy("seq")
@@ -56,3 +57,58 @@ def change_set(obs: DataFrame, changed_documents: DataFrame, roots: DataFrame, p
     members = roots.withColumnRenamed("node", "document_id").join(touched, "root", "left_semi").select("document_id").unionByName(changed_documents.select("document_id")).distinct()
     dirty = obs.join(members, "document_id", "left_semi").select("proposition_id").distinct()
     return propositions.join(dirty, "proposition_id", "left_semi").select("proposition_id", F.when(F.col("class") == "EXIST", 10).otherwise(100).alias("priority"))
+
+
+# ---- moving state: rollups, events, snapshots, drains
+
+
+def triggering(obs: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows that were asserted after the last grading of their proposition (before: proposition_id, graded_on); all rows where there was none."""
+    o = obs.join(before.select("proposition_id", "graded_on"), "proposition_id", "left")
+    return o.where(F.col("graded_on").isNull() | (F.col("asserted_on") > F.col("graded_on"))).select("proposition_id", "observation_id", "document_id", "document_date", "membership", "echo")
+
+
+def ratchet(now: DataFrame, before: DataFrame, arrived: DataFrame, publications: DataFrame, cause: Column) -> DataFrame:
+    """now (proposition_id, entity_id, final) with grade_before, published grade and whether a rise was held back.
+
+    A rise between ranked grades stands if its cause is exempt, if the entity was never published, or if a
+    supporting row that arrived is dated at or before the first publication and is no echo of the register.
+    """
+    first = publications.groupBy("entity_id").agg(F.min("first_published").alias("first_published"))
+    n = now.join(before.select("proposition_id", F.col("grade").alias("grade_before")), "proposition_id", "left").join(first, "entity_id", "left")
+    dated = arrived.where("membership = 'V' and document_date is not null and not echo").groupBy("proposition_id").agg(F.min("document_date").alias("oldest"))
+    n = n.join(dated, "proposition_id", "left").withColumn("cause", cause)
+    a, b = exprs.grade_rank(F.col("grade_before")), exprs.grade_rank(F.col("final"))
+    rises = F.coalesce(b > a, F.lit(False)) & ~F.col("cause").isin(vocab.EXEMPT_CAUSES)
+    carried = F.col("first_published").isNull() | F.coalesce(F.col("oldest") <= F.col("first_published"), F.lit(False))
+    return n.withColumn("held", rises & ~carried).withColumn("published", F.when(F.col("held"), F.col("grade_before")).otherwise(F.col("final")))
+
+
+def new_events(rated: DataFrame, log: DataFrame) -> DataFrame:
+    """Events to append: first grades and changes, numbered within their proposition after what its log holds."""
+    upto = log.groupBy("proposition_id").agg(F.count("*").alias("held_events"))
+    moved = rated.where(F.col("grade_before").isNull() | (F.col("grade_before") != F.col("published")))
+    return moved.join(upto, "proposition_id", "left").select("proposition_id", (F.coalesce("held_events", F.lit(0)) + 1).alias("event_no"), F.col("grade_before").alias("grade_from"), F.col("published").alias("grade"), "cause")
+
+
+def snapshot(events: DataFrame, obs: DataFrame) -> DataFrame:
+    """The evidence as it stood when each event was written."""
+    return events.select("proposition_id", "event_no").join(obs.select("proposition_id", "observation_id", "membership", "signed_weight"), "proposition_id")
+
+
+def drain(stored: DataFrame, fresh, children: DataFrame, dirty: DataFrame, most_passes: int = 8) -> tuple[DataFrame, int]:
+    """(rollup, passes): regrades dirty propositions and, while any of them moves, their children.
+
+    stored: proposition_id, grade. fresh(keys) gives (proposition_id, grade) of those keys. children:
+    parent_id, proposition_id. It ends when nothing moves any more; if that takes more than most_passes it raises.
+    """
+    now, keys = stored, cut(dirty.select("proposition_id").distinct(), "dirty")
+    for passes in range(1, most_passes + 1):
+        graded = cut(fresh(keys), "regraded")
+        moved = graded.join(now.withColumnRenamed("grade", "old"), "proposition_id", "left").where(~F.col("old").eqNullSafe(F.col("grade"))).select("proposition_id")
+        moved = cut(moved, "moved")
+        now = cut(now.join(graded.select("proposition_id"), "proposition_id", "left_anti").unionByName(graded), "rollup")
+        keys = cut(children.join(moved.withColumnRenamed("proposition_id", "parent_id"), "parent_id", "left_semi").select("proposition_id").distinct(), "dirty")
+        if keys.isEmpty():
+            return now, passes
+    raise RuntimeError(f"grades still move after {most_passes} passes")
