@@ -10,6 +10,8 @@ go on, and that is proven, not guessed:
 - What stays of a class is ordered by how many classes have it, rarest first; all but SPARE n - 1 of
   them, the first ones, open tiles. Linked classes meet in a tile, in the same or in neighbouring
   size bands, and what is still to come after the shingle bounds what they share.
+- When most links are found, classes of tiles that are still open are held against other components
+  by their whole sets in the same way (`foreign`): who has too little in common with them leaves.
 
 Within a tile sizes and bit counts of bitmap signatures bound the overlap from above, and what passes
 is decided by exact intersection of sorted arrays. Tiles are first joined through representatives,
@@ -350,11 +352,10 @@ def _band(n, percent: int) -> F.Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent))).cast("int")
 
 
-def _feasible(n1, n2, left1, left2, percent: int):
-    """Whether sets of these sizes can reach the similarity if this is the first shingle they share: what both still have must hold what they share at least."""
-    p = min(100, 100 - percent + SPARE)
-    dealt = lambda n: F.ceil(n * p / 100) - n
-    least = F.least(dealt(n1), dealt(n2)) + F.ceil((n1 + n2) * percent / (100 + percent))
+def _feasible(n1, n2, left1, left2, percent: int, dealt: int):
+    """Whether sets of these sizes can reach the similarity if this is the first shingle they share: what both still have must hold what they share at least of the dealt percent of each."""
+    lacking = lambda n: F.ceil(n * dealt / 100) - n
+    least = F.least(lacking(n1), lacking(n2)) + F.ceil((n1 + n2) * percent / (100 + percent))
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(left1, left2) >= least)
 
 
@@ -363,26 +364,58 @@ def _roots(ids: DataFrame, found: DataFrame) -> DataFrame:
     return ids.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, id, n, root) of all members of each set."""
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        columns = [np.repeat(batch.column(c).to_numpy(), n) for c in ("id", "n", "root")]
+        values = np.frombuffer(b"".join(x.as_py() for x in batch.column("members")), "<i8")
+        for k in range(0, len(values), 200_000):
+            part = slice(k, k + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(values[part]), *(pa.array(c[part]) for c in columns)], names=["shingle", "id", "n", "root"])
+
+
+def foreign(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Tiles (shingle, id, n, left, root) of the classes that may still have a link to another component, from whole sets.
+
+    A link out of a component takes t n shingles that other components have too; a class with fewer
+    leaves, twice over, and all but t n - 1 of the rest, rarest first, open its tiles.
+    """
+    own = Window.partitionBy("id")
+    needed = F.ceil(F.col("n") * percent / 100)
+    held = labelled.select("id", "root").distinct().join(sets.select("id", "n", "members").dropDuplicates(["id", "n"]), "id").select("id", "n", "root", "members")
+    rows = common.cut(held.mapInArrow(_members, "shingle long, id long, n long, root long"), "members", PAIR_ROWS)
+    for _ in range(2):
+        shared = rows.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "classes")
+        kept = rows.drop("classes", "have").join(common.cut(shared, "shared"), "shingle").withColumn("have", F.count("*").over(own)).where(F.col("have") >= needed)
+        rows = common.cut(kept, "foreign")
+    place = F.row_number().over(own.orderBy("classes", "shingle")) - 1
+    tiles = rows.withColumn("place", place).where(F.col("place") <= F.col("have") - needed)
+    return common.cut(tiles.select("shingle", "id", "n", (F.col("have") - F.col("place")).alias("left"), "root"), "foreign-tiles")
+
+
 def class_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect whatever the tiles (shingle, id, n, left) hold of similar sets."""
     found = tried = None
-    labelled = tiles.withColumn("root", F.col("id"))
+    labelled, dealt = tiles.withColumn("root", F.col("id")), min(100, 100 - percent + SPARE)
     for turn, stars in enumerate(STARS):
         # representatives of a tile and size band: the least id, then others by a hash, so that tiles of one group have the same; they meet their own band and the next
         by = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         banded = labelled.withColumn("band", _band(F.col("n"), percent))
         heads = banded.withColumn("star", F.row_number().over(Window.partitionBy("shingle", "band").orderBy(by, "id"))).where(F.col("star") <= stars)
         meets = heads.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("left").alias("la"))
-        pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), F.col("la"), F.col("left"), percent))
+        pairs = banded.join(meets, ["shingle", "band"]).where((F.col("ra") != F.col("root")) & _feasible(F.col("na"), F.col("n"), F.col("la"), F.col("left"), percent, dealt))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "met")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = links(pairs, sets, percent)
         found = new if found is None else found.unionByName(new)
         # tiles within one component are done
-        labelled = _roots(tiles, found).select("shingle", "id", "n", "left", "root")
+        labelled = _roots(labelled.drop("root"), found).select("shingle", "id", "n", "left", "root")
         open_ = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
         labelled = common.cut(labelled.join(open_, "shingle", "left_semi"), "open")
+        if turn == len(STARS) - 2:
+            labelled, dealt = foreign(labelled, sets, percent), 100
         if labelled.isEmpty():
             return found
     # what is left: all pairs of open tiles in different components, in parts of TILE classes
@@ -391,7 +424,7 @@ def class_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a tile in different components that can reach the similarity by their sizes and places.
+    """Pairs (a, b) of a tile in different components that can reach the similarity by their sizes and places in whole sets.
 
     A tile's classes are dealt into parts of about TILE; a part meets itself and the others, each pair
     of parts in one row, which holds five numbers a class. Bitmaps are joined to what passes.
@@ -402,21 +435,18 @@ def _open_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     spread = dealt.withColumn("meet", F.explode(meets))
     columns = ["part", "id", "n", "left", "root"]
     tiles = spread.groupBy("shingle", F.col("meet.i").alias("i"), F.col("meet.j").alias("j")).agg(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in columns))).alias("rows"))
-    p = min(100, 100 - percent + SPARE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("rows")
             at = lists.offsets.to_numpy()
             part, ids, n, left, root = (lists.values.field(c).to_numpy() for c in columns)
-            spare = (n * p + 99) // 100 - n
             for i, j, a, b in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), at[:-1], at[1:], strict=True):
                 ones, others = a + np.flatnonzero(part[a:b] == i), a + np.flatnonzero(part[a:b] == j)
                 found = []
                 for k in ones:
                     o = others[(root[others] != root[k]) & (np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent)]
-                    both = -(-(n[o] + n[k]) * percent // (100 + percent))
-                    o = o[np.minimum(left[o], left[k]) >= np.minimum(spare[o], spare[k]) + both]
+                    o = o[np.minimum(left[o], left[k]) >= -(-(n[o] + n[k]) * percent // (100 + percent))]
                     o = o[o > k] if i == j else o
                     found.append(np.stack([np.minimum(ids[o], ids[k]), np.maximum(ids[o], ids[k])]))
                 pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
