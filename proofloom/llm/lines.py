@@ -18,7 +18,6 @@ share their lines and are changed alike; an empty table gives no rows; all colum
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,6 @@ from . import common, words
 from .components import components
 
 MIN_WORDS = 4
-#: Distance and blocks of block_keys, which the line search does not use.
-DISTANCE, BLOCKS = 3, 5
 SIMILARITY = 0.8
 #: Columns of 64 parities each.
 SIDES = ["s0", "s1", "s2", "s3"]
@@ -42,6 +39,12 @@ BUCKET = 500_000
 DEAL = 2_000_000
 #: Bits of the bitmap that tells which lines' texts are needed.
 WANTED_LOG2 = 23
+#: Bytes of text for each run that is dealt out, about; it decides the number of buckets alone.
+RUN_BYTES = 7
+#: Rows in an Arrow batch of candidates, and of pairs of lines.
+DEAL_ROWS, PAIR_ROWS = 50_000, 2_000
+#: Lines of more words are compared one pair at a time, shorter ones in blocks.
+LONG_LINE = 160
 
 _U = np.uint64
 # lower-cases A-Z, makes digits 0, keeps letters and bytes of non-ASCII characters; 32 elsewhere
@@ -62,6 +65,15 @@ def _line_offsets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(starts, at[-1]), owner, number
 
 
+def _line_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each line's words in their order."""
+    n = np.diff(first)
+    place = np.arange(len(hashes)) - np.repeat(first[:-1] - first[0], n)
+    total = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(words.mix(hashes + place.astype(_U) * _U(0x9E3779B97F4A7C15)), out=total[1:])
+    return words.mix(total[first[1:]] - total[first[:-1]] + n.astype(_U)).view(np.int64)
+
+
 def _chunk_lines(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
     """For each chunk of texts: doc_id, number, hash and words of its lines of enough words, with all words' hashes and byte lengths and each line's first word."""
     data, at = common.string_buffers(batch.column("text"))
@@ -76,27 +88,7 @@ def _chunk_lines(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
         if not len(use):
             continue
         hashes = words.span_hashes(low, starts, ends)
-        place = np.arange(len(hashes)) - np.repeat(first[:-1], n)
-        total = np.zeros(len(hashes) + 1, _U)
-        np.cumsum(words.mix(hashes + place.astype(_U) * _U(0x9E3779B97F4A7C15)), out=total[1:])
-        key = words.mix(total[first[use + 1]] - total[first[use]] + n[use].astype(_U))
-        yield ids[i:j][owner[use]], number[use], key.view(np.int64), n[use], hashes, ends - starts, first[use]
-
-
-def _scan(min_words: int):
-    """Lines with their hash, number of words and parities: bit k of 256 tells whether an odd number of words have it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, number, key, n, hashes, _, first in _chunk_lines(batch, min_words):
-                bit = _U(1) << (hashes & _U(63))
-                which = hashes >> _U(6) & _U(3)
-                # every second stretch lies between two lines
-                bounds = np.stack([first, first + n], axis=1).ravel()
-                sides = [np.bitwise_xor.reduceat(np.append(np.where(which == _U(k), bit, _U(0)), _U(0)), bounds)[::2].copy().view(np.int64) for k in range(len(SIDES))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, number, key, n.astype(np.int64), *sides)], names=["doc_id", "line", "id", "n", *SIDES])
-
-    return run
+        yield ids[i:j][owner[use]], number[use], _line_keys(hashes, first)[use], n[use], hashes, ends - starts, first[use]
 
 
 def least_words(n: np.ndarray, least: float) -> np.ndarray:
@@ -120,8 +112,13 @@ def prefixes(longest: int, least: float) -> dict[int, np.ndarray]:
     return out
 
 
-def _runs(min_words: int, least: float, buckets: int):
-    """Packs key, id and length of every line's first runs by bucket of keys."""
+_FIRST = ", ".join(f"{c} long" for c in ("doc_id", "line", "id", "n", *SIDES, "bucket")) + ", packed binary"
+
+
+def _first_pass(min_words: int, least: float, buckets: int):
+    """Rows of two kinds. Lines with their hash, number of words and parities: bit k of 256 tells whether an
+    odd number of words have it. And by bucket of keys the packed key, id and length of every line's first runs."""
+    names = [c.split()[0] for c in _FIRST.split(", ")]
 
     def packs(some: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         value, ids, n = (np.concatenate(x) for x in zip(*some, strict=True))
@@ -133,13 +130,21 @@ def _runs(min_words: int, least: float, buckets: int):
         rows["code"] = np.searchsorted(_CODES, n[order], side="right") - 1
         bucket = bucket[order].astype(np.int64)
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)], pa.binary())], names=["bucket", "packed"])
+        packed = [rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(starts), pa.int64())] * (len(names) - 2), pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        tables = prefixes(256, least)
+        tables, held = prefixes(256, least), 0
         for batch in batches:
-            for _, _, key, n, hashes, size, first in _chunk_lines(batch, min_words):
+            for doc, number, key, n, hashes, size, first in _chunk_lines(batch, min_words):
+                bit = _U(1) << (hashes & _U(63))
+                which = hashes >> _U(6) & _U(3)
+                # every second stretch lies between two lines
+                bounds = np.stack([first, first + n], axis=1).ravel()
+                sides = [np.bitwise_xor.reduceat(np.append(np.where(which == _U(k), bit, _U(0)), _U(0)), bounds)[::2].copy().view(np.int64) for k in range(len(SIDES))]
+                lines = [pa.array(x) for x in (doc, number, key, n.astype(np.int64), *sides)]
+                yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.binary())], names=names)
                 _, once = np.unique(key, return_index=True)
                 if n.max() >= len(tables[1]):
                     tables = prefixes(2 * int(n.max()), least)
@@ -150,9 +155,10 @@ def _runs(min_words: int, least: float, buckets: int):
                         of = few[(table[n[few]] > 0) & (n[few] >= q)]
                         if len(of):
                             some.append(_first_runs(q, table[n[of]], key[of], n[of], first[of], hashes, upto))
-            if sum(len(x) for x, *_ in some) > DEAL:
-                yield packs(some)
-                some = []
+                            held += len(some[-1][0])
+                if held > DEAL:
+                    yield packs(some)
+                    some, held = [], 0
         if some:
             yield packs(some)
 
@@ -212,14 +218,6 @@ def _meet(least: float):
     return run
 
 
-def block_keys(sim: np.ndarray, distance: int, blocks: int) -> Iterator[np.ndarray]:
-    """For every choice of blocks - distance blocks the value of sim there, mixed with the choice's number."""
-    bounds = np.linspace(0, 64, blocks + 1).astype(int)
-    masks = [((1 << int(b)) - (1 << int(a))) for a, b in zip(bounds, bounds[1:], strict=False)]
-    for k, some in enumerate(combinations(range(blocks), blocks - distance)):
-        yield words.mix((sim & _U(sum(masks[x] for x in some))) + _U((k + 1) * 0xD1342543DE82EF95 % (1 << 64)))
-
-
 def _deal(buckets: int, columns: list[str]):
     """Packs the columns, the first of which is the key, by bucket of keys."""
 
@@ -318,10 +316,48 @@ def similar(a: str, b: str, least: float) -> bool:
     return min(len(x), len(y)) >= least * most and most - edit_distance(x, y) >= least * most
 
 
+def within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """For each pair of word-hash sequences whether their edit distance is at most `most`; pairs of like length are worked on together in a band of the table."""
+    la, lb = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    ok = np.zeros(len(xs), bool)
+    near = np.flatnonzero(np.abs(la - lb) <= most)
+    longest = np.maximum(la, lb)
+    for k in near[longest[near] > LONG_LINE]:
+        ok[k] = edit_distance(xs[k].tolist(), ys[k].tolist()) <= most[k]
+    near = near[longest[near] <= LONG_LINE]
+    near = near[np.argsort(longest[near], kind="stable")]
+    for at in range(0, len(near), 1024):
+        some = near[at : at + 1024]
+        d, n, m = int(most[some].max()), int(la[some].max()), int(lb[some].max())
+        x = np.zeros((len(some), n), _U)
+        y = np.zeros((len(some), n + 2 * d + 1 + m), _U)
+        for row, k in enumerate(some):
+            x[row, : la[k]] = xs[k]
+            y[row, d : d + lb[k]] = ys[k]
+        offset = np.arange(2 * d + 1, dtype=np.int32)
+        far = np.int32(1 << 20)
+        # column k of the band stands for the place i + k - d of y
+        row = np.broadcast_to(np.where(offset >= d, offset - d, far), (len(some), 2 * d + 1)).astype(np.int32)
+        ends = lb[some] - la[some] + d
+        for i in range(1, n + 1):
+            below = np.full_like(row, far)
+            below[:, :-1] = row[:, 1:] + 1
+            row = np.minimum(row + (x[:, i - 1 : i] != y[:, i - 1 : i + 2 * d]), below)
+            if i <= d:
+                row[:, : d - i] = far
+                row[:, d - i] = i
+            row = np.minimum.accumulate(row - offset, axis=1) + offset
+            last = np.flatnonzero(la[some] == i)
+            ok[some[last]] = row[last, ends[last]] <= most[some[last]]
+    return ok
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similar(x, y, least) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            xs, ys = ([np.frombuffer(v.as_py(), _U) for v in batch.column(c)] for c in ("x", "y"))
+            longer = np.array([max(len(x), len(y)) for x, y in zip(xs, ys, strict=True)], np.int64)
+            ok = within(xs, ys, longer - least_words(longer, least))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return run
@@ -332,7 +368,7 @@ def _place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _texts(wanted: np.ndarray):
-    """doc_id, line and normalised words of the lines that hit the bitmap."""
+    """id (the hash of its words) and word hashes of the lines that hit the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,8 +379,17 @@ def _texts(wanted: np.ndarray):
                 lines, owner, number = _line_offsets(part, at[i : j + 1] - at[i])
                 bit = _place_hash(ids[i:j][owner], number)
                 hits = np.flatnonzero(wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                text = [" ".join(filter(None, _NORMAL[part[lines[k] : lines[k + 1]]].tobytes().decode("utf-8", "replace").split(" "))) for k in hits]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][owner[hits]]), pa.array(number[hits]), pa.array(text, pa.string())], names=["doc_id", "line", "words"])
+                if not len(hits):
+                    continue
+                # the wanted lines alone, one after another
+                size = lines[hits + 1] - lines[hits]
+                to = np.concatenate([[0], np.cumsum(size)])
+                low = _NORMAL[part[np.arange(to[-1]) + np.repeat(lines[hits] - to[:-1], size)]]
+                starts, ends, first = words.word_spans(low, to, _NOT_WORD)
+                hashes = words.span_hashes(low, starts, ends)
+                raw = hashes.tobytes()
+                found = [raw[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_line_keys(hashes, first)), pa.array(found, pa.binary())], names=["id", "words"])
 
     return run
 
@@ -377,19 +422,17 @@ def _bitmap(places: DataFrame) -> np.ndarray:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that are not their group's first occurrence."""
-    common.text_batches(docs.sparkSession)
     texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null")
-    lines = common.cut(texts.mapInArrow(_scan(min_words), ", ".join(f"{c} long" for c in ("doc_id", "line", "id", "n", *SIDES))), "lines")
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(16, min(1 << 16, n_bytes // (RUN_BYTES * BUCKET)))
+    first = common.cut(texts.mapInArrow(_first_pass(min_words, similarity, buckets), _FIRST), "lines", common.TEXT_ROWS)
+    lines = first.where("bucket is null")
     nodes = common.cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(k) for c, k in (("n", "words"), *zip(SIDES, SIDES, strict=True)))), "line-nodes")
-    n_words = nodes.agg(F.sum("words")).first()[0] or 0
-    buckets = max(16, min(1 << 16, n_words // BUCKET))
-    met = texts.mapInArrow(_runs(min_words, similarity, buckets), "bucket long, packed binary").groupBy("bucket").applyInArrow(_meet(similarity), "key long, short long")
-    met = common.cut(met, "line-runs")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    met = common.cut(first.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet(similarity), "key long, short long"), "line-runs")
     short = F.col("id").bitwiseAND(F.lit(_ID)).alias("short")
     dealt = met.join(nodes.select(short, "id", "words", *SIDES), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES]), "bucket long, packed binary")
-    tree = common.cut(dealt.groupBy("bucket").applyInArrow(_candidates(similarity, True), "a long, b long").distinct(), "candidates")
-    checked = common.cut(_checked(tree, nodes, texts, similarity), "checked")
+    tree = common.cut(dealt.groupBy("bucket").applyInArrow(_candidates(similarity, True), "a long, b long").distinct(), "candidates", DEAL_ROWS)
+    checked = _checked(tree, nodes, texts, similarity)
     links = checked.where("ok").select("a", "b")
     if not checked.where("not ok").isEmpty():
         # groups in which the edit similarity turned a pair down: all other near pairs between what is still apart
@@ -400,9 +443,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
         apart = nodes.join(again, "id", "left_semi").select("id", "words", *SIDES).join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
         rest = met.join(apart.select(short, "*"), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES, "root"]), "bucket long, packed binary")
         rest = rest.groupBy("bucket").applyInArrow(_candidates(similarity, False), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = common.cut(_checked(common.cut(rest, "candidates"), nodes, texts, similarity), "checked")
+        more = _checked(common.cut(rest, "candidates", DEAL_ROWS), nodes, texts, similarity)
         links = links.unionByName(more.where("ok").select("a", "b"))
-    common.text_batches(docs.sparkSession)
     groups = nodes.select("id", "first", "n").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = common.cut(groups, "line-groups")
     kept = groups.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
@@ -415,18 +457,22 @@ def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     """pairs (a, b) with ok: whether the edit similarity of their normalised lines is enough."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     places = common.cut(nodes.join(ends, "id", "left_semi").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "places")
-    found = texts.mapInArrow(_texts(_bitmap(places.select("doc_id", "line"))), "doc_id long, line long, words string").dropDuplicates(["doc_id", "line"])
-    worded = common.cut(places.join(found, ["doc_id", "line"]).select("id", "words"), "worded")
+    found = texts.mapInArrow(_texts(_bitmap(places.select("doc_id", "line"))), "id long, words binary")
+    worded = common.cut(found.join(places.select("id"), "id", "left_semi").dropDuplicates(["id"]), "worded", common.TEXT_ROWS)
     x, y = worded.select(F.col("id").alias("a"), F.col("words").alias("x")), worded.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, ok boolean")
+    return common.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, ok boolean"), "checked", PAIR_ROWS)
 
 
 def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with repeated lines taken out of the text, and the numbers of the lines that went (null: none)."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("removed").alias(removed_col))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left").drop("__id")
-    left = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, i: ~F.array_contains(F.col(removed_col), i.cast("long")))
-    return joined.withColumn(text_col, F.when(F.col(removed_col).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n")))
+    """docs with repeated lines taken out of the text, and the numbers of the lines that went (null: none); an input column of that name gives way."""
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__key"), F.col("removed").alias("__gone"))
+    kept = [c for c in docs.columns if c != removed_col]
+    joined = docs.join(gone, docs[id_col].cast("long") == gone["__key"], "left").drop("__key")
+    # split once: used twice below, so the optimiser keeps the projection between
+    joined = joined.withColumn("__lines", F.split(F.col(f"`{text_col}`"), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(1), F.size("__lines")), F.transform("__gone", lambda i: i.cast("int") + 1))
+    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("__lines", i)), "\n"))
+    return joined.select(*((text if c == text_col else F.col(f"`{c}`")).alias(c) for c in kept), F.col("__gone").alias(removed_col))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,14 +104,12 @@ def test_edit_distance(a, b):
     assert lines.edit_distance(a, b) == row[-1]
 
 
-def test_block_keys_meet_within_the_distance():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    b = a.copy()
-    for _ in range(lines.DISTANCE):
-        b ^= np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)
-    keys = list(zip(lines.block_keys(a, lines.DISTANCE, lines.BLOCKS), lines.block_keys(b, lines.DISTANCE, lines.BLOCKS), strict=True))
-    assert np.any([x == y for x, y in keys], axis=0).all()
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.lists(st.integers(0, 3), min_size=1, max_size=40), st.integers(0, 9)), min_size=1, max_size=20))
+def test_edits_in_blocks(pairs):
+    most = np.array([m for _, _, m in pairs])
+    xs, ys = ([np.array(p[k], np.uint64) for p in pairs] for k in (0, 1))
+    assert lines.within(xs, ys, most).tolist() == [lines.edit_distance(a, b) <= m for a, b, m in pairs]
 
 
 def test_jaccard(docs, none):
