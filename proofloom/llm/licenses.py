@@ -92,6 +92,12 @@ def parse(expression: str) -> list[str]:
     return best
 
 
+def family_grade(identifier: str) -> int:
+    """The grade of the longest family name that the identifier starts with, followed by a mark, a digit or nothing."""
+    fits = [f for f in GRADES if identifier == f or re.match(re.escape(f) + r"[-.+\d]", identifier)]
+    return GRADES[max(fits, key=len)] if fits else 0
+
+
 def evaluate(postfix: list[str]) -> int:
     """The grade of a postfix expression."""
     stack: list[int] = []
@@ -100,7 +106,7 @@ def evaluate(postfix: list[str]) -> int:
             b, a = stack.pop(), stack.pop()
             stack.append(max(a, b) if token == "or" else min(a, b) if token == "and" else min(3, a + 1))
         else:
-            stack.append(GRADES.get(re.split(r"[-.+]|\d", token, maxsplit=1)[0] or token, GRADES.get(token, 0)))
+            stack.append(family_grade(token))
     return stack[-1] if stack else 0
 
 

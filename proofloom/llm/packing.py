@@ -158,7 +158,9 @@ def place(found: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN) -> Dat
     per_salt = salted.groupBy("size", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_salt.select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = F.row_number().over(Window.partitionBy("size", "salt").orderBy(F.asc_nulls_first("doc_id"), "start", "length", "doc_tokens"))
+    # total but for rows that are equal in all of this
+    told = [c for c in ("ids_crc32", "ids") if c in found.columns]
+    own = F.row_number().over(Window.partitionBy("size", "salt").orderBy(F.asc_nulls_first("doc_id"), "start", "length", "doc_tokens", *told))
     ranked = salted.withColumn("rank", own).join(offsets, ["size", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("first")).drop("salt", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

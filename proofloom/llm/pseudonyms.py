@@ -7,8 +7,7 @@ Feistel network of ROUNDS rounds over two halves with SHA-256 of the key, the ro
 half as its round function. Numbers that fail validation are left alone.
 
 Null texts stay null with no matches; empty texts stay empty; repeated rows give repeated results;
-all other columns of the input are kept as they are (the new ones must not clash with them: pass
-other names). Very long texts are one expression each and are never cut.
+all other columns of the input are kept as they are. Very long texts are one expression each and are never cut.
 """
 
 from __future__ import annotations
@@ -19,17 +18,16 @@ from pyspark.sql import functions as F
 from . import common
 
 ROUNDS = 8
-KEY = "proofloom-demo-key"
 
 #: What is looked for, in order of precedence.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b",
-    "key": r"\b(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[0-9A-Za-z]{8,200}\b)",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
+    "key": r"\b(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[0-9A-Za-z][0-9A-Za-z._-]{6,}[0-9A-Za-z])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}(?:[ .-]\(?[0-9]{1,5}\)?){1,4}[ .-]?[0-9]{3,8}(?![0-9])|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])?[0-9]{3}[ .-][0-9]{4}(?![0-9]))",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 #: A text without these has none of the above.
@@ -126,17 +124,18 @@ def _ip(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     """Valid dates move within their 400-year cycle of 146,097 = 189 x 773 days."""
-    iso = F.when(m.contains("."), F.concat(F.substr(m, F.lit(7), F.lit(4)), F.lit("-"), F.substr(m, F.lit(4), F.lit(2)), F.lit("-"), F.substr(m, F.lit(1), F.lit(2)))).otherwise(F.regexp_replace(m, "/", "-"))
+    iso = F.when(m.rlike("^[0-9]{2}/"), F.concat(F.substr(m, F.lit(7), F.lit(4)), F.lit("-"), F.substr(m, F.lit(1), F.lit(2)), F.lit("-"), F.substr(m, F.lit(4), F.lit(2)))).when(m.contains("."), F.concat(F.substr(m, F.lit(7), F.lit(4)), F.lit("-"), F.substr(m, F.lit(4), F.lit(2)), F.lit("-"), F.substr(m, F.lit(1), F.lit(2)))).otherwise(F.regexp_replace(m, "/", "-"))
     day = F.try_to_date(iso, "yyyy-MM-dd")
     number = F.datediff(day, F.lit("1800-01-01").cast("date")).cast("long")
     cycle = F.floor(number / 146097).cast("long")
     new = F.date_add(F.lit("1800-01-01").cast("date"), (cycle * 146097 + permute_number(F.pmod(number, F.lit(146097)), key, "date", 189, 773)).cast("int"))
-    shown = F.when(m.contains("."), F.date_format(new, "dd.MM.yyyy")).when(m.contains("/"), F.date_format(new, "yyyy/MM/dd")).otherwise(F.date_format(new, "yyyy-MM-dd"))
+    shown = F.when(m.rlike("^[0-9]{2}/"), F.date_format(new, "MM/dd/yyyy")).when(m.contains("."), F.date_format(new, "dd.MM.yyyy")).when(m.contains("/"), F.date_format(new, "yyyy/MM/dd")).otherwise(F.date_format(new, "yyyy-MM-dd"))
     return F.when(day.isNotNull() & (F.year(day) >= 1400) & (F.year(day) <= 2999), shown).otherwise(m)
 
 
-def _iban(m: Column, key: str) -> Column:
-    """Country and check digits stay in place; the rest is permuted and the check digits are made anew."""
+def _iban(shown: Column, key: str) -> Column:
+    """The country stays; the rest is permuted and the check digits are made anew. Blanks between groups stay where they are."""
+    m = F.regexp_replace(shown, " ", "")
 
     def rest97(text: Column) -> Column:
         chars = F.filter(F.split(text, ""), lambda c: c != "")
@@ -145,7 +144,9 @@ def _iban(m: Column, key: str) -> Column:
     country, body = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m))
     new = permute_text(body, key, "iban")
     check = F.lpad((98 - rest97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(rest97(F.concat(body, country, F.substr(m, F.lit(3), F.lit(2)))) == 1, F.concat(country, check, new)).otherwise(m)
+    made = F.concat(country, check, new)
+    grouped = F.when(shown.contains(" "), F.trim(F.regexp_replace(made, "(.{4})", "$1 "))).otherwise(made)
+    return F.when(rest97(F.concat(body, country, F.substr(m, F.lit(3), F.lit(2)))) == 1, grouped).otherwise(shown)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -181,22 +182,27 @@ def pseudonym(m: Column, key: str, kinds: list[str]) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, kinds: list[str] | None = None, text_col: str = "text", out_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
-    """docs with out_col (the text with pseudonyms) and count_col (values that were replaced, an int; 0 for null texts)."""
+def pseudonymise(docs: DataFrame, key: str, kinds: list[str] | None = None, text_col: str = "text", out_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
+    """docs with out_col (the text with pseudonyms) and count_col (values that were replaced, an int; 0 for null texts).
+
+    key: the secret of the permutation, which the caller keeps. Input columns named like the new ones give way.
+    """
     kinds = kinds or list(PATTERNS)
+    old_name, new_name = (next(n for n in (f"{stem}{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("__old", "__new"))
     pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
     text = F.col(f"`{text_col}`")
-    found = docs.withColumn("__old", F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    found = docs.withColumn(old_name, F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     # a text's different values are permuted once each
-    found = found.withColumn("__new", F.transform(F.col("__old"), lambda m: pseudonym(m, key, kinds)))
+    found = found.withColumn(new_name, F.transform(F.col(old_name), lambda m: pseudonym(m, key, kinds)))
     between = F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(between, F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with(F.col("__old"), F.col("__new"), lambda a, b: a != b), lambda x: x))
-    new_text = F.when(F.size("__old") > 0, joined).otherwise(text)
-    return found.withColumn(count_col, F.when(F.size("__old") > 0, changed).otherwise(0)).withColumn(out_col, new_text).drop("__old", "__new")
+    joined = F.array_join(F.zip_with(between, F.col(new_name), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(F.col(old_name), F.col(new_name), lambda a, b: a != b), lambda x: x))
+    new_text = F.when(F.size(old_name) > 0, joined).otherwise(text)
+    return found.withColumn(count_col, F.when(F.size(old_name) > 0, changed).otherwise(0)).withColumn(out_col, new_text).drop(old_name, new_name)
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, how many values were replaced, and the text with pseudonyms."""
     docs = common.columns(common.read(spark, sf_dir, "documents"), doc_id=("doc_id", "long"), text=("text", "string"))
-    return pseudonymise(docs).select("doc_id", F.col("n_replaced").cast("long").alias("n_replaced"), "text")
+    # a fixed key for this query alone, so that its result can be repeated
+    return pseudonymise(docs, "key of the registered query").select("doc_id", F.col("n_replaced").cast("long").alias("n_replaced"), "text")

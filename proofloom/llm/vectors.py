@@ -28,8 +28,8 @@ STOPS = (0.5, 0.7, 0.8, 0.88, 0.94, 0.97)
 
 
 def finite(vector: Column) -> Column:
-    """True for vectors that are not null and hold finite components alone."""
-    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    """True for vectors that are not null, have components, and hold finite ones alone."""
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
 class ImpactIndex:
@@ -129,6 +129,8 @@ PROBES = 6
 ROUNDS = 8
 #: A tile part holds so many vectors.
 PART = 1024
+#: Pairs of parts in an Arrow batch.
+TILE_ROWS = 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -245,9 +247,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int = PR
     dealt = in_cells.join(counts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
     spread = dealt.withColumn("meet", F.explode(meets)).select("dims", "cell", "meet.i", "meet.j", F.struct("part", "id", "m", "v", "cells").alias("row"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     tiles = spread.groupBy("dims", "cell", "i", "j").agg(F.collect_list("row").alias("rows"))
-    found = common.cut(tiles.select("cell", "i", "j", "rows").mapInArrow(_compare(threshold), "id long, links long, root long"), "vector-links")
+    found = common.cut(tiles.select("cell", "i", "j", "rows").mapInArrow(_compare(threshold), "id long, links long, root long"), "vector-links", TILE_ROWS)
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = classes.select("h1", "h2", "id", "m").join(links, "id", "left").join(roots, "id", "left")

@@ -38,7 +38,7 @@ def test_licences(docs, none):
     assert next(r for r in rows if r.doc_id == 1).n_words == 0
 
 
-@pytest.mark.parametrize("text, postfix, grade", [("MIT OR GPL-2.0-only", "mit gpl-2.0-only or", 3), ("MIT AND GPL-2.0", "mit gpl-2.0 and", 1), ("(MIT OR Apache-2.0) AND GPL-3.0 WITH Classpath-exception-2.0", "mit apache-2.0 or gpl-3.0 classpath-exception-2.0 with and", 2), ("OR MIT", "", 0), ("MIT OR", "mit", 3)])
+@pytest.mark.parametrize("text, postfix, grade", [("MIT OR GPL-2.0-only", "mit gpl-2.0-only or", 3), ("MIT AND GPL-2.0", "mit gpl-2.0 and", 1), ("(MIT OR Apache-2.0) AND GPL-3.0 WITH Classpath-exception-2.0", "mit apache-2.0 or gpl-3.0 classpath-exception-2.0 with and", 2), ("OR MIT", "", 0), ("MIT OR", "mit", 3), ("CC0-1.0", "cc0-1.0", 3), ("CC-BY-4.0", "cc-by-4.0", 2)])
 def test_licence_expressions(text, postfix, grade):
     got = licenses.parse(text)
     assert " ".join(got) == postfix and licenses.evaluate(got) == grade
@@ -59,9 +59,9 @@ def luhn(s):
 
 
 def test_pseudonyms(spark, docs, none):
-    texts = ["card 4111 1111 1111 1111, again 4111-1111-1111-1111", "4111111111111112", "10.0.0.255 and 10.0.0.256", "born 1999-02-28, not 1999-02-30", "x.y12@mail.example.com", "+1 (212) 555-0123", "DE89370400440532013000", "plain"]
+    texts = ["card 4111 1111 1111 1111, again 4111-1111-1111-1111", "4111111111111112", "10.0.0.255 and 10.0.0.256", "born 1999-02-28, not 1999-02-30", "x.y12@mail.example.com", "+1 (212) 555-0123", "DE89370400440532013000", "plain", "DE89 3704 0044 0532 0130 00.", "call +49 30 12345678 or +44 20 7946 0958", "due 12/31/1999, not 13/31/1999", "api_key=sk_live_" + "a1B2" * 80 + " end", "token=ghp_abc-DEF.123456"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(df, "k").collect()}
     a, b = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", got[0].text)
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "4111111111111111" and luhn(re.sub(r"\D", "", a)) and got[0].n_replaced == 2
     assert got[1].text == texts[1] and got[7].text == "plain" and got[7].n_replaced == 0
@@ -72,8 +72,16 @@ def test_pseudonyms(spark, docs, none):
     assert got[5].text.startswith("+1 (") and got[5].text != texts[5]
     moved = got[6].text[4:] + "1314" + got[6].text[2:4]
     assert got[6].text != texts[6] and int(moved) % 97 == 1
-    out = pseudonyms.pseudonymise(docs)
-    assert set(docs.columns) < set(out.columns) and out.where("doc_id = 1").first().text is None and pseudonyms.pseudonymise(none).count() == 0
+    spaced = got[8].text.replace(" ", "").rstrip(".")
+    assert len(got[8].text) == len(texts[8]) and spaced != "DE89370400440532013000" and int(spaced[4:] + "1314" + spaced[2:4]) % 97 == 1
+    assert "12345678" not in got[9].text and "7946 0958" not in got[9].text and got[9].n_replaced == 2 and got[9].text.startswith("call +49 ")
+    assert "12/31/1999" not in got[10].text and "13/31/1999" in got[10].text and datetime.datetime.strptime(got[10].text[4:14], "%m/%d/%Y")
+    assert "a1B2a1B2" not in got[11].text and got[11].text.startswith("api_key=") and got[11].text.endswith(" end") and len(got[11].text) == len(texts[11])
+    assert "123456" not in got[12].text and got[12].text.startswith("token=")
+    out = pseudonyms.pseudonymise(docs.withColumn("__old", F.lit("kept")), "k")
+    assert out.select("__old").distinct().collect()[0][0] == "kept"
+    out = pseudonyms.pseudonymise(docs, "k")
+    assert set(docs.columns) < set(out.columns) and out.where("doc_id = 1").first().text is None and pseudonyms.pseudonymise(none, "k").count() == 0
 
 
 def test_number_permutation_is_a_bijection(spark):
@@ -180,11 +188,11 @@ INF, NAN = float("inf"), float("nan")
 
 
 def test_vectors(spark):
-    rows = [(0, [1.0, 0.0], 1, 1), (50, [1.0, 0.0], 1, 1), (3, [0.99, 0.01], 1, 1), (4, None, 1, 1), (5, [0.0, 0.0], 1, 1), (6, [NAN, 1.0], 1, 1), (7, [INF, 1.0], 1, 1), (8, [None, 1.0], 1, 1), (9, [0.0, 1.0], 1, 1), (10, [1.0, 0.0, 0.0], 1, 1)]
+    rows = [(0, [1.0, 0.0], 1, 1), (50, [1.0, 0.0], 1, 1), (3, [0.99, 0.01], 1, 1), (4, None, 1, 1), (5, [0.0, 0.0], 1, 1), (6, [NAN, 1.0], 1, 1), (7, [INF, 1.0], 1, 1), (8, [None, 1.0], 1, 1), (9, [0.0, 1.0], 1, 1), (10, [1.0, 0.0, 0.0], 1, 1), (11, [], 1, 1)]
     df = spark.createDataFrame(rows, VECTORS)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
     assert got[0] == (2, 0, True) and got[50] == (2, 0, False) and got[3] == (2, 0, False) and got[9] == (0, 9, True) and got[10] == (0, 10, True)
-    assert all(got[k] == (0, k, True) for k in (4, 5, 6, 7, 8))
+    assert all(got[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 11))
     top = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vectors.top_k(df, F.col("vec_id") % 50 == 0, 2).orderBy("query_id", "rank").collect()]
     assert top == [(0, 1, 50, 65536), (0, 2, 3, 64768), (50, 1, 0, 65536), (50, 2, 3, 64768)]
     empty = spark.createDataFrame([], VECTORS)
