@@ -28,8 +28,12 @@ DIMENSIONS = 1024
 SEED = 20_011
 #: A text's trigrams weigh this much together in its language's prototype.
 UNIT = 1_000_000
-#: The pipeline rejects texts whose best cosine is lower: about what unrelated vectors of this length reach by chance.
+#: Least cosine of a recognised text where no labelled texts of its length say more: about what unrelated vectors reach by chance.
 LEAST_COSINE = 0.05
+#: Labelled texts that the least cosines are taken from at most, by hash; the part of them that may lie lower; and how far below them texts still pass.
+FLOOR_ROWS, FLOOR_SHARE, FLOOR_PART = 20_000, 0.01, 1 / 3
+#: Lengths are told apart by powers of two of their letters.
+BANDS = 40
 
 _U = np.uint64
 
@@ -204,12 +208,13 @@ class Profiles:
             self.codes, self.slots = codes[order], slots[order]
         return self.slots[np.searchsorted(self.codes, used)]
 
-    def best(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the number of the best language (-1: no letter) and its cosine."""
+    def best(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the number of the best language (-1: no letter), its cosine, and the text's band of length."""
         data, at = common.string_buffers(column)
-        best, cosine = np.full(len(column), -1), np.zeros(len(column))
+        best, cosine, band = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column), np.int64)
         for i, j in common.chunks(at, 1 << 19):
             codes, row, n_letters = trigrams(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            band[i:j] = np.minimum(np.log2(np.maximum(n_letters, 1)), BANDS - 1)
             if not len(codes) or not len(self.unit):
                 continue
             r, c, n = _counts(codes, row)
@@ -225,7 +230,7 @@ class Profiles:
             ok = n_letters > 0
             best[i:j][ok] = scores.argmax(axis=1)[ok]
             cosine[i:j][ok] = scores.max(axis=1)[ok]
-        return best, cosine
+        return best, cosine, band
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -235,21 +240,45 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
         profiles = Profiles(prototypes, seed)
         names = pa.array([*langs, "und"])
         for batch in batches:
-            best, cosine = profiles.best(batch.column("text"))
+            best, cosine, _ = profiles.best(batch.column("text"))
             score = np.where(best >= 0, np.clip((cosine + 1) / 2, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names.take(pa.array(np.where(best < 0, len(langs), best))), pa.array(cosine), pa.array(score)], names=["doc_id", "lang_pred", "cosine", "score"])
 
     return common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, "doc_id long, lang_pred string, cosine double, score double")
 
 
-def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = LEAST_COSINE, text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose text has letters and reaches the cosine with some language."""
+def floors(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col: str = "text", lang_col: str = "lang", seed: int = SEED) -> np.ndarray:
+    """The least cosine for each band of length: FLOOR_PART of what all but FLOOR_SHARE of the labelled texts of this and the two neighbouring bands reach.
+
+    Fitted on FLOOR_ROWS labelled texts at most; BANDS rows reach the driver. LEAST_COSINE where no text says more.
+    """
+    rows = common.columns(docs, text=(text_col, "string"), lang=(lang_col, "string")).where("lang is not null and text is not null")
+    step = max(1, -(-rows.count() // FLOOR_ROWS))
+    least = np.full(BANDS, LEAST_COSINE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(prototypes, seed)
+        for batch in batches:
+            best, cosine, band = profiles.best(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(band[best >= 0]), pa.array(cosine[best >= 0])], names=["band", "cosine"])
+
+    found = rows.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(run, "band long, cosine double")
+    around = found.select(F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), "cosine")
+    with common.arrow_rows(docs.sparkSession, common.TEXT_ROWS):
+        for row in around.where(F.col("band").between(0, BANDS - 1)).groupBy("band").agg(F.percentile_approx("cosine", FLOOR_SHARE, 10_000).alias("low")).collect():
+            least[row.band] = max(LEAST_COSINE, FLOOR_PART * row.low)
+    return least
+
+
+def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: np.ndarray | None = None, text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text has letters and reaches the least cosine of its length with some language."""
+    least = np.full(BANDS, LEAST_COSINE) if least is None else least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(prototypes, seed)
         for batch in batches:
-            best, cosine = profiles.best(batch.column(text_col))
-            yield batch.filter(pa.array((best >= 0) & (cosine >= least)))
+            best, cosine, band = profiles.best(batch.column(text_col))
+            yield batch.filter(pa.array((best >= 0) & (cosine >= least[band])))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -465,14 +465,15 @@ def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
 
 def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with repeated lines taken out of the text, and the numbers of the lines that went (null: none); an input column of that name gives way."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__key"), F.col("removed").alias("__gone"))
+    key, gone, pieces = (next(n for n in (f"__{stem}{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("key", "gone", "lines"))
+    numbers = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
     kept = [c for c in docs.columns if c != removed_col]
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__key"], "left").drop("__key")
+    joined = docs.join(numbers, docs[id_col].cast("long") == numbers[key], "left").drop(key)
     # split once: used twice below, so the optimiser keeps the projection between
-    joined = joined.withColumn("__lines", F.split(F.col(f"`{text_col}`"), "\n", -1))
-    left = F.array_except(F.sequence(F.lit(1), F.size("__lines")), F.transform("__gone", lambda i: i.cast("int") + 1))
-    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("__lines", i)), "\n"))
-    return joined.select(*((text if c == text_col else F.col(f"`{c}`")).alias(c) for c in kept), F.col("__gone").alias(removed_col))
+    joined = joined.withColumn(pieces, F.split(F.col(f"`{text_col}`"), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.transform(gone, lambda i: i.cast("int") + 1))
+    text = F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(pieces, i)), "\n"))
+    return joined.select(*((text if c == text_col else F.col(f"`{c}`")).alias(c) for c in kept), F.col(gone).alias(removed_col))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
