@@ -80,3 +80,51 @@ def tiles(features: DataFrame, zoom: int) -> DataFrame:
     x = F.floor((F.col("lon_c") / 100 + 180) / 360 * n).cast("int")
     y = F.floor((1 - F.log(F.tan(lat) + 1 / F.cos(lat)) / F.lit(3.141592653589793)) / 2 * n).cast("int")
     return features.withColumns({"x": x, "y": y})
+
+
+EARTH = 6371000.0
+
+
+def rings(features: DataFrame, segments: int) -> DataFrame:
+    """entity_id, i, x, y: the closed ring of each feature's uncertainty circle on the ground, in degrees."""
+    lat, lon, step = F.col("lat_c") / 100, F.col("lon_c") / 100, F.degrees(F.coalesce("radius_m", F.lit(25000)) / EARTH)
+    turned = features.withColumns({"lat": lat, "lon": lon, "step": step}).select("entity_id", "lat", "lon", "step", F.explode(F.sequence(F.lit(0), F.lit(segments))).alias("i"))
+    angle = F.lit(2 * 3.141592653589793) * F.col("i") / segments
+    return turned.select("entity_id", "i", (F.col("lon") + F.col("step") / F.greatest(F.cos(F.radians("lat")), F.lit(0.01)) * F.cos(angle)).alias("x"), (F.col("lat") + F.col("step") * F.sin(angle)).alias("y"))
+
+
+def _crossings(ring: Column, y: Column) -> Column:
+    """x of the places where a ring (an array of x, y structs, closed) crosses the level y, sorted."""
+    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    hit = F.filter(edges, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    return F.array_sort(F.transform(hit, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+
+
+def label_point(ring: Column) -> tuple[Column, Column]:
+    """A point inside a ring: the middle of the first chord at half height (for simple rings)."""
+    ys = F.transform(ring, lambda p: p["y"])
+    y = (F.array_min(ys) + F.array_max(ys)) / 2
+    cuts = _crossings(ring, y)
+    return (F.element_at(cuts, 1) + F.element_at(cuts, 2)) / 2, y
+
+
+def points_in_rings(points: DataFrame, areas: DataFrame, cell: int) -> DataFrame:
+    """points joined to the areas (ring: a closed array of x, y structs) that hold them.
+
+    An area is keyed by every grid cell its box covers, a point by its own, so the join is an equi-join;
+    then the crossings of a ray to the right are counted.
+    """
+    at = lambda c: F.floor(c / cell).cast("long")
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    keyed = areas.withColumn("cx", F.explode(F.sequence(at(F.array_min(xs)), at(F.array_max(xs))))).withColumn("cy", F.explode(F.sequence(at(F.array_min(ys)), at(F.array_max(ys)))))
+    met = points.withColumns({"cx": at(F.col("lon_c")), "cy": at(F.col("lat_c"))}).join(keyed, ["cx", "cy"])
+    right = F.size(F.filter(_crossings(F.col("ring"), F.col("lat_c").cast("double")), lambda x: x > F.col("lon_c")))
+    return met.where(right % 2 == 1).drop("cx", "cy", "ring")
+
+
+def in_boxes(features: DataFrame, boxes: DataFrame, cell: int) -> DataFrame:
+    """features joined to the boxes (west, east, south, north) that hold them, by grid cells and a residual test."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    keyed = boxes.withColumn("cx", F.explode(F.sequence(at("west"), at("east")))).withColumn("cy", F.explode(F.sequence(at("south"), at("north"))))
+    met = features.withColumns({"cx": at("lon_c"), "cy": at("lat_c")}).join(keyed, ["cx", "cy"])
+    return met.where(F.col("lon_c").between(F.col("west"), F.col("east")) & F.col("lat_c").between(F.col("south"), F.col("north"))).drop("cx", "cy")

@@ -24,4 +24,4 @@ def query(sql: str | None = None, upto: str = "fixture"):
     return add
 
 
-from . import checks, derived, grading, history, published, states, texts, wider  # noqa: E402, F401
+from . import checks, derived, grading, history, published, states, telemetry, texts, wider  # noqa: E402, F401
