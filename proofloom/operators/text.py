@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_token
@@ -10,53 +10,98 @@ from ..functions.exprs import norm_token
 SHINGLE = 5
 
 
-def words(text: Column) -> Column:
-    """The words of normalised text; empty for null."""
-    return F.coalesce(F.split(norm_token(text), " "), F.array().cast("array<string>"))
-
-
-def shingles(tokens: Column, size: int = SHINGLE) -> Column:
-    """Runs of `size` words; none for shorter texts."""
-    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
-
-
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """content hash, first document and number of copies, where there are any."""
     h = docs.where("text is not null").select(F.sha2("text", 256).alias("content"), "doc_id")
     return h.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
 
 
+def _tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, body (the normalised text) and its words, each made once: what is built on them reads the columns."""
+    body = rows.select(key, norm_token(F.col(text)).alias("body"))
+    return body.select(key, "body", F.coalesce(F.split("body", " "), F.array().cast("array<string>")).alias("words"))
+
+
+def _runs(words: Column, size: int = SHINGLE) -> Column:
+    """Hashes of all runs of `size` words; words must be a column, not an expression, as it is read for each run."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
+
+
+def candidates(docs: DataFrame, spans: DataFrame, at: int = 1) -> DataFrame:
+    """(doc_id, item_id): documents that hold the run of words of a span that starts at its word `at`, by an equi-join on 64-bit hashes."""
+    wanted = _tokens(spans, "item_id", "text").where(F.size("words") >= at + SHINGLE - 1).select("item_id", F.xxhash64(F.slice("words", at, SHINGLE)).alias("key"))
+    have = _tokens(docs, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(_runs(F.col("words")))).alias("key"))
+    return have.join(wanted, "key").select("doc_id", "item_id").distinct()
+
+
 def locate_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, item_id, at): where a span's normalised text stands in a document's, from character 1.
 
     A document is a candidate when it holds the span's first shingle, found by an equi-join; then the
     position is looked up in the text itself. Spans shorter than a shingle are not looked for.
     """
-    wanted = spans.select("item_id", norm_token(F.col("text")).alias("span")).withColumn("key", F.element_at(shingles(F.split("span", " ")), 1)).where("key is not null")
-    have = docs.select("doc_id", F.explode(F.array_distinct(shingles(words(F.col("text"))))).alias("key"))
-    pairs = have.join(wanted.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = pairs.join(wanted.select("item_id", "span"), "item_id").join(docs.select("doc_id", norm_token(F.col("text")).alias("body")), "doc_id")
+    bodies = lambda rows, key, name: rows.select(key, norm_token(F.col("text")).alias(name))
+    found = candidates(docs, spans).join(bodies(spans, "item_id", "span"), "item_id").join(bodies(docs, "doc_id", "body"), "doc_id")
     return found.withColumn("at", F.instr(F.col("body"), F.col("span"))).where("at > 0").select("doc_id", "item_id", "at")
 
 
-def trigrams(name: Column) -> Column:
-    """Distinct letter trigrams of a normalised name, padded by blanks."""
-    padded = F.concat(F.lit("  "), F.coalesce(norm_token(name), F.lit("")), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+def fuzzy_spans(docs: DataFrame, spans: DataFrame, at: int, percent: int) -> DataFrame:
+    """(doc_id, item_id, edits): where the text around a shared run of words is within percent of its length of the span.
+
+    The run that starts at the span's word `at` anchors the window; edits are counted up to the limit alone.
+    """
+    anchored = _tokens(spans, "item_id", "text").where(F.size("words") >= at + SHINGLE - 1)
+    anchored = anchored.select("item_id", F.col("body").alias("span"), F.array_join(F.slice("words", at, SHINGLE), " ").alias("run"), F.length(F.array_join(F.slice("words", 1, at - 1), " ")).alias("before"))
+    found = candidates(docs, spans, at).join(anchored, "item_id").join(docs.select("doc_id", norm_token(F.col("text")).alias("body")), "doc_id")
+    start = F.instr(F.col("body"), F.col("run")) - F.col("before") - F.when(F.col("before") > 0, 1).otherwise(0)
+    window = F.substr(F.col("body"), F.greatest(start, F.lit(1)), F.length("span"))
+    edits = F.levenshtein(F.col("span"), window)
+    return found.where(F.instr(F.col("body"), F.col("run")) > 0).withColumn("edits", edits).where(F.col("edits") * 100 <= F.length("span") * percent).select("doc_id", "item_id", "edits")
 
 
-def similar_names(names: DataFrame, percent: int, key: str = "id", name: str = "name", block: str = "block") -> DataFrame:
-    """Pairs of one block whose trigram sets have a Jaccard similarity of at least percent / 100; flags, never merges."""
-    t = names.select(key, block, F.explode(trigrams(F.col(name))).alias("gram"))
-    n = names.select(key, F.size(trigrams(F.col(name))).alias("n"))
-    a, b = t.select(F.col(key).alias("a"), block, "gram"), t.select(F.col(key).alias("b"), block, "gram")
-    both = a.join(b, [block, "gram"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    sized = both.join(n.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common")
+def name_classes(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
+    """key and class: the least key whose name is the same once normalised."""
+    n = names.select(F.col(key).alias("id"), F.coalesce(norm_token(F.col(name)), F.lit("")).alias("norm"))
+    return n.join(n.groupBy("norm").agg(F.min("id").alias("class")), "norm").select("id", "class", "norm")
 
 
-def shared_numbers(docs: DataFrame, most_documents: int) -> DataFrame:
-    """(fact, documents, first_doc) of long numbers that several documents state, but at most so many: rare shared facts."""
-    facts = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d{6,})"), F.lit(1)))).alias("fact"))
-    return facts.groupBy("fact").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc")).where(F.col("documents").between(2, most_documents))
+def similar_names(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, common) of classes whose trigram sets have a Jaccard similarity of at least percent / 100; flags, never merges.
+
+    Each class is dealt out under its rarest trigrams only, as many as must hold one of any similar
+    name's (prefix filter), and meets names of fitting length; what meets is counted exactly.
+    """
+    c = classes.select(F.col("class").alias("id"), "norm").distinct()
+    padded = c.select("id", F.concat(F.lit("  "), "norm", F.lit(" ")).alias("s"))
+    grams = padded.select("id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substr("s", i, F.lit(3)))).alias("grams")).withColumn("n", F.size("grams"))
+    each = grams.select("id", "n", F.explode("grams").alias("gram"))
+    ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram")))
+    first = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    a, b = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    met = a.join(b, "gram").where(fits).select("a", "b").distinct()
+    both = met.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    counted = both.withColumn("common", F.size(F.array_intersect("ga", "gb")).cast("long"))
+    return counted.where(F.col("common") * 100 >= percent * (F.size("ga") + F.size("gb") - F.col("common"))).select("a", "b", "common")
+
+
+def fact_lineages(docs: DataFrame, share: int, components) -> DataFrame:
+    """(doc_id, root) of documents tied by rare shared facts, numbers of three digits or more.
+
+    Exact copies count once. A fact ties its documents if at least two state it and at most one in
+    `share` of all, so the bound grows with the corpus; ties are stars to the least document.
+    """
+    first = docs.where("text is not null").groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
+    facts = first.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d{3,})"), F.lit(1)))).alias("fact"))
+    n = facts.groupBy("fact").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).crossJoin(docs.agg(F.count("*").alias("total")))
+    rare = n.where(F.col("n").between(2, F.greatest(F.lit(2), F.floor(F.col("total") / share)))).select("fact", "first_doc")
+    stars = facts.join(rare, "fact").where("doc_id <> first_doc").select("doc_id", "first_doc").distinct()
+    return components(stars, "doc_id", "first_doc").select(F.col("node").alias("doc_id"), "root")
+
+
+def segments(rows: DataFrame, key: list[str], text: str, mark: str) -> DataFrame:
+    """key, part, begins (character from 1) and content of the pieces between marks, all of the text."""
+    parts = rows.select(*key, F.posexplode(F.split(text, mark, -1)).alias("part", "content"))
+    before = F.sum(F.length("content") + 1).over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("begins", F.coalesce(before, F.lit(0)) + 1)

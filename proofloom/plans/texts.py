@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.exprs import norm_token
-from ..operators import text
+from ..operators import graph, text
 from ..sources import loading
 from ..streaming import windows
 from .register import Register
@@ -32,18 +32,32 @@ def benchmark_spans(r: Register) -> DataFrame:
     return text.locate_spans(r.driver("documents"), r.driver("benchmark"))
 
 
-@query("""f as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '(\\d{6,})', 1))) as fact from documents)
-=> select fact, count(*) as documents, min(doc_id) as first_doc from f group by 1 having count(*) between 2 and 20""")
+@query("""firsts as (select min(doc_id) as doc_id, any_value(text) as text from documents where text is not null group by sha256(text)), f as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '(\\d{3,})', 1))) as fact from firsts),
+n as (select fact, count(*) as n, min(doc_id) as first_doc from f group by 1), e as (select distinct f.doc_id as x, first_doc as y from f join n using (fact) where n between 2 and greatest(2, (select count(*) from documents) // 20) and f.doc_id <> first_doc),
+both_e as (select x, y from e union select y, x from e), rc(x, y) as (select distinct x, x from both_e union select rc.x, b.y from rc join both_e b on rc.y = b.x)
+=> select x as doc_id, min(y) as root from rc group by 1""")
 def shared_facts(r: Register) -> DataFrame:
-    return text.shared_numbers(r.driver("documents"), 20)
+    """Documents of one lineage by the rare long numbers they share; a fact of more than a twentieth of all documents is no evidence."""
+    return text.fact_lineages(r.driver("documents"), 20, graph.components)
 
 
-@query("""n as (select p_partkey as id, p_name as name, p_brand as block from part), p as (select id, block, '  ' || coalesce(NORMNAME, '') || ' ' as s from n),
-t as (select distinct id, block, substr(s, i::bigint, 3) as gram from p, range(1, 400) r(i) where i <= length(s) - 2), c as (select id, count(*) as n from t group by 1),
-j as (select x.id as a, y.id as b, count(*) as common from t x join t y on x.block = y.block and x.gram = y.gram and x.id < y.id group by 1, 2)
-=> select a, b, common from j join c ca on ca.id = a join c cb on cb.id = b where common * 100 >= 80 * (ca.n + cb.n - common)""".replace("NORMNAME", _NORM.format("name")))
+@query("""n as (select min(p_partkey) as id, coalesce(NORMNAME, '') as norm from (select p_partkey, p_name || ' ' || p_type as name from part) q group by 2), p as (select id, '  ' || norm || ' ' as s from n),
+t as (select distinct id, substr(s, i::bigint, 3) as gram from p, range(1, 400) r(i) where i <= length(s) - 2), c as (select id, count(*) as n from t group by 1),
+j as (select x.id as a, y.id as b, count(*) as common from t x join t y on x.gram = y.gram and x.id < y.id group by 1, 2)
+=> select a, b, common from j join c ca on ca.id = a join c cb on cb.id = b where common * 100 >= 60 * (ca.n + cb.n - common)""".replace("NORMNAME", _NORM.format("name")))
 def similar_names(r: Register) -> DataFrame:
-    return text.similar_names(r.driver("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("block")), 80)
+    """Pairs of different names, each named by the least part that has it."""
+    return text.similar_names(text.name_classes(_names(r)), 60)
+
+
+def _names(r: Register) -> DataFrame:
+    return r.driver("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+
+
+@query("""n as (select p_partkey as id, coalesce(NORMNAME, '') as norm from (select p_partkey, p_name || ' ' || p_type as name from part) q) => select id, min(id) over (partition by norm) as class from n""".replace("NORMNAME", _NORM.format("name")))
+def name_membership(r: Register) -> DataFrame:
+    """Which class of equal names each part is in."""
+    return text.name_classes(_names(r)).select("id", "class")
 
 
 @query("=> select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host from pages")

@@ -55,3 +55,20 @@ def host_rule(url: Column, rules: dict[str, str]) -> Column:
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def register_sql(spark, frames: dict[str, DataFrame]) -> None:
+    """Temporary views register_<name> and functions norm_token, grade_rank and grade_min for users of SQL; they end with the session."""
+    from ..functions import vocab
+
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(f"register_{name}")
+    ranks = " ".join(f"when '{g}' then {n}" for g, n in vocab.RANKED.items())
+    grades = " ".join(f"when {n} then '{g}'" for g, n in vocab.RANKED.items())
+    functions = {
+        "norm_token(t string) returns string return": f"nullif(trim(regexp_replace(lower(translate(t, '{vocab.FOLD_FROM}', '{vocab.FOLD_TO}')), '[^a-z0-9]+', ' ')), '')",
+        "grade_rank(g string) returns int return": f"case g {ranks} end",
+        "grade_min(a string, b string) returns string return": f"case when a is null then b when b is null then a when grade_rank(a) is null then a when grade_rank(b) is null then b else case least(grade_rank(a), grade_rank(b)) {grades} end end",
+    }
+    for head, body in functions.items():
+        spark.sql(f"create or replace temporary function {head} {body}")

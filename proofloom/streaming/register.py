@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence
 from ..sources import fixture
-from .windows import _base, events
+from .windows import _base, events, newest
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         raw = session.sql(fixture.TABLES["raw_observation"], lineitem=batch)
-        obs = evidence.build_observations(raw, fixture.table(session, sf_dir, "document"))
+        obs = evidence.build_observations(raw, fixture.table(session, sf_dir, "document"), fixture.table(session, sf_dir, "proposition"))
         obs.select("observation_id", "proposition_id", "membership", "signed_weight").write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
 
     rows.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
@@ -37,3 +37,25 @@ def leads_with_receipts(spark: SparkSession, sf_dir: str, lead: str, receipt: st
     joined = leads.join(receipts, F.expr(f"user_id = receipt_user and receipt_at >= lead_at and receipt_at <= lead_at + interval {within}"))
     joined.select("user_id", "lead_id", "receipt_id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long, lead_id long, receipt_id long").parquet(f"{base}/out")
+
+
+def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence counts kept up by batches: the keys of a batch are dirty, their rows so far are counted again and put in place of the old.
+
+    Each batch writes the regraded keys under its number; a key stands as its last batch left it.
+    """
+    base = _base(spark, "regrade")
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        arrived = evidence.build_observations(session.sql(fixture.TABLES["raw_observation"], lineitem=batch), fixture.table(session, sf_dir, "document"), fixture.table(session, sf_dir, "proposition"))
+        arrived.select("proposition_id", "observation_id", "membership", "magnitude").write.mode("overwrite").parquet(f"{base}/log/batch={epoch}")
+        log = session.read.parquet(f"{base}/log").where(F.col("batch") <= epoch)
+        dirty = arrived.select("proposition_id").distinct()
+        counts = log.join(dirty, "proposition_id", "left_semi").groupBy("proposition_id").agg(F.count_if(F.col("membership") == "V").alias("n_v"), F.count_if(F.col("membership") == "U").alias("n_u"))
+        counts.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+
+    rows.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return newest(spark.read.parquet(f"{base}/out"), ["proposition_id"])

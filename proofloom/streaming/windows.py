@@ -28,28 +28,78 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
 
 
-def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling day windows per event type with a watermark; the last batch's state is flushed by complete output."""
-    base = _base(spark, "daily")
-    n = (
-        events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type")
-        .agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    )
+def newest(out: DataFrame, keys: list[str]) -> DataFrame:
+    """What update mode wrote batch by batch, each key as its last batch left it."""
+    rest = [c for c in out.columns if c not in (*keys, "batch")]
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s"))
+    return last.select(*keys, "s.*")
+
+
+def run(stream: DataFrame, base: str, mode: str = "update") -> DataFrame:
+    """The stream, run over what is there; a batch goes to a folder of its number, so one that is run again replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{base}/out")
+
 
-    n.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "cents")
+def daily_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Counts per event type and window; update mode, so windows that the watermark has passed leave the state."""
+    at = F.window("ts", window, slide) if slide else F.window("ts", window)
+    n = events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(at, "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    out = newest(run(n.select("window.start", "event_type", "n", "cents"), _base(spark, "daily")), ["start", "event_type"])
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "cents")
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each user and how many there were: state as of the greatest event id, whatever the order of arrival."""
-    base = _base(spark, "latest")
+    """The last event of each user and how many there were: state as of the greatest event id, whatever the order of arrival. One row a user is state."""
     last = events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max("event_id").alias("last_event"), F.count("*").alias("events"))
+    return newest(run(last, _base(spark, "latest")), ["user_id"])
+
+
+def first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user's kind of event was first seen."""
+    first = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"))
+    return newest(run(first, _base(spark, "first")), ["user_id", "event_type"])
+
+
+def sessions(spark: SparkSession, sf_dir: str, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of users by the gap between their events; append mode, so those that the watermark has not passed at the end are closed from the rows themselves."""
+    open_ = events(spark, sf_dir).withWatermark("ts", "0 seconds").groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    out = run(open_.select("user_id", "session_window.start", "n"), _base(spark, "sessions"), "complete")
+    last = out.agg(F.max("batch").alias("batch"))
+    return out.join(last, "batch").drop("batch")
+
+
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a user's kind of event changes: state is the last event and the number so far."""
+    import pandas as pd
+
+    def step(key, frames, state):
+        last, kind, changes = state.get if state.exists else (-1, "", 0)
+        rows = pd.concat(list(frames)).sort_values("event_id")
+        rows = rows[rows.event_id > last]
+        for number, now in zip(rows.event_id, rows.event_type, strict=True):
+            changes += kind not in ("", now)
+            last, kind = int(number), now
+        state.update((last, kind, changes))
+        yield pd.DataFrame({"user_id": [key[0]], "changes": [changes]})
+
+    told = events(spark, sf_dir).groupBy("user_id").applyInPandasWithState(step, "user_id long, changes long", "last long, kind string, changes long", "update", "NoTimeout")
+    return newest(run(told, _base(spark, "drift")), ["user_id"])
+
+
+def expired_leases(spark: SparkSession, sf_dir: str, taken: str, done: str, within: str = "30 minutes") -> DataFrame:
+    """Leases that no finishing event of the same user followed in time: they return to the pending ones. Each batch is held against the static table."""
+    base = _base(spark, "leases")
+    ended = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == done).select(F.col("user_id").alias("u"), F.col("ts").alias("done_at"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        leases = batch.where(F.col("event_type") == taken)
+        late = leases.join(ended, F.expr(f"user_id = u and done_at >= ts and done_at <= ts + interval {within}"), "left_anti")
+        late.select("event_id", "user_id").write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
 
-    last.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    events(spark, sf_dir).writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
