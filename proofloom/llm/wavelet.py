@@ -25,6 +25,8 @@ from .tokens import encoder
 
 #: Tokens after which a shard is closed; a document is never split between shards.
 SHARD_TOKENS = 1 << 21
+#: Shards whose offsets are sent to all executors (about 200 bytes each); those of more shards are joined by a shuffle.
+FEW_SHARDS = 50_000
 END_ID = 1
 _MAGIC, _HEAD, _BLOCK = b"WVM1", struct.Struct("<4sIIQ"), 512
 _SHARDS = "first_doc long, last_doc long, n_docs long, n_tokens long, payload binary"
@@ -194,7 +196,8 @@ def documents(shard_table: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return named.join(starts, "shard").select("base", "payload").mapInArrow(unpack, _READ)
+    few = named.select("shard").count() <= FEW_SHARDS
+    return named.join(F.broadcast(starts) if few else starts, "shard").select("base", "payload").mapInArrow(unpack, _READ)
 
 
 def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
