@@ -112,13 +112,24 @@ def prefixes(longest: int, least: float) -> dict[int, np.ndarray]:
     return out
 
 
-_FIRST = ", ".join(f"{c} long" for c in ("doc_id", "line", "id", "n", *SIDES, "bucket")) + ", packed binary"
+def _lines(min_words: int):
+    """Lines with their hash, number of words and parities: bit k of 256 tells whether an odd number of words have it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, number, key, n, hashes, _, first in _chunk_lines(batch, min_words):
+                bit = _U(1) << (hashes & _U(63))
+                which = hashes >> _U(6) & _U(3)
+                # every second stretch lies between two lines
+                bounds = np.stack([first, first + n], axis=1).ravel()
+                sides = [np.bitwise_xor.reduceat(np.append(np.where(which == _U(k), bit, _U(0)), _U(0)), bounds)[::2].copy().view(np.int64) for k in range(len(SIDES))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, number, key, n.astype(np.int64), *sides)], names=["doc_id", "line", "id", "n", *SIDES])
 
-def _first_pass(min_words: int, least: float, buckets: int):
-    """Rows of two kinds. Lines with their hash, number of words and parities: bit k of 256 tells whether an
-    odd number of words have it. And by bucket of keys the packed key, id and length of every line's first runs."""
-    names = [c.split()[0] for c in _FIRST.split(", ")]
+    return run
+
+
+def _runs(min_words: int, least: float, buckets: int):
+    """By bucket of keys the packed key, id and length of every line's first runs."""
 
     def packs(some: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         value, ids, n = (np.concatenate(x) for x in zip(*some, strict=True))
@@ -130,21 +141,13 @@ def _first_pass(min_words: int, least: float, buckets: int):
         rows["code"] = np.searchsorted(_CODES, n[order], side="right") - 1
         bucket = bucket[order].astype(np.int64)
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        packed = [rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
-        return pa.RecordBatch.from_arrays([*[pa.nulls(len(starts), pa.int64())] * (len(names) - 2), pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)], pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         tables, held = prefixes(256, least), 0
         for batch in batches:
-            for doc, number, key, n, hashes, size, first in _chunk_lines(batch, min_words):
-                bit = _U(1) << (hashes & _U(63))
-                which = hashes >> _U(6) & _U(3)
-                # every second stretch lies between two lines
-                bounds = np.stack([first, first + n], axis=1).ravel()
-                sides = [np.bitwise_xor.reduceat(np.append(np.where(which == _U(k), bit, _U(0)), _U(0)), bounds)[::2].copy().view(np.int64) for k in range(len(SIDES))]
-                lines = [pa.array(x) for x in (doc, number, key, n.astype(np.int64), *sides)]
-                yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.binary())], names=names)
+            for _, _, key, n, hashes, size, first in _chunk_lines(batch, min_words):
                 _, once = np.unique(key, return_index=True)
                 if n.max() >= len(tables[1]):
                     tables = prefixes(2 * int(n.max()), least)
@@ -425,10 +428,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null")
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, min(1 << 16, n_bytes // (RUN_BYTES * BUCKET)))
-    first = common.cut(texts.mapInArrow(_first_pass(min_words, similarity, buckets), _FIRST), "lines", common.TEXT_ROWS)
-    lines = first.where("bucket is null")
+    lines = common.cut(texts.mapInArrow(_lines(min_words), ", ".join(f"{c} long" for c in ("doc_id", "line", "id", "n", *SIDES))), "lines", common.TEXT_ROWS)
     nodes = common.cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(k) for c, k in (("n", "words"), *zip(SIDES, SIDES, strict=True)))), "line-nodes")
-    met = common.cut(first.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet(similarity), "key long, short long"), "line-runs")
+    # dealt out in a pass of its own: a table of the runs would take more room than reading the texts again takes time
+    runs = texts.mapInArrow(_runs(min_words, similarity, buckets), "bucket long, packed binary")
+    met = common.cut(runs.groupBy("bucket").applyInArrow(_meet(similarity), "key long, short long"), "line-runs", common.TEXT_ROWS)
     short = F.col("id").bitwiseAND(F.lit(_ID)).alias("short")
     dealt = met.join(nodes.select(short, "id", "words", *SIDES), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES]), "bucket long, packed binary")
     tree = common.cut(dealt.groupBy("bucket").applyInArrow(_candidates(similarity, True), "a long, b long").distinct(), "candidates", DEAL_ROWS)
