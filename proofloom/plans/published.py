@@ -140,7 +140,8 @@ def reconciliation(r: Register) -> DataFrame:
     return m.unpivot([], ["observations", "v", "propositions"], "measure", "n")
 
 
-@query()
+@query("""h as (select entity_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('entity:' || entity_id)) as h from entity)
+=> select entity_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', ('0x' || substr(h, 17, 1))::int % 4 + 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) as surrogate from h""")
 def surrogate_keys(r: Register) -> DataFrame:
     from ..sources.loading import uuid5
 
