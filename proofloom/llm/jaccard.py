@@ -341,9 +341,9 @@ def _exact(percent: int):
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sizes and bitmaps leave room for the similarity and whose exact intersection reaches it."""
     end = lambda e, k, what, to: sets.select(F.col("id").alias(e), F.col("n").alias(f"n{k}"), F.col(what).alias(f"{to}{k}"))
-    room = pairs.join(end("a", 1, "marks", "m"), "a").join(end("b", 2, "marks", "m"), "b").select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_bounded(percent), "a long, b long")
+    room = pairs.join(end("a", 1, "marks", "m"), "a").join(end("b", 2, "marks", "m"), "b").select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(common.tidied(_bounded(percent)), "a long, b long")
     room = common.cut(room.distinct(), "pairs", PAIR_ROWS)
-    exact = room.join(end("a", 1, "members", "s").drop("n1"), "a").join(end("b", 2, "members", "s").drop("n2"), "b").select("a", "b", "s1", "s2").mapInArrow(_exact(percent), "a long, b long")
+    exact = room.join(end("a", 1, "members", "s").drop("n1"), "a").join(end("b", 2, "members", "s").drop("n2"), "b").select("a", "b", "s1", "s2").mapInArrow(common.tidied(_exact(percent)), "a long, b long")
     return common.cut(exact.distinct(), "links", PAIR_ROWS)
 
 
@@ -384,7 +384,7 @@ def foreign(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("id")
     needed = F.ceil(F.col("n") * percent / 100)
     held = labelled.select("id", "root").distinct().join(sets.select("id", "n", "members").dropDuplicates(["id", "n"]), "id").select("id", "n", "root", "members")
-    rows = common.cut(held.mapInArrow(_members, "shingle long, id long, n long, root long"), "members", PAIR_ROWS)
+    rows = common.cut(held.mapInArrow(common.tidied(_members), "shingle long, id long, n long, root long"), "members", PAIR_ROWS)
     for _ in range(2):
         shared = rows.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "classes")
         kept = rows.drop("classes", "have").join(common.cut(shared, "shared"), "shingle").withColumn("have", F.count("*").over(own)).where(F.col("have") >= needed)
@@ -460,7 +460,7 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, min(1 << 20, n_bytes // (POSTING_BYTES * BUCKET)))
-    first = common.cut(texts.mapInArrow(_first_pass(size, percent, buckets), _FIRST), "shingles", common.TEXT_ROWS)
+    first = common.cut(texts.mapInArrow(common.tidied(_first_pass(size, percent, buckets)), _FIRST), "shingles", common.TEXT_ROWS)
     own = first.where("bucket is null").select("doc_id", "n", "node", "node2", "dealt")
     some = own.where("n > 0 and doc_id is not null")
     # classes of equal sets by two hashes; id is the smallest doc_id that dealt for it, first_doc the smallest of all
@@ -468,14 +468,14 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     classes = common.cut(classes, "classes")
 
     postings = first.where("bucket is not null").select("bucket", "keys", "docs")
-    counted = common.cut(postings.select("bucket", "keys").mapInArrow(_counted, "bucket long, once binary, more binary"), "counted", PACKED_ROWS)
+    counted = common.cut(postings.select("bucket", "keys").mapInArrow(common.tidied(_counted), "bucket long, once binary, more binary"), "counted", PACKED_ROWS)
     several = common.cut(counted.groupBy("bucket").applyInArrow(_several, "bucket long, several binary"), "several")
-    shared = postings.join(several, "bucket").select("bucket", "keys", "docs", "several").mapInArrow(_kept, "shingle long, doc_id long")
+    shared = postings.join(several, "bucket").select("bucket", "keys", "docs", "several").mapInArrow(common.tidied(_kept), "shingle long, doc_id long")
     by_class = shared.join(classes.select(F.col("id").alias("doc_id"), "n").distinct(), "doc_id").select("shingle", F.col("doc_id").alias("id"), "n")
     tiles = common.cut(peeled(common.cut(by_class, "postings", PACKED_ROWS), percent), "tiles")
 
     alive = texts_of(texts.where("doc_id is not null"), tiles.select(F.col("id").alias("doc_id")).distinct())
-    sets = common.cut(alive.mapInArrow(_described(size), "id long, n long, marks binary, members binary"), "sets", common.TEXT_ROWS)
+    sets = common.cut(alive.mapInArrow(common.tidied(_described(size)), "id long, n long, marks binary, members binary"), "sets", common.TEXT_ROWS)
     found = class_links(tiles, sets, percent)
     # rows of one doc_id are one document, whatever classes they are in
     named = some.select("doc_id", "node", "node2").join(classes, ["node", "node2"])

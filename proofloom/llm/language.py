@@ -168,9 +168,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], names=["lang", "d", "v"])
 
     rows = common.columns(docs, text=(text_col, "string"), lang=(lang_col, "string")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(count, "lang string, code long, weight long").groupBy("lang", "code").agg(F.sum("weight").alias("weight"))
+    counts = rows.mapInArrow(common.tidied(count), "lang string, code long, weight long").groupBy("lang", "code").agg(F.sum("weight").alias("weight"))
     with common.arrow_rows(docs.sparkSession, common.TEXT_ROWS):
-        sums = counts.mapInArrow(bundle, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).toPandas()
+        sums = counts.mapInArrow(common.tidied(bundle), "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).toPandas()
     langs = sorted(set(sums.lang))
     prototypes = np.zeros((len(langs), dimensions))
     for k, lang in enumerate(langs):
@@ -182,7 +182,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 class Profiles:
     """Compares texts with the prototypes; keeps the vectors of up to MOST trigrams, makes the rest again."""
 
-    MOST = 60_000
+    MOST = 30_000
 
     def __init__(self, prototypes: np.ndarray, seed: int):
         self.unit, self.seed = prototypes.astype(np.float32), seed
@@ -221,11 +221,11 @@ class Profiles:
             used, where = np.unique(c, return_inverse=True)
             spot = self._slots(used)
             profiles = np.zeros((j - i, self.unit.shape[1]), np.float32)
-            for k in range(0, len(used), 8192):
-                part = (where >= k) & (where < k + 8192)
-                counts = np.zeros((j - i, min(8192, len(used) - k)), np.float32)
+            for k in range(0, len(used), 4096):
+                part = (where >= k) & (where < k + 4096)
+                counts = np.zeros((j - i, min(4096, len(used) - k)), np.float32)
                 counts[r[part], where[part] - k] = n[part]
-                profiles += counts @ self.vectors[spot[k : k + 8192]].astype(np.float32)
+                profiles += counts @ self.vectors[spot[k : k + 4096]].astype(np.float32)
             scores = (profiles @ self.unit.T) / np.maximum(np.linalg.norm(profiles, axis=1), 1e-30)[:, None]
             ok = n_letters > 0
             best[i:j][ok] = scores.argmax(axis=1)[ok]
@@ -262,7 +262,7 @@ def floors(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col:
             best, cosine, band = profiles.best(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(band[best >= 0]), pa.array(cosine[best >= 0])], names=["band", "cosine"])
 
-    found = rows.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(run, "band long, cosine double")
+    found = rows.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(common.tidied(run), "band long, cosine double")
     around = found.select(F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), "cosine")
     with common.arrow_rows(docs.sparkSession, common.TEXT_ROWS):
         for row in around.where(F.col("band").between(0, BANDS - 1)).groupBy("band").agg(F.percentile_approx("cosine", FLOOR_SHARE, 10_000).alias("low")).collect():
@@ -280,7 +280,7 @@ def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least:
             best, cosine, band = profiles.best(batch.column(text_col))
             yield batch.filter(pa.array((best >= 0) & (cosine >= least[band])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidied(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

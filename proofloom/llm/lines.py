@@ -428,13 +428,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     texts = common.columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null")
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, min(1 << 16, n_bytes // (RUN_BYTES * BUCKET)))
-    lines = common.cut(texts.mapInArrow(_lines(min_words), ", ".join(f"{c} long" for c in ("doc_id", "line", "id", "n", *SIDES))), "lines", common.TEXT_ROWS)
+    lines = common.cut(texts.mapInArrow(common.tidied(_lines(min_words)), ", ".join(f"{c} long" for c in ("doc_id", "line", "id", "n", *SIDES))), "lines", common.TEXT_ROWS)
     nodes = common.cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(k) for c, k in (("n", "words"), *zip(SIDES, SIDES, strict=True)))), "line-nodes")
     # dealt out in a pass of its own: a table of the runs would take more room than reading the texts again takes time
-    runs = texts.mapInArrow(_runs(min_words, similarity, buckets), "bucket long, packed binary")
+    runs = texts.mapInArrow(common.tidied(_runs(min_words, similarity, buckets)), "bucket long, packed binary")
     met = common.cut(runs.groupBy("bucket").applyInArrow(_meet(similarity), "key long, short long"), "line-runs", common.TEXT_ROWS)
     short = F.col("id").bitwiseAND(F.lit(_ID)).alias("short")
-    dealt = met.join(nodes.select(short, "id", "words", *SIDES), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES]), "bucket long, packed binary")
+    dealt = met.join(nodes.select(short, "id", "words", *SIDES), "short").mapInArrow(common.tidied(_deal(buckets, ["key", "id", "words", *SIDES])), "bucket long, packed binary")
     tree = common.cut(dealt.groupBy("bucket").applyInArrow(_candidates(similarity, True), "a long, b long").distinct(), "candidates", DEAL_ROWS)
     checked = _checked(tree, nodes, texts, similarity)
     links = checked.where("ok").select("a", "b")
@@ -461,10 +461,10 @@ def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     """pairs (a, b) with ok: whether the edit similarity of their normalised lines is enough."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     places = common.cut(nodes.join(ends, "id", "left_semi").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "places")
-    found = texts.mapInArrow(_texts(_bitmap(places.select("doc_id", "line"))), "id long, words binary")
+    found = texts.mapInArrow(common.tidied(_texts(_bitmap(places.select("doc_id", "line")))), "id long, words binary")
     worded = common.cut(found.join(places.select("id"), "id", "left_semi").dropDuplicates(["id"]), "worded", common.TEXT_ROWS)
     x, y = worded.select(F.col("id").alias("a"), F.col("words").alias("x")), worded.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    return common.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, ok boolean"), "checked", PAIR_ROWS)
+    return common.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(common.tidied(_verify(similarity)), "a long, b long, ok boolean"), "checked", PAIR_ROWS)
 
 
 def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+#: Bytes that are hashed together.
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -24,7 +26,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, up to n."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             step = np.full(size, base, dtype=_U)
             step[0] = 1
@@ -66,11 +68,19 @@ def word_spans(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end]; equal bytes give equal hashes wherever they stand."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
+    """64-bit hashes of data[start:end]; equal bytes give equal hashes wherever they stand. Spans are in order; they are worked on in blocks, so memory does not follow the longest text."""
+    out = np.empty(len(starts), dtype=_U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
+        first, last = int(starts[i]), int(ends[j - 1])
+        up, down = _power(last - first + 1)
+        total = np.zeros(last - first + 1, dtype=_U)
+        np.cumsum(_BYTE[data[first:last]] * up[: last - first], out=total[1:])
+        a, b = starts[i:j] - first, ends[i:j] - first
+        out[i:j] = mix((total[b] - total[a]) * down[a] + (b - a).astype(_U))
+        i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
