@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written under spark.checkpoint.dir (a temporary folder where that is unset) and read back."""
+    """df, written under spark.checkpoint.dir and read back. Where that is unset, a temporary folder serves local mode (tests); elsewhere it is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="proofloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/proofloom/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The same as functions of a Register, for callers who run several over one.
+FUNCTIONS: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
 
@@ -16,6 +18,7 @@ def query(sql: str | None = None, upto: str = "fixture"):
     from .register import Register
 
     def add(f: Callable[[Register], DataFrame]):
+        FUNCTIONS[f.__name__] = f
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Register(spark, sf_dir))
         if sql is not None:
             ORACLE[f.__name__] = whole(sql, upto)

@@ -71,9 +71,9 @@ def rescoring_sample(r: Register) -> DataFrame:
 @query(f"=> select entity_id, count(*) as hits from graded where class in ('EXIST', 'LOCATE') and grade in ('A', 'B', 'C') and entity_id in (select entity_id from entity where {_SHOWN}) group by 1", "graded")
 def register_facets(r: Register) -> DataFrame:
     """Entities with a badge whose class and band both match: one predicate on the badge."""
-    badges = r.graded.groupBy("entity_id").agg(F.collect_list(F.struct("class", "grade")).alias("badges")).join(r.table("entity").where(_SHOWN), "entity_id", "left_semi")
-    hit = F.filter("badges", lambda b: b["class"].isin("EXIST", "LOCATE") & b["grade"].isin("A", "B", "C"))
-    return badges.select("entity_id", F.size(hit).cast("long").alias("hits")).where("hits > 0")
+    hit = F.col("class").isin("EXIST", "LOCATE") & F.col("grade").isin("A", "B", "C")
+    badges = r.graded.groupBy("entity_id").agg(F.count_if(hit).alias("hits")).where("hits > 0")
+    return badges.join(r.table("entity").where(_SHOWN), "entity_id", "left_semi").select("entity_id", "hits")
 
 
 @query("=> select country, typology as most_common from (select country, typology, row_number() over (partition by country order by count(*) desc, typology) as k from entity group by country, typology) t where k = 1")
@@ -125,11 +125,11 @@ def fixed_width_scan(r: Register) -> DataFrame:
     return line.select(F.substring("value", 1, 12).cast("long").alias("c_custkey"), F.rtrim(F.substring("value", 13, 12)).alias("c_mktsegment"))
 
 
-@query("=> select n_nationkey, n_name from nation")
+@query("=> select c_custkey, c_name from customer")
 def xml_scan(r: Register) -> DataFrame:
     at = _folder(r)
-    r.driver("nation").select("n_nationkey", "n_name").write.format("xml").option("rowTag", "nation").save(at)
-    return r.spark.read.format("xml").schema("n_nationkey int, n_name string").option("rowTag", "nation").load(at)
+    r.driver("customer").select("c_custkey", "c_name").write.format("xml").option("rowTag", "customer").save(at)
+    return r.spark.read.format("xml").schema("c_custkey long, c_name string").option("rowTag", "customer").load(at)
 
 
 @query(f"""=> select 'proposition' as tab, count(*) as n from proposition where entity_id in (select entity_id from entity where {_SHOWN}) union all select 'observation', count(*) from obs where proposition_id in (select proposition_id from proposition where entity_id in (select entity_id from entity where {_SHOWN}))

@@ -72,3 +72,19 @@ def test_caps_only_lower_and_clamp_is_idempotent(spark):
     once = r.final
     again = score.clamp(once.withColumn("grade", once.final).drop("final", "clamped"))
     assert again.where("clamped").count() == 0
+
+
+def test_ring_of_sixty_and_a_chain_on_it(spark):
+    ring = [(i, (i + 1) % 60) for i in range(60)] + [(500 + i, 501 + i) for i in range(20)] + [(520, 3), (7, 700)]
+    assert {r.node for r in graph.on_cycle(edges(spark, ring)).collect()} == set(range(60))
+    two = graph.strong_parts(edges(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 5)])).collect()
+    assert {(r.node, r.part) for r in two} == {(1, 2), (2, 2), (3, 4), (4, 4)}
+
+
+def test_clamp_reaches_the_end_of_a_long_chain(spark):
+    rows = [(k, "EXIST" if k == 0 else "STATUS", None if k == 0 else k - 1, "E" if k == 0 else "A") for k in range(25)] + [(100, "STATUS", 999, "B")]
+    out = {r.proposition_id: r.final for r in score.clamp(spark.createDataFrame(rows, "proposition_id long, class string, parent_id long, grade string")).collect()}
+    assert out == {k: "E" for k in range(25)} | {100: "B"}
+    circle = spark.createDataFrame([(1, "STATUS", 2, "A"), (2, "STATUS", 1, "B")], "proposition_id long, class string, parent_id long, grade string")
+    with pytest.raises(ValueError):
+        score.clamp(circle)

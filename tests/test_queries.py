@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from proofloom.plans import registry
+from proofloom.plans.register import Register
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +27,15 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def register(spark):
+    """One for all queries, so that lineages and grades are made once."""
+    return Register(spark, SF)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query_equals_oracle(spark, duck, name):
-    got = registry.QUERIES[name](spark, SF).toPandas()
+def test_query_equals_oracle(register, duck, name):
+    got = registry.FUNCTIONS[name](register).toPandas()
     if name not in registry.ORACLE:
         assert len(got)
         return
