@@ -201,3 +201,11 @@ def test_vectors(spark):
 
 def test_components_of_nothing(spark):
     assert components.components(spark.createDataFrame([(1, 1), (2, None)], "a long, b long")).count() == 0
+
+
+def test_arrow_settings_stay_as_they_were(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    jaccard.component_table(docs).count()
+    vectors.near_duplicates(spark.createDataFrame([(0, [1.0, 0.0], 1, 1)], VECTORS)).count()
+    assert spark.conf.get(name) == before
