@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import graph, score, state
+from ..operators import graph, state
 from ..operators.shared import cut
 from .register import Register
 from .registry import query
