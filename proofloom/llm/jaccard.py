@@ -26,7 +26,6 @@ no rows; a null doc_id links with nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
