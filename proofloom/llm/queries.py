@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact import OP11_SQL, op11_exact_dedup
 from .jaccard import op7_jaccard_join
 from .language import op3_language_id
 from .licenses import op2_license_scan
 from .lines import op5_line_dedup
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op6_packing
 from .pseudonyms import op4_pseudonyms
@@ -34,7 +36,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_topk_search": op9_topk_search,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": _pipeline,
 }
 
-ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL}
+ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL, "op11_exact_dedup": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
