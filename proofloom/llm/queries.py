@@ -14,6 +14,7 @@ from .lines import op5_line_dedup
 from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op6_packing
+from .phrases import OP12_SQL, op12_phrase_mining
 from .pseudonyms import op4_pseudonyms
 from .vectors import op9_topk_search, op10_embedding_dedup
 from .wavelet import op1_wavelet_shards
@@ -37,8 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk_search": op9_topk_search,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": _pipeline,
 }
 
-ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL, "op11_exact_dedup": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL, "op11_exact_dedup": OP11_SQL, "op12_phrase_mining": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
