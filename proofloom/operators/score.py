@@ -98,8 +98,9 @@ def limiting() -> Column:
 def candidate_sets(propositions: DataFrame, graded: DataFrame, sets: DataFrame) -> DataFrame:
     """candidate_set_id with members, documented instances and program_ok: at most three members a documented instance, and a program graded A or B."""
     in_set = propositions.where("candidate_set_id is not null").select("proposition_id", "candidate_set_id", "class", "entity_id")
-    with_grade = in_set.join(graded.select("proposition_id", "grade"), "proposition_id")
-    program = F.col("grade").isin("A", "B") & (F.col("class") == "PROGRAM")
+    # members count whether graded or not, so that only a set's programs need grades
+    with_grade = in_set.join(graded.select("proposition_id", "grade"), "proposition_id", "left")
+    program = F.coalesce(F.col("grade").isin("A", "B"), F.lit(False)) & (F.col("class") == "PROGRAM")
     s = with_grade.groupBy("candidate_set_id").agg(F.count_distinct("entity_id").alias("members"), F.bool_or(program).alias("program")).join(sets, "candidate_set_id")
     return s.withColumn("undiluted", F.col("members") <= 3 * F.col("documented")).withColumn("program_ok", F.col("undiluted") & F.col("program"))
 
@@ -107,22 +108,26 @@ def candidate_sets(propositions: DataFrame, graded: DataFrame, sets: DataFrame)
 def clamp(graded: DataFrame, unranked_parent: bool = False) -> DataFrame:
     """graded with `final` (not above the parent's final grade) and `clamped`; PROGRAM, ORIGIN and EXIST are exempt.
 
-    Level by level from the propositions without parents, as many levels as there are. An unranked
-    parent limits its children only where unranked_parent is set. A child whose parent is not in the
-    table keeps its own grade; parents in a circle are an error.
+    By path doubling: a proposition holds the lowest grade on a stretch of its way up and where that
+    stretch ends, and each round joins it with the stretch that begins there, so a chain of n takes
+    log n rounds. An unranked parent limits its children only where unranked_parent is set; then the
+    nearest unranked one on the way up takes over. A child whose parent is not in the table keeps its
+    own grade; parents in a circle are an error.
     """
-    own = cut(graded.withColumn("free", F.col("class").isin("EXIST", "PROGRAM", "ORIGIN") | F.col("parent_id").isNull()), "own")
-    known = own.select(F.col("proposition_id").alias("parent_id"))
-    held = own.where("not free")
-    done = own.where("free").unionByName(held.join(known, "parent_id", "left_anti").select(*own.columns)).withColumn("final", F.col("grade"))
-    level = done = cut(done, "clamped")
-    open_ = cut(held.join(known, "parent_id", "left_semi").select(*own.columns), "open")
-    while not open_.isEmpty():
-        parents = level.select(F.col("proposition_id").alias("parent_id"), F.col("final").alias("parent_final"))
-        limit = F.when(exprs.grade_rank(F.col("parent_final")).isNull() & F.lit(not unranked_parent), F.col("grade")).otherwise(exprs.grade_min(F.col("grade"), F.col("parent_final")))
-        level = cut(open_.join(parents, "parent_id").withColumn("final", limit).select(*done.columns), "clamped")
-        if level.isEmpty():
+    c, rank = F.col, exprs.grade_rank(F.col("grade"))
+    own = cut(graded, "own")
+    free = c("class").isin("EXIST", "PROGRAM", "ORIGIN") | c("parent_id").isNull() | rank.isNull()
+    known = own.where(rank.isNotNull() | F.lit(unranked_parent)).select(c("proposition_id").alias("jump"), F.lit(True).alias("holds"))
+    ways = own.select("proposition_id", rank.alias("low"), F.when(rank.isNull(), c("grade")).alias("mark"), F.when(~free, c("parent_id")).alias("jump"))
+    ways = ways.join(known, "jump", "left").select("proposition_id", "low", "mark", F.when(c("holds"), c("jump")).alias("jump"))
+    now = cut(ways, "ways")
+    rounds = now.count().bit_length() + 1
+    while not now.where("jump is not null").isEmpty():
+        if not rounds:
             raise ValueError("propositions are their own parents in a circle")
-        done = done.unionByName(level)
-        open_ = cut(open_.join(level.select("proposition_id"), "proposition_id", "left_anti"), "open")
-    return done.drop("free").withColumn("clamped", F.col("final") != F.col("grade"))
+        rounds -= 1
+        ends = now.select(c("proposition_id").alias("jump"), c("low").alias("low_up"), c("mark").alias("mark_up"), c("jump").alias("next"))
+        step = now.where("jump is not null").join(ends, "jump").select("proposition_id", F.least("low", "low_up").alias("low"), F.coalesce("mark", "mark_up").alias("mark"), c("next").alias("jump"))
+        now = cut(now.where("jump is null").unionByName(step), "ways")
+    final = F.coalesce("mark", exprs.rank_grade(c("low")))
+    return own.join(now.select("proposition_id", final.alias("final")), "proposition_id").withColumn("clamped", c("final") != c("grade"))

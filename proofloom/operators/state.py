@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
-from .shared import cut
 
 def _by_seq():
     return Window.partitionBy("proposition_id").orderBy("seq")
@@ -94,21 +93,3 @@ def new_events(rated: DataFrame, log: DataFrame) -> DataFrame:
 def snapshot(events: DataFrame, obs: DataFrame) -> DataFrame:
     """The evidence as it stood when each event was written."""
     return events.select("proposition_id", "event_no").join(obs.select("proposition_id", "observation_id", "membership", "signed_weight"), "proposition_id")
-
-
-def drain(stored: DataFrame, fresh, children: DataFrame, dirty: DataFrame, most_passes: int = 8) -> tuple[DataFrame, int]:
-    """(rollup, passes): regrades dirty propositions and, while any of them moves, their children.
-
-    stored: proposition_id, grade. fresh(keys) gives (proposition_id, grade) of those keys. children:
-    parent_id, proposition_id. It ends when nothing moves any more; if that takes more than most_passes it raises.
-    """
-    now, keys = stored, cut(dirty.select("proposition_id").distinct(), "dirty")
-    for passes in range(1, most_passes + 1):
-        graded = cut(fresh(keys), "regraded")
-        moved = graded.join(now.withColumnRenamed("grade", "old"), "proposition_id", "left").where(~F.col("old").eqNullSafe(F.col("grade"))).select("proposition_id")
-        moved = cut(moved, "moved")
-        now = cut(now.join(graded.select("proposition_id"), "proposition_id", "left_anti").unionByName(graded), "rollup")
-        keys = cut(children.join(moved.withColumnRenamed("proposition_id", "parent_id"), "parent_id", "left_semi").select("proposition_id").distinct(), "dirty")
-        if keys.isEmpty():
-            return now, passes
-    raise RuntimeError(f"grades still move after {most_passes} passes")

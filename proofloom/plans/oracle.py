@@ -121,6 +121,12 @@ _PARTS = {"fixture": fixture.ctes(), "obs": OBS.strip(), "roots": ROOTS.strip(),
 _ORDER = list(_PARTS)
 
 
+def world(name: str, tables: dict[str, str], select: str) -> str:
+    """An expression that holds what `select` finds in a register some of whose tables are others: everything from the observations on is computed again inside."""
+    inner = [f"{table} as ({text})" for table, text in tables.items()] + [_PARTS[k] for k in _ORDER[1:]]
+    return f"{name} as (with recursive " + ",\n".join(inner) + f"\n{select})"
+
+
 def sql(body: str, upto: str = "fixture") -> str:
     """body under all common table expressions up to the named part; more expressions may stand in body before `=>`."""
     own, _, select = body.rpartition("=>")

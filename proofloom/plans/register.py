@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import evidence, graph, score
+from ..operators import evidence, graph, regrade, score
 from ..operators.shared import cut
 from ..sources import fixture
 
@@ -47,3 +47,8 @@ class Register:
     @cached_property
     def final(self) -> DataFrame:
         return score.clamp(self.graded.select("proposition_id", "entity_id", "class", "parent_id", "grade", "awarded", "limiting", "ceiling", "marginal", "created_on", "cap_text", "null_state", "refutation"))
+
+    @cached_property
+    def evidence(self) -> regrade.Evidence:
+        names = {"propositions": "proposition", "raw": "raw_observation", "documents": "document", "citations": "citation", "profiles": "profile", "witnesses": "witness", "sets": "candidate_set"}
+        return regrade.Evidence(**{k: self.table(v) for k, v in names.items()})

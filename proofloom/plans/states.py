@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import graph, state
+from ..operators import graph, regrade, state
 from ..operators.shared import cut
+from .oracle import world
 from .register import Register
 from .registry import query
 
@@ -55,25 +58,49 @@ def triggering_rows(r: Register) -> DataFrame:
     return t.groupBy("proposition_id").agg(F.count("*").alias("n"), F.min("observation_id").alias("first_id"), F.max("observation_id").alias("last_id"))
 
 
-def _drained(r: Register) -> DataFrame:
-    """A rollup in which a fifth of the grades are wrong, regraded from those that are dirty."""
-    final = cut(r.final.select("proposition_id", "parent_id", F.col("final").alias("grade")), "final")
-    stored = final.select("proposition_id", F.when(F.col("proposition_id") % 5 == 0, "F").otherwise(F.col("grade")).alias("grade"))
-    fresh = lambda keys: final.join(keys, "proposition_id", "left_semi").select("proposition_id", "grade")
-    return state.drain(stored, fresh, final.select("parent_id", "proposition_id"), final.where("proposition_id % 5 = 0"))[0]
+#: The evidence before the last change: rows that came since, documents that were still pending and citations that were not known.
+_EARLIER = {
+    "raw_observation": "asserted_on < date '1998-08-20'",
+    "citation": "not (citing % 97 = 5 and citing > cited)",
+    "pending": "document_id % 211 = 3",
+}
+_BEFORE = f"""raw_old as (select * from raw_observation where {_EARLIER['raw_observation']}), citation_old as (select * from citation where {_EARLIER['citation']}),
+document_old as (select * replace (case when {_EARLIER['pending']} then 'PENDING' else tier end as tier) from document),
+""" + world("old_final", {"raw_observation": "select * from raw_old", "citation": "select * from citation_old", "document": "select * from document_old"}, "select proposition_id, final from final")
+
+
+def _earlier(e: regrade.Evidence) -> regrade.Evidence:
+    tier = F.when(F.expr(_EARLIER["pending"]), "PENDING").otherwise(F.col("tier"))
+    return replace(e, raw=e.raw.where(_EARLIER["raw_observation"]), citations=e.citations.where(_EARLIER["citation"]), documents=e.documents.withColumn("tier", tier))
+
+
+def _drained(r: Register) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stored, rollup, regraded): a rollup graded before the last change, and what the drain makes of it from the evidence as it is now."""
+    now, was = r.evidence, _earlier(r.evidence)
+    before = was.roots()
+    stored = cut(regrade.grade_all(was, before), "stored")
+    changed = now.documents.join(was.documents.select("document_id", F.col("tier").alias("was")), "document_id").where("tier <> was").select("document_id")
+    dirty = regrade.dirty_keys(now, now.raw.where(f"not ({_EARLIER['raw_observation']})").select("proposition_id"), changed, (before, r.roots))
+    return stored, *regrade.drain(stored, now, r.roots, dirty)
 
 
 @query("=> select proposition_id, final as grade from final", "graded")
 def drained_rollup(r: Register) -> DataFrame:
-    """Regrading dirty keys and their children until nothing moves gives the grades from scratch."""
-    return _drained(r)
+    """Regrading what a change made dirty, and what hangs on it, gives the grades from scratch."""
+    return _drained(r)[1].select("proposition_id", F.col("final").alias("grade"))
 
 
-@query("=> select 0::bigint as lost, 0::bigint as added", "graded")
+@query(_BEFORE + "=> select class, count(*) as propositions, count(*) filter (where o.final is distinct from f.final) as moved, 0::bigint as lost, 0::bigint as added from final f left join old_final o using (proposition_id) group by 1", "graded")
 def rebuild_difference(r: Register) -> DataFrame:
-    """Rows that the incremental rollup lacks and rows that it has too many, against a rebuild; both are none."""
-    scratch, moved = r.final.select("proposition_id", F.col("final").alias("grade")), _drained(r)
-    return scratch.exceptAll(moved).agg(F.count("*").alias("lost")).crossJoin(moved.exceptAll(scratch).agg(F.count("*").alias("added")))
+    """By class, the grades that the drain moved, and rows that its rollup lacks or has too many against a rebuild from all evidence; the oracle rebuilds both states."""
+    stored, rollup, _ = _drained(r)
+    scratch = regrade.grade_all(r.evidence, r.roots).select("proposition_id", "class", "final")
+    rollup = rollup.select("proposition_id", "class", "final")
+    was = stored.select("proposition_id", F.col("final").alias("was"))
+    one = lambda df, **flags: df.select("class", *(flags.get(c, F.lit(0)).cast("long").alias(c) for c in ("propositions", "moved", "lost", "added")))
+    each = one(rollup.join(was, "proposition_id", "left"), propositions=F.lit(1), moved=(~F.col("was").eqNullSafe(F.col("final"))))
+    both = each.unionByName(one(scratch.exceptAll(rollup), lost=F.lit(1))).unionByName(one(rollup.exceptAll(scratch), added=F.lit(1)))
+    return both.groupBy("class").agg(*(F.sum(c).alias(c) for c in ("propositions", "moved", "lost", "added")))
 
 
 _WEEKS = "days as (select timestamp '2024-01-01' + to_days(7 * i) as t from range(0, 5) d(i))"
