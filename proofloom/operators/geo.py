@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +130,50 @@ def in_boxes(features: DataFrame, boxes: DataFrame, cell: int) -> DataFrame:
     keyed = boxes.withColumn("cx", F.explode(F.sequence(at("west"), at("east")))).withColumn("cy", F.explode(F.sequence(at("south"), at("north"))))
     met = features.withColumns({"cx": at("lon_c"), "cy": at("lat_c")}).join(keyed, ["cx", "cy"])
     return met.where(F.col("lon_c").between(F.col("west"), F.col("east")) & F.col("lat_c").between(F.col("south"), F.col("north"))).drop("cx", "cy")
+
+
+def ground_distance(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
+    """Great-circle metres between places in centi-degrees."""
+    rad = lambda c: F.radians(c / 100)
+    half = lambda a, b: F.pow(F.sin((rad(a) - rad(b)) / 2), 2)
+    return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), half(lat_a, lat_b) + F.cos(rad(lat_a)) * F.cos(rad(lat_b)) * half(lon_a, lon_b))))
+
+
+def place_classes(points: DataFrame, key: str = "entity_id") -> DataFrame:
+    """id, class, lon_c, lat_c: the least id at the very same place, so that a place with many is one point of a join."""
+    at = points.groupBy("lon_c", "lat_c").agg(F.min(key).alias("class"))
+    return points.select(F.col(key).alias("id"), "lon_c", "lat_c").join(at, ["lon_c", "lat_c"]).select("id", "class", "lon_c", "lat_c")
+
+
+def near_pairs(points: DataFrame, metres: int) -> DataFrame:
+    """Pairs (a, b), a < b, of points (id, lon_c, lat_c) at most so far apart on the ground; all there are.
+
+    The globe is cut into bands of latitude as high as the distance, and each band into as many equal cells as
+    are at least as wide as a point of it or of the bands beside it can reach. A point stands in its own cell and looks
+    into those of its own band and the bands beside that its reach touches, around the dateline and, where a
+    band is one cell, around the pole. Crowded cells are split by AQE, as the join needs nothing of a cell together.
+    """
+    step = math.degrees(metres / EARTH) * 100 * (1 + 1e-9)
+    bands = max(1, math.floor(18000 / step))
+    height = 18000 / bands
+    band = F.least(F.lit(bands - 1), F.floor((F.col("lat_c") + 9000) / height).cast("int"))
+
+    def reach(lat: Column) -> Column:
+        """Greatest difference of longitude, in centi-degrees, to a place within the distance of one at this latitude."""
+        c, s = F.cos(F.radians(lat / 100)), F.lit(math.sin(metres / EARTH * (1 + 1e-9)))
+        return F.when((c <= s) | F.lit(metres >= EARTH * math.pi / 2), 18000.0).otherwise(F.degrees(F.asin(s / c)) * 100)
+
+    def cells(b: Column) -> Column:
+        """Cells of a band: as wide as the reach at its end nearer to a pole, one band further on."""
+        far = F.least(F.lit(9000.0), F.greatest(F.abs((b - 1) * height - 9000), F.abs((b + 2) * height - 9000)))
+        return F.greatest(F.lit(1), F.floor(36000 / F.greatest(reach(far), F.lit(height))).cast("int"))
+
+    here = points.select("id", "lon_c", "lat_c").withColumn("band", band).withColumn("n", cells(F.col("band")))
+    cell = lambda lon: F.floor((lon + 18000) / 36000 * F.col("n")).cast("int")
+    stands = here.select(F.col("id").alias("b"), F.col("lon_c").alias("lon_b"), F.col("lat_c").alias("lat_b"), "band", F.pmod(cell(F.col("lon_c")), F.col("n")).alias("cell"))
+    looks = here.withColumn("own", F.col("band")).withColumn("band", F.explode(F.filter(F.array(*(F.col("own") + k for k in (-1, 0, 1))), lambda b: (b >= 0) & (b < bands)))).withColumn("n", cells(F.col("band")))
+    wide = reach(F.col("lat_c"))
+    low, high = cell(F.col("lon_c") - wide), cell(F.col("lon_c") + wide)
+    looks = looks.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(low, F.least(high, low + F.col("n") - 1)), lambda c: F.pmod(c, F.col("n"))))))
+    met = looks.select(F.col("id").alias("a"), "lon_c", "lat_c", "band", "cell").join(stands, ["band", "cell"]).where("a < b")
+    return met.where(ground_distance(F.col("lon_c"), F.col("lat_c"), F.col("lon_b"), F.col("lat_b")) <= metres).select("a", "b")

@@ -127,3 +127,72 @@ def origin_paths(trace: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPT
         if walk.isEmpty():
             break
     return done
+
+
+# ---- what lies ahead of each node, without a table of seeds and nodes
+
+
+def condensed(edges: DataFrame, a: str = "citing", b: str = "cited") -> tuple[DataFrame, DataFrame]:
+    """(node, part) of all nodes of the edges and the edges (a, b) between different parts: nodes that reach each other are one part, so no circle is left."""
+    e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "ways")
+    nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
+    parts = cut(nodes.join(strong_parts(e, "a", "b"), "node", "left").select("node", F.coalesce("part", "node").alias("part")), "parts")
+    ends = e.join(parts.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
+    return parts, cut(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "part-ways")
+
+
+def least_ahead(ways: DataFrame, own: DataFrame) -> DataFrame:
+    """(part, value): the least value (own: part, value) among a part and all that it leads to along acyclic ways (a, b); parts that lead to none are left out.
+
+    One value a part: each round hands improved values one way back.
+    """
+    now = cut(own.groupBy("part").agg(F.min("value").alias("value")), "least")
+    moved = now
+    while not moved.isEmpty():
+        come = ways.join(moved.withColumnRenamed("part", "b"), "b").groupBy(F.col("a").alias("part")).agg(F.min("value").alias("come"))
+        new = cut(now.join(come, "part", "full_outer").select("part", F.least("value", "come").alias("value"), F.coalesce(F.col("value").isNull() | (F.col("come") < F.col("value")), F.lit(False)).alias("moved")), "least")
+        now, moved = new.select("part", "value"), new.where("moved").select("part", "value")
+    return now
+
+
+def targets_ahead(ways: DataFrame, own: DataFrame) -> DataFrame:
+    """(part, target): the different targets (own: part, target) in a part and in all that it leads to. Parts stand for all their nodes, so a large circle costs no more than a node."""
+    new = seen = cut(own.select("part", "target").distinct(), "targets")
+    while True:
+        step = ways.join(new.withColumnRenamed("part", "b"), "b").select(F.col("a").alias("part"), "target").distinct()
+        new = cut(step.join(seen, ["part", "target"], "left_anti"), "targets")
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+
+
+def steps_to(edges: DataFrame, targets: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+    """(node, steps): fewest edges from a node to the nearest target (node), by a search from all targets at once against the edges; nodes farther than `most` are left out."""
+    back = edges.select(F.col("cited").alias("b"), F.col("citing").alias("a")).where("a is not null and b is not null and a <> b").distinct()
+    new = seen = cut(targets.select("node").distinct().withColumn("steps", F.lit(0)), "steps")
+    for k in range(1, most + 1):
+        step = back.join(new.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node")).distinct()
+        new = cut(step.join(seen, "node", "left_anti").withColumn("steps", F.lit(k)), "steps")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return seen
+
+
+def origins(edges: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the citations of each document go back to in the end, at any distance.
+
+    documents: document_id, dated (the effective date, null if none), basis (what it is taken from).
+    (document_id, first) with first = (dated, node, basis) of the earliest dated document without
+    citations; and (document_id, node), all documents without citations. Documents that cite nothing
+    are their own; those that lead into circles alone have none.
+    """
+    parts, ways = condensed(edges)
+    cites = edges.where("citing <> cited").select(F.col("citing").alias("document_id")).distinct()
+    ends = cut(documents.join(cites, "document_id", "left_anti"), "ends")
+    placed = ends.join(parts.withColumnRenamed("node", "document_id"), "document_id", "left").select(F.coalesce("part", "document_id").alias("part"), "document_id", "dated", "basis")
+    value = F.struct("dated", F.col("document_id").alias("node"), "basis")
+    least = least_ahead(ways, placed.where("dated is not null").select("part", value.alias("value")))
+    every = targets_ahead(ways, placed.select("part", F.col("document_id").alias("target")))
+    of = documents.select("document_id").join(parts.withColumnRenamed("node", "document_id"), "document_id", "left").select("document_id", F.coalesce("part", "document_id").alias("part"))
+    return of.join(least, "part").select("document_id", F.col("value").alias("first")), of.join(every, "part").select("document_id", F.col("target").alias("node"))

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written under spark.checkpoint.dir and read back. Where that is unset, a temporary folder serves local mode (tests); elsewhere it is an error."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written under spark.checkpoint.dir and read back; rows: rows per Arrow batch meanwhile, where they are heavy. Where that is unset, a temporary folder serves local mode (tests); elsewhere it is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -19,5 +19,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="proofloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/proofloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        if rows is not None:
+            spark.conf.set(batch, str(rows))
+        df.write.parquet(path)
+    finally:
+        if rows is not None:
+            spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_token
+from .shared import cut
 
 SHINGLE = 5
+#: Characters of a seed where a span has too few words for seeds of words.
+GRAM = 12
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -28,36 +32,121 @@ def _runs(words: Column, size: int = SHINGLE) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
-def candidates(docs: DataFrame, spans: DataFrame, at: int = 1) -> DataFrame:
-    """(doc_id, item_id): documents that hold the run of words of a span that starts at its word `at`, by an equi-join on 64-bit hashes."""
-    wanted = _tokens(spans, "item_id", "text").where(F.size("words") >= at + SHINGLE - 1).select("item_id", F.xxhash64(F.slice("words", at, SHINGLE)).alias("key"))
-    have = _tokens(docs, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(_runs(F.col("words")))).alias("key"))
-    return have.join(wanted, "key").select("doc_id", "item_id").distinct()
+def _pieces(spans: DataFrame, percent: int) -> DataFrame:
+    """item_id, span, most, size, key: seeds of each span, one row a seed.
 
+    A span of n characters may differ in most = n * percent / 100 edits. An edit spoils two
+    neighbouring words at most (it can take out the blank between them), so of 2 * most + 1 stretches
+    of words, none shared, one is left whole by any such edits; the first `size` words of a stretch
+    are its seed. Spans with fewer words than that have no seeds and a size of 0.
+    """
+    t = _tokens(spans, "item_id", "text").where("body is not null").withColumn("most", F.floor(F.length("body") * percent / 100).cast("int"))
+    t = t.withColumn("parts", 2 * F.col("most") + 1).withColumn("of", F.expr("size(words) div parts").cast("int")).withColumn("size", F.least(F.lit(SHINGLE), F.col("of")))
+    seeds = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64(F.slice("words", p * F.col("of") + 1, F.col("size"))))
+    return t.select("item_id", F.col("body").alias("span"), "most", "size", F.explode(F.when(F.col("size") > 0, F.array_distinct(seeds)).otherwise(F.array(F.lit(0).cast("long")))).alias("key"))
 
-def locate_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, item_id, at): where a span's normalised text stands in a document's, from character 1.
 
-    A document is a candidate when it holds the span's first shingle, found by an equi-join; then the
-    position is looked up in the text itself. Spans shorter than a shingle are not looked for.
-    """
-    bodies = lambda rows, key, name: rows.select(key, norm_token(F.col("text")).alias(name))
-    found = candidates(docs, spans).join(bodies(spans, "item_id", "span"), "item_id").join(bodies(docs, "doc_id", "body"), "doc_id")
-    return found.withColumn("at", F.instr(F.col("body"), F.col("span"))).where("at > 0").select("doc_id", "item_id", "at")
+def _seeded(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the documents that hold a seed of a span, by an equi-join on length and hash of runs of words."""
+    sizes = [r.size for r in pieces.select("size").distinct().where("size > 0").collect()]  # SHINGLE values at most
+
+    def keyed(k: int) -> Column:
+        return F.transform(F.array_distinct(_runs(F.col("words"), k)), lambda h: F.struct(F.lit(k).alias("size"), h.alias("key")))
+
+    runs = F.concat(*map(keyed, sizes)) if sizes else F.array().cast("array<struct<size:int,key:bigint>>")
+    have = _tokens(docs, "doc_id", "text").select("doc_id", F.explode(runs).alias("run")).select("doc_id", "run.size", "run.key")
+    met = have.join(pieces.where("size > 0").select("size", "key", "item_id"), ["size", "key"]).select("doc_id", "item_id").distinct()
+    bare = pieces.where("size = 0")
+    if bare.isEmpty():
+        return met
+    # too few words for seeds of words: seeds of characters, the first GRAM of most + 1 stretches, of which an edit spoils one
+    spread = bare.select("item_id", "span", "most", F.expr("length(span) div (most + 1)").alias("of"))
+    grams = spread.select("item_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("most")), lambda p: F.xxhash64(F.substr("span", p * F.col("of") + 1, F.lit(GRAM)))))).alias("key"))
+    chars = docs.select("doc_id", norm_token(F.col("text")).alias("body")).where(F.length("body") >= GRAM)
+    have = chars.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - GRAM + 1), lambda i: F.xxhash64(F.substr("body", i, F.lit(GRAM)))))).alias("key"))
+    return met.unionByName(have.join(grams, "key").select("doc_id", "item_id")).distinct()
 
 
-def fuzzy_spans(docs: DataFrame, spans: DataFrame, at: int, percent: int) -> DataFrame:
-    """(doc_id, item_id, edits): where the text around a shared run of words is within percent of its length of the span.
+def _located(docs: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
+    """doc_id, item_id, body, span, most of the documents that may hold a span."""
+    pieces = cut(_pieces(spans, percent), "pieces")
+    bodies = docs.select("doc_id", norm_token(F.col("text")).alias("body"))
+    return _seeded(docs, pieces).join(pieces.select("item_id", "span", "most").distinct(), "item_id").join(bodies, "doc_id")
 
-    The run that starts at the span's word `at` anchors the window; edits are counted up to the limit alone.
+
+def locate_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, item_id, at): the places at which a span's normalised text stands in a document's, from character 1, none overlapping the one before.
+
+    A document is a candidate when it holds the span's first words, found by an equi-join; then the
+    places are looked up in the text itself. Spans of any number of words are looked for.
     """
-    anchored = _tokens(spans, "item_id", "text").where(F.size("words") >= at + SHINGLE - 1)
-    anchored = anchored.select("item_id", F.col("body").alias("span"), F.array_join(F.slice("words", at, SHINGLE), " ").alias("run"), F.length(F.array_join(F.slice("words", 1, at - 1), " ")).alias("before"))
-    found = candidates(docs, spans, at).join(anchored, "item_id").join(docs.select("doc_id", norm_token(F.col("text")).alias("body")), "doc_id")
-    start = F.instr(F.col("body"), F.col("run")) - F.col("before") - F.when(F.col("before") > 0, 1).otherwise(0)
-    window = F.substr(F.col("body"), F.greatest(start, F.lit(1)), F.length("span"))
-    edits = F.levenshtein(F.col("span"), window)
-    return found.where(F.instr(F.col("body"), F.col("run")) > 0).withColumn("edits", edits).where(F.col("edits") * 100 <= F.length("span") * percent).select("doc_id", "item_id", "edits")
+    found = _located(docs, spans, 0)
+    return found.select("doc_id", "item_id", F.explode(_places(F.col("body"), F.col("span"))).alias("at"))
+
+
+def _places(body: Column, span: Column) -> Column:
+    """Places of span in body, from 1, none overlapping the one before. Normalised text has no special characters, so a span is its own pattern."""
+    parts = F.split(body, span, -1)
+    return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), (k - 1) * F.length(span) + 1, lambda n, x: n + F.length(x)))
+
+
+def span_edits(body: str, span: str, most: int) -> tuple[int, int] | None:
+    """Fewest edits, up to `most`, that turn span into a stretch of body, and where the first such stretch ends; bit-parallel over the span."""
+    if len(span) > len(body) + most:
+        return None
+    places: dict[str, int] = {}
+    for k, c in enumerate(span):
+        places[c] = places.get(c, 0) | 1 << k
+    full, top = (1 << len(span)) - 1, 1 << (len(span) - 1)
+    up, down, now = full, 0, len(span)
+    best = (now, 0)
+    for j, c in enumerate(body, 1):
+        eq = places.get(c, 0)
+        flat = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (full & ~(flat | up)), up & flat
+        now += bool(right & top) - bool(left & top)
+        right, left = (right << 1) & full, (left << 1) & full
+        flat = eq | down
+        up, down = left | (full & ~(flat | right)), right & flat
+        if now < best[0]:
+            best = (now, j)
+    return best if best[0] <= most else None
+
+
+def windows(body: str, span: str, most: int) -> list[tuple[int, int]]:
+    """Stretches of body, apart from each other, outside which span cannot stand with so many edits: around each of most + 1 pieces of it that an edit leaves whole."""
+    size, found = len(span) // (most + 1), []
+    for p in range(most + 1):
+        piece, at = span[p * size : (p + 1) * size], -1
+        while piece and (at := body.find(piece, at + 1)) >= 0:
+            found.append((max(0, at - p * size - most), min(len(body), at - p * size + len(span) + most)))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def fuzzy_spans(docs: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, item_id, edits, exact): documents with a stretch within percent of a span's length of edits, and the fewest edits; all there are.
+
+    Candidates come from seeds that such edits cannot all spoil; the alignment lets the stretch begin and end anywhere.
+    """
+
+    def align(frames):
+        for frame in frames:
+            kept = []
+            for r in frame.itertuples(index=False):
+                tried = [e for a, b in windows(r.body, r.span, r.most) if (e := span_edits(r.body[a:b], r.span, r.most))]
+                if tried:
+                    edits = min(e for e, _ in tried)
+                    kept.append((r.doc_id, r.item_id, edits, edits == 0))
+            yield pd.DataFrame(kept, columns=["doc_id", "item_id", "edits", "exact"])
+
+    found = _located(docs, spans, percent).select("doc_id", "item_id", "body", "span", "most")
+    return cut(found.mapInPandas(align, "doc_id long, item_id long, edits int, exact boolean"), "spans", 200)
 
 
 def name_classes(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, graph, score
+from ..operators.shared import cut
 from .register import Register
 from .registry import query
 
@@ -121,11 +122,14 @@ def cycle_members(r: Register) -> DataFrame:
 @query(_TRACE + """=> select t.seed as document_id, count(*) as reached_t5, min(t.depth) as nearest from trace t join document s on s.document_id = t.seed and s.tier in ('T1', 'T2', 'T3')
 join document d on d.document_id = t.node and d.tier = 'T5' where t.depth > 0 group by 1""")
 def citogenesis(r: Register) -> DataFrame:
-    docs = r.table("document").select("document_id", "tier")
-    seeds = docs.where(F.col("tier").isin("T1", "T2", "T3")).select(F.col("document_id").alias("seed"))
-    trace = graph.trace_origin(r.table("citation"), seeds)
+    """First-class documents that lead back to fifth-class ones: how many, and how near the nearest is."""
+    docs, edges = r.table("document").select("document_id", "tier"), r.table("citation")
     low = docs.where("tier = 'T5'").select(F.col("document_id").alias("node"))
-    return trace.where("depth > 0").join(low, "node", "left_semi").groupBy(F.col("seed").alias("document_id")).agg(F.count("*").alias("reached_t5"), F.min("depth").alias("nearest"))
+    parts, ways = graph.condensed(edges)
+    reached = graph.targets_ahead(ways, parts.join(low, "node", "left_semi").select("part", F.col("node").alias("target"))).groupBy("part").agg(F.count("*").alias("reached_t5"))
+    seeds = docs.where(F.col("tier").isin("T1", "T2", "T3")).select(F.col("document_id").alias("node"))
+    near = graph.steps_to(edges, low).select("node", F.col("steps").alias("nearest"))
+    return seeds.join(parts, "node").join(reached, "part").join(near, "node").select(F.col("node").alias("document_id"), "reached_t5", "nearest")
 
 
 @query("=> select citing, cited, kind from citation join document a on a.document_id = citing and a.tier in ('T1', 'T2', 'T3') join document b on b.document_id = cited and b.tier = 'T5'")
@@ -134,17 +138,25 @@ def direct_laundering(r: Register) -> DataFrame:
     return r.table("citation").join(docs.where(F.col("tier").isin("T1", "T2", "T3")).withColumnRenamed("document_id", "citing"), "citing", "left_semi").join(docs.where("tier = 'T5'").withColumnRenamed("document_id", "cited"), "cited", "left_semi").select("citing", "cited", "kind")
 
 
-@query(_TRACE + """, ends as (select t.seed, t.node, document_date from trace t join document on document_id = t.node where t.node not in (select citing from citation)),
-seeds as (select distinct proposition_id, document_id from obs where membership = 'V' and document_id is not null),
-found as (select s.proposition_id, coalesce(e.node, s.document_id) as origin, coalesce(e.document_date, d.document_date) as origin_date from seeds s join document d using (document_id) left join ends e on e.seed = s.document_id)
-=> select proposition_id, count(distinct origin) as origins, min(origin_date)::varchar as first_date from found group by 1""", "obs")
+@query("""reach2(x, y) as (select distinct citing, citing from citation union select r.x, c.cited from reach2 r join citation c on c.citing = r.y),
+dated as (select document_id, coalesce(document_date, first_observed) as dated, case when document_date is not null then 'document' when first_observed is not null then 'first observed' end as basis from document),
+ends as (select x as document_id, y as node from reach2 where y not in (select citing from citation)), seeds as (select distinct proposition_id, document_id from obs where membership = 'V' and document_id is not null and document_id in (select document_id from document)),
+found as (select s.proposition_id, coalesce(e.node, s.document_id) as origin from seeds s left join ends e using (document_id)),
+firsts as (select proposition_id, arg_min((dated, origin, basis), (dated, origin)) filter (where dated is not null) as f from found join dated on origin = dated.document_id group by 1)
+=> select proposition_id, origins, f[2] as first_origin, f[1]::varchar as first_date, f[3] as basis from (select proposition_id, count(distinct origin) as origins from found group by 1) n left join firsts using (proposition_id)""", "obs")
 def claim_origin(r: Register) -> DataFrame:
-    docs = r.table("document").select("document_id", "document_date")
-    edges = r.table("citation")
-    ends = graph.with_flags(_trace(r), edges).where("is_terminus").join(docs.withColumnRenamed("document_id", "node"), "node").select(F.col("seed").alias("document_id"), "node", F.col("document_date").alias("end_date"))
-    seeds = r.observations.where("membership = 'V' and document_id is not null").select("proposition_id", "document_id").distinct()
-    found = seeds.join(docs, "document_id").join(ends, "document_id", "left")
-    return found.groupBy("proposition_id").agg(F.count_distinct(F.coalesce("node", "document_id")).alias("origins"), F.min(F.coalesce("end_date", "document_date")).cast("string").alias("first_date"))
+    """How many documents without citations a claim goes back to at any distance, or its own where they lead to none, and the earliest with its date and what dates it."""
+    d = r.table("document")
+    basis = F.when(F.col("document_date").isNotNull(), "document").when(F.col("first_observed").isNotNull(), "first observed")
+    docs = cut(d.select("document_id", F.coalesce("document_date", "first_observed").alias("dated"), basis.alias("basis")), "dated")
+    first, every = graph.origins(r.table("citation"), docs)
+    seeds = cut(r.observations.where("membership = 'V' and document_id is not null").select("proposition_id", "document_id").distinct().join(docs, "document_id"), "seeds")
+    counted = seeds.select("proposition_id", "document_id").join(every, "document_id", "left").groupBy("proposition_id").agg(F.count_distinct(F.coalesce("node", "document_id")).alias("origins"))
+    # a seed without any end is its own origin; one whose ends are all undated has none with a date
+    known = every.select("document_id").distinct().withColumn("ends", F.lit(True))
+    own = F.when(F.col("ends").isNull() & F.col("dated").isNotNull(), F.struct("dated", F.col("document_id").alias("node"), "basis"))
+    best = seeds.join(known, "document_id", "left").join(first, "document_id", "left").groupBy("proposition_id").agg(F.min(F.coalesce("first", own)).alias("f"))
+    return counted.join(best, "proposition_id").select("proposition_id", "origins", F.col("f.node").alias("first_origin"), F.col("f.dated").cast("string").alias("first_date"), F.col("f.basis").alias("basis"))
 
 
 @query("""closure(node) as (select distinct document_id from obs join proposition using (proposition_id) join entity using (entity_id) where publication_state = 'PUBLISHED' and not is_canary and document_id is not null union select cited from closure join citation on citing = node)

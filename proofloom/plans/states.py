@@ -197,9 +197,8 @@ def earliest_origins(r: Register) -> DataFrame:
     """The earliest dated document without citations that a claim goes back to, else its earliest own document; and how many of its documents stand in a circle."""
     docs, edges = r.table("document").select("document_id", "document_date"), r.table("citation")
     base = cut(r.observations.where("membership = 'V' and document_id is not null").select("proposition_id", "document_id").distinct(), "base")
-    trace = graph.trace_origin(edges, base.select(F.col("document_id").alias("seed")).distinct(), 10_000)
-    ends = trace.join(edges.select(F.col("citing").alias("node")).distinct(), "node", "left_anti").join(docs.withColumnRenamed("document_id", "node"), "node").where("document_date is not null")
-    first = ends.groupBy("seed").agg(F.min(F.struct("document_date", "node")).alias("e")).withColumnRenamed("seed", "document_id")
+    first, _ = graph.origins(edges, docs.select("document_id", F.col("document_date").alias("dated"), F.lit("document").alias("basis")))
+    first = first.withColumnRenamed("first", "e")
     looped = graph.on_cycle(edges).select(F.col("node").alias("document_id"), F.lit(1).alias("loop"))
     rows = base.join(docs, "document_id").join(first, "document_id", "left").join(looped, "document_id", "left")
     far = F.coalesce("document_date", F.lit("9999-12-31").cast("date"))

@@ -26,8 +26,9 @@ def normalised_text(r: Register) -> DataFrame:
     return r.driver("documents").select("doc_id", F.md5(norm_token(F.col("text"))).alias("norm_hash"))
 
 
-@query(f"""d as (select doc_id, {_NORM.format('text')} as body from documents), b as (select item_id, {_NORM.format('text')} as span from benchmark)
-=> select doc_id, item_id, strpos(body, span) as at from d join b on strpos(' ' || body || ' ', ' ' || array_to_string(string_split(span, ' ')[1:5], ' ') || ' ') > 0 and strpos(body, span) > 0 where len(string_split(span, ' ')) >= 5""")
+@query(f"""d as (select doc_id, {_NORM.format('text')} as body from documents), b as (select item_id, {_NORM.format('text')} as span from benchmark),
+m as (select doc_id, item_id, span, string_split(body, span) as parts from d join b on strpos(' ' || body || ' ', ' ' || array_to_string(string_split(span, ' ')[1:5], ' ') || ' ') > 0 and strpos(body, span) > 0)
+=> select doc_id, item_id, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(span) + 1)::int as at from m, lateral (select unnest(range(1, len(parts))) as k) s""")
 def benchmark_spans(r: Register) -> DataFrame:
     return text.locate_spans(r.driver("documents"), r.driver("benchmark"))
 
