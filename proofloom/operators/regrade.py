@@ -9,10 +9,11 @@ propositions, so programs of touched sets are graded beside the keys.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evidence, graph, score
@@ -56,12 +57,16 @@ def _column(df: DataFrame, name: str) -> DataFrame:
     return df.select(name).distinct()
 
 
-def grade_all(e: Evidence, roots: DataFrame) -> DataFrame:
-    """The rollup from scratch: proposition_id, entity_id, class, parent_id, candidate_set_id, grade, final."""
+def grade_own(e: Evidence, roots: DataFrame) -> DataFrame:
+    """ROLLUP less `final` of all propositions: grades before their parents clamp them."""
     wide = e.wide(roots)
     sets = score.candidate_sets(e.propositions, score.evaluate(wide), e.sets)
-    graded = score.evaluate(wide, sets.select("candidate_set_id", "program_ok"))
-    return score.clamp(graded.select(*ROLLUP[:-1])).select(*ROLLUP)
+    return score.evaluate(wide, sets.select("candidate_set_id", "program_ok")).select(*ROLLUP[:-1])
+
+
+def grade_all(e: Evidence, roots: DataFrame) -> DataFrame:
+    """The rollup from scratch: proposition_id, entity_id, class, parent_id, candidate_set_id, grade, final."""
+    return score.clamp(grade_own(e, roots)).select(*ROLLUP)
 
 
 ROLLUP = ["proposition_id", "entity_id", "class", "parent_id", "candidate_set_id", "grade", "final"]
@@ -144,3 +149,55 @@ def _carried(own: DataFrame, keys: DataFrame) -> DataFrame:
         if keys.isEmpty():
             return ended
     return score.clamp(own.drop("final")).select(*ROLLUP)
+
+
+# ---- other worlds
+
+
+def grade_worlds(e: Evidence, roots: DataFrame, worlds: dict[str, Callable[[Evidence], Evidence]]) -> DataFrame:
+    """(world, ROLLUP less `final`) of several worlds, graded in one pass.
+
+    A world changes propositions, rows, profiles or sets; documents, citations and witnesses are
+    shared. The keys of each world's rows carry its number, so that counts, lineages and sets of all worlds
+    are made by the same shuffles and never mix.
+    """
+    names = list(worlds)
+    key = lambda c, k: (F.col(c) * len(names) + k).alias(c)
+    keyed = lambda df, k: df.select(*(key(c, k) if c in ("proposition_id", "parent_id", "candidate_set_id") else c for c in df.columns))
+    each = [worlds[name](e) for name in names]
+    both = lambda what: reduce(DataFrame.unionByName, (keyed(getattr(w, what), k) for k, w in enumerate(each)))
+    joint = Evidence(both("propositions"), both("raw"), e.documents, e.citations, both("profiles"), e.witnesses, both("sets"))
+    own = lambda c: F.expr(f"{c} div {len(names)}").alias(c)
+    world = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.col("proposition_id"), F.lit(len(names))) + 1).cast("int"))
+    graded = grade_own(joint, roots)
+    return graded.select(world.alias("world"), *(own(c) if c in ("proposition_id", "parent_id", "candidate_set_id") else c for c in graded.columns))
+
+
+def leads_verified(e: Evidence) -> Evidence:
+    """The world in which every lead that is still unresolved turns out as it says."""
+    return replace(e, raw=e.raw.withColumn("receipt_state", F.when(F.col("receipt_state") == "UNRESOLVED", "VERIFIED").otherwise(F.col("receipt_state"))))
+
+
+def second_null(e: Evidence, null_id: Column) -> Evidence:
+    """The world in which propositions are held against another null, as one that was selected."""
+    return replace(e, propositions=e.propositions.withColumns({"null_id": null_id, "null_selected": F.lit(True)}))
+
+
+def merged(e: Evidence, merges: DataFrame, identity: list[str]) -> tuple[Evidence, DataFrame]:
+    """The world in which entities are merged, and (proposition_id, target): which proposition each one's rows go to.
+
+    merges: a, b, any number of them; what they connect is one entity. Propositions of a merged entity
+    that agree in `identity` are one, named by the least of them: its rows are those of all, its
+    profiles its own. A parent that becomes the proposition itself is none.
+    """
+    into = graph.components(merges, "a", "b").withColumnRenamed("node", "entity_id")
+    p = e.propositions.join(into, "entity_id", "left").withColumn("whole", F.coalesce("root", "entity_id"))
+    least = p.where("root is not null").groupBy("whole", *identity).agg(F.min("proposition_id").alias("least"))
+    named = p.join(least, ["whole", *identity], "left").withColumn("target", F.coalesce("least", "proposition_id"))
+    named = cut(named.select("proposition_id", "target", "whole"), "targets")
+    heads = named.where("proposition_id = target").select("proposition_id", F.col("whole").alias("into"))
+    to = named.select(F.col("proposition_id").alias("parent_id"), F.col("target").alias("up"))
+    propositions = e.propositions.join(heads, "proposition_id").join(to, "parent_id", "left")
+    propositions = propositions.select(*(F.col("into").alias(c) if c == "entity_id" else F.when(F.coalesce("up", "parent_id") != F.col("proposition_id"), F.coalesce("up", "parent_id")).alias(c) if c == "parent_id" else c for c in e.propositions.columns))
+    raw = e.raw.join(named.select("proposition_id", "target"), "proposition_id").select(*(F.col("target").alias(c) if c == "proposition_id" else c for c in e.raw.columns))
+    return replace(e, propositions=propositions, raw=raw, profiles=e.profiles.join(heads, "proposition_id", "left_semi")), named.select("proposition_id", "target")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import norm_token
 from ..operators import geo, text
 from ..operators.shared import cut
+from ..sources import fixture
 from ..streaming import register as streams
 from ..streaming import windows
 from .register import Register
@@ -143,11 +144,22 @@ def streamed_first_appearance(r: Register) -> DataFrame:
     return windows.first_appearance(r.spark, r.sf_dir).select("user_id", "event_type", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
-@query("h as (select user_id, event_type, lag(event_type) over (partition by user_id order by event_id) as before from events) => select user_id, count(*) filter (where before <> event_type) as changes from h group by 1")
+@query("h as (select user_id, sha256(concat_ws('|', event_type, json_extract_string(props, '$.k'))) as content, event_id from events), g as (select user_id, content, lag(content) over (partition by user_id order by event_id) as before from h) => select user_id, count(*) filter (where before <> content) as changes, 0::bigint as late from g group by 1")
 def streamed_drift(r: Register) -> DataFrame:
+    """Changes of what stands behind a key from one receipt to the next; over one file no row is late."""
     return windows.drift(r.spark, r.sf_dir)
 
 
+_RANKS = "case {} when 'A' then 7 when 'B' then 6 when 'C' then 5 when 'D' then 4 when 'E' then 3 when 'F' then 2 end"
+
+
+@query(f"""h as (select proposition_id, seq, grade, lag(grade) over (partition by proposition_id order by seq) as grade_from from grade_event where not blind)
+=> select proposition_id, seq, grade_from, grade, case when grade_from is null then 'first' when grade_from = grade then 'same' when {_RANKS.format('grade_from')} is null or {_RANKS.format('grade')} is null then 'kind' when {_RANKS.format('grade')} > {_RANKS.format('grade_from')} then 'up' else 'down' end as direction, false as late from h""")
+def streamed_moves(r: Register) -> DataFrame:
+    """Every grade event with the direction of its move, from state with a timer; late ones are told and move nothing."""
+    return windows.moves(r.spark, r.sf_dir, fixture.TABLES["grade_event"])
+
+
 @query("=> select event_id, user_id from events a where event_type = 'view' and not exists (select 1 from events b where b.user_id = a.user_id and b.event_type = 'purchase' and b.ts >= a.ts and b.ts <= a.ts + interval 30 minutes)")
 def streamed_expired_leases(r: Register) -> DataFrame:
     return windows.expired_leases(r.spark, r.sf_dir, "view", "purchase")
@@ -165,10 +177,10 @@ def streamed_sliding_counts(r: Register) -> DataFrame:
     return windows.daily_counts(r.spark, r.sf_dir, "7 days", "1 day")
 
 
-@query("=> select proposition_id, count(*) filter (where membership = 'V') as n_v, count(*) filter (where membership = 'U') as n_u from obs group by 1", "obs")
+@query("=> select proposition_id, n_v, n_u, grade, final from final join counts using (proposition_id)".replace("n_v, n_u", "counts.n_v, counts.n_u"), "graded")
 def streamed_regrade(r: Register) -> DataFrame:
-    """Counts kept up batch by batch equal counts from scratch."""
-    return streams.incremental_counts(r.spark, r.sf_dir)
+    """Counts and grades kept up batch by batch equal those from scratch."""
+    return streams.incremental_grades(r.spark, r.sf_dir)
 
 
 @query("h as (select *, lag(grade) over (partition by proposition_id order by seq) as before from grade_event where not blind) => select proposition_id, arg_max(grade, seq) as grade, arg_max(coalesce(before, ''), seq) as before, count(*) as moves from h where before is null or before <> grade group by 1")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import graph, regrade, state
+from ..operators import evidence, graph, regrade, state
 from ..operators.shared import cut
 from .oracle import world
 from .register import Register
@@ -172,13 +172,38 @@ def content_drift(r: Register) -> DataFrame:
     return h.groupBy("document_id").agg(F.count("*").alias("receipts"), F.count_if(F.col("before") != F.col("sha")).alias("drifts"))
 
 
-@query("""debt as (select proposition_id, n_v0, v_d2_claim, l_d2, grade from graded where n_v0 > 0 and grade in ('D', 'E', 'F'))
-=> select proposition_id, grade, n_v0 as debt, case when l_d2 + n_v0 >= 3 then 'B' when v_d2_claim + n_v0 >= 1 then 'C' else 'D' end as reachable from debt""", "graded")
+_RAW = "raw_now as (select * from raw_observation), prop_now as (select * from proposition), profile_now as (select * from profile),\n"
+
+
+@query(_RAW + world("verified", {"raw_observation": "select * replace (case when receipt_state = 'UNRESOLVED' then 'VERIFIED' else receipt_state end as receipt_state) from raw_now"}, "select proposition_id, grade from graded")
+    + "=> select proposition_id, g.grade, n_v0 as debt, v.grade as reachable from graded g join verified v using (proposition_id) where n_v0 > 0 and g.grade in ('D', 'E', 'F')", "graded")
 def verification_debt(r: Register) -> DataFrame:
-    """Unverified rows of weak claims and the band that they could carry if all were verified."""
-    g = r.graded.where("n_v0 > 0 and grade in ('D', 'E', 'F')")
-    best = F.when(F.col("l_d2") + F.col("n_v0") >= 3, "B").when(F.col("v_d2_claim") + F.col("n_v0") >= 1, "C").otherwise("D")
-    return g.select("proposition_id", "grade", F.col("n_v0").alias("debt"), best.alias("reachable"))
+    """Unverified rows of weak claims and the band that a true grading gives if all leads turn out as they say."""
+    both = cut(regrade.grade_worlds(r.evidence, r.roots, {"now": lambda e: e, "verified": regrade.leads_verified}), "worlds")
+    now = both.where("world = 'now'").select("proposition_id", "grade").where(F.col("grade").isin("D", "E", "F"))
+    then = both.where("world = 'verified'").select("proposition_id", F.col("grade").alias("reachable"))
+    debt = evidence.counts(r.observations).where("n_v0 > 0").select("proposition_id", F.col("n_v0").alias("debt"))
+    return now.join(debt, "proposition_id").join(then, "proposition_id").select("proposition_id", "grade", "debt", "reachable")
+
+
+_IDENTITY = ["class", "function_set", "null_id"]
+
+
+@query(_RAW + """merge as (select entity_id, case when entity_id % 20 between 1 and 4 then entity_id - entity_id % 20 + 1 end as root from entity),
+named as (select p.proposition_id, coalesce(case when root is not null then min(p.proposition_id) over (partition by coalesce(root, -p.entity_id), root is null, class, function_set, null_id) end, p.proposition_id) as target, coalesce(root, p.entity_id) as whole from prop_now p join merge using (entity_id)),
+""" + world("after", {
+    "proposition": "select p.* replace (n.whole as entity_id, nullif(coalesce(u.target, p.parent_id), p.proposition_id) as parent_id) from prop_now p join named n on n.proposition_id = p.proposition_id and n.target = p.proposition_id left join named u on u.proposition_id = p.parent_id",
+    "raw_observation": "select o.* replace (target as proposition_id) from raw_now o join named n on n.proposition_id = o.proposition_id", "profile": "select * from profile_now where proposition_id in (select target from named)"}, "select proposition_id, grade from graded")
+    + f""", best as (select target, count(*) as pooled, max({_RANK.format('grade')}) as own from named join graded using (proposition_id) group by 1)
+=> select target as proposition_id, pooled, coalesce(own, 0) as own_rank, a.grade as merged_grade, coalesce({_RANK.format('a.grade')}, 0) > coalesce(own, 0) as raised from best join after a on a.proposition_id = target where pooled > 1""", "graded")
+def merge_guard(r: Register) -> DataFrame:
+    """Claims that a merge of entities would pool: the best rank that they have of their own, the grade of the pooled evidence, and whether it is higher, which stops the merge."""
+    e, near = r.evidence, r.table("entity").where("entity_id % 20 between 2 and 4")
+    world_after, named = regrade.merged(e, near.select((F.col("entity_id") - 1).alias("a"), F.col("entity_id").alias("b")), _IDENTITY)
+    before = regrade.grade_own(e, r.roots).select("proposition_id", exprs.grade_rank(F.col("grade")).alias("rank"))
+    own = named.join(before, "proposition_id").groupBy(F.col("target").alias("proposition_id")).agg(F.count("*").alias("pooled"), F.coalesce(F.max("rank"), F.lit(0)).alias("own_rank")).where("pooled > 1")
+    after = regrade.grade_own(world_after, r.roots).select("proposition_id", F.col("grade").alias("merged_grade"))
+    return own.join(after, "proposition_id").withColumn("raised", F.coalesce(exprs.grade_rank(F.col("merged_grade")), F.lit(0)) > F.col("own_rank"))
 
 
 # ---- lineage
@@ -211,8 +236,6 @@ comp as (select b.proposition_id, count(distinct coalesce(root, document_id)) as
 => select proposition_id, count(*) as nodes, coalesce(any_value(edges), 0) as edges, coalesce(any_value(mirrors), 0) as mirrors, any_value(components) as components, coalesce(any_value(held), 0) as attestations from base left join touch using (proposition_id) left join comp using (proposition_id) left join att using (proposition_id) group by 1""", "counts")
 def lineage_payload(r: Register) -> DataFrame:
     """What the lineage view of a claim shows: nodes, edges, mirrors, components and attestations, five aggregates joined by key."""
-    from ..operators import evidence
-
     base = cut(r.observations.where("membership = 'V' and document_id is not null").select("proposition_id", "document_id").distinct(), "base")
     nodes = base.groupBy("proposition_id").agg(F.count("*").alias("nodes"))
     touch = base.join(r.table("citation").withColumnRenamed("citing", "document_id"), "document_id").groupBy("proposition_id").agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "mirror").alias("mirrors"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import geo, score
+from ..operators import geo, regrade
 from ..operators.shared import cut
-from .oracle import _evaluate
+from .oracle import world
 from .register import Register
 from .registry import query
 
@@ -32,17 +33,18 @@ def publication_gate(r: Register) -> DataFrame:
     return e.select("entity_id", F.concat_ws(",", *(F.when(on, F.lit(name)) for name, on in reasons)).alias("reasons"))
 
 
-_CO = "other_wide as (select * exclude (null_selected, null_state, refutation), true as null_selected, case when excl_d3 then 'EXCLUDED' when excl_d2 then 'INSUFFICIENT' when null_documented and not excl_any then 'DOMINANT' else 'SURVIVING' end as null_state, refutation from wide),"
 _R = "case {} when 'A' then 7 when 'B' then 6 when 'C' then 5 when 'D' then 4 when 'E' then 3 when 'F' then 2 end"
+_SECOND = "concat('N', cast((proposition_id + 1) % 4 as string))"
+_HERE = "raw_now as (select * from raw_observation), prop_now as (select * from proposition),\n"
 
 
-@query(_CO.replace("refutation from wide", "'R0' as refutation from wide where refutation = 'R0'") + _evaluate("other", "other_wide", "false") + f"""
-=> select proposition_id, f.grade as grade, o.grade as co_grade, case when f.grade in ('R', 'X') then f.grade when o.grade in ('R', 'X') then o.grade when {_R.format('f.grade')} <= {_R.format('o.grade')} then f.grade else o.grade end as published from first_pass f join other o using (proposition_id)""", "graded")
+@query(_HERE + world("other", {"proposition": f"select * replace ({_SECOND} as null_id, true as null_selected) from prop_now"}, "select proposition_id, grade from graded") + f"""
+=> select proposition_id, g.grade, o.grade as co_grade, case when g.grade in ('R', 'X') then g.grade when o.grade in ('R', 'X') then o.grade when {_R.format('g.grade')} <= {_R.format('o.grade')} then g.grade else o.grade end as published from graded g join other o using (proposition_id)""", "graded")
 def co_null_grades(r: Register) -> DataFrame:
-    """Propositions graded under their own null and under a selected one; the lower grade is published. Refuted ones are left out."""
-    own = r.first_grades.where("refutation = 'R0'").select("proposition_id", "grade")
-    calm = r.wide.withColumns({"null_selected": F.lit(True), "r3": F.lit(False), "r1": F.lit(False), "r2_proposed": F.lit(False)})
-    other = score.evaluate(calm).select("proposition_id", F.col("grade").alias("co_grade"))
+    """Every proposition graded against its own null and against a second one; the lower grade is published."""
+    worlds = {"own": lambda e: e, "second": lambda e: regrade.second_null(e, F.expr(_SECOND))}
+    both = cut(regrade.grade_worlds(r.evidence, r.roots, worlds), "worlds")
+    own, other = (both.where(F.col("world") == w).select("proposition_id", F.col("grade").alias(name)) for w, name in (("own", "grade"), ("second", "co_grade")))
     return own.join(other, "proposition_id").withColumn("published", exprs.grade_min(F.col("grade"), F.col("co_grade")))
 
 
@@ -53,6 +55,22 @@ def rescored(r: Register) -> DataFrame:
     return before.join(after, "proposition_id", "full_outer").where(~F.col("before").eqNullSafe(F.col("after"))).select("proposition_id", "before", "after")
 
 
+#: The next version of the catalogue: entries on one null no longer exclude it, and unlisted rows on another do.
+_NEXT_CATALOG = "case when catalog_null = 'N2' then false when catalog_excluding is null and catalog_null = 'N1' then true else catalog_excluding end"
+
+
+@query(_HERE + world("next", {"raw_observation": f"select * replace ({_NEXT_CATALOG} as catalog_excluding) from raw_now"}, "select proposition_id, grade from graded") + f"""
+=> select g.grade as before, n.grade as after, count(*) as propositions, coalesce({_R.format('n.grade')} - {_R.format('g.grade')}, 0)::int as bands from graded g join next n using (proposition_id) where g.grade <> n.grade group by 1, 2""", "graded")
+def version_delta(r: Register) -> DataFrame:
+    """What another version of the catalogue table changes: moves from grade to grade, how many, and by how many bands."""
+    worlds = {"now": lambda e: e, "next": lambda e: replace(e, raw=e.raw.withColumn("catalog_excluding", F.expr(_NEXT_CATALOG)))}
+    both = cut(regrade.grade_worlds(r.evidence, r.roots, worlds), "worlds")
+    now, then = (both.where(F.col("world") == w).select("proposition_id", F.col("grade").alias(name)) for w, name in (("now", "before"), ("next", "after")))
+    moved = now.join(then, "proposition_id").where("before <> after").groupBy("before", "after").agg(F.count("*").alias("propositions"))
+    bands = exprs.grade_rank(F.col("after")) - exprs.grade_rank(F.col("before"))
+    return moved.withColumn("bands", F.coalesce(bands, F.lit(0)).cast("int"))
+
+
 @query("""b as (select proposition_id, arg_max(grade, seq) as blind_grade from grade_event where blind group by 1), l as (select proposition_id, arg_max(grade, seq) as grade from grade_event where not blind group by 1)
 => select grade, count(*) as n, count(*) filter (where grade = blind_grade) as agree from l join b using (proposition_id) group by 1""")
 def blind_agreement(r: Register) -> DataFrame:

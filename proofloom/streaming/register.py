@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence
+from ..operators import evidence, regrade
 from ..sources import fixture
-from .windows import _base, events, newest
+from .windows import _base, events, newest, stream
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     base = _base(spark, "membership")
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    rows = stream(spark, sf_dir, "lineitem", schema, 1)
 
     def write(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
@@ -39,23 +39,55 @@ def leads_with_receipts(spark: SparkSession, sf_dir: str, lead: str, receipt: st
     return spark.read.schema("user_id long, lead_id long, receipt_id long").parquet(f"{base}/out")
 
 
-def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence counts kept up by batches: the keys of a batch are dirty, their rows so far are counted again and put in place of the old.
+def incremental_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """proposition_id, n_v, n_u, grade, final, kept up batch by batch as line items arrive.
 
-    Each batch writes the regraded keys under its number; a key stands as its last batch left it.
+    A batch's rows go to a log, split by the hash of their proposition, and their counts are added to
+    those stored. Its propositions are dirty: they are graded again from their own rows of the log, and
+    what hangs on them follows. Only rows of the rollup that moved are written, under the batch's number, so
+    a batch that is run again replaces itself.
     """
     base = _base(spark, "regrade")
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    rows = stream(spark, sf_dir, "lineitem", spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema, 1)
+    part = F.pmod(F.xxhash64("proposition_id"), F.lit(LOG_PARTS)).cast("int")
 
     def write(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        arrived = evidence.build_observations(session.sql(fixture.TABLES["raw_observation"], lineitem=batch), fixture.table(session, sf_dir, "document"), fixture.table(session, sf_dir, "proposition"))
-        arrived.select("proposition_id", "observation_id", "membership", "magnitude").write.mode("overwrite").parquet(f"{base}/log/batch={epoch}")
-        log = session.read.parquet(f"{base}/log").where(F.col("batch") <= epoch)
-        dirty = arrived.select("proposition_id").distinct()
-        counts = log.join(dirty, "proposition_id", "left_semi").groupBy("proposition_id").agg(F.count_if(F.col("membership") == "V").alias("n_v"), F.count_if(F.col("membership") == "U").alias("n_u"))
-        counts.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+        table = lambda name: fixture.table(session, sf_dir, name)
+        raw = session.sql(fixture.TABLES["raw_observation"], lineitem=batch)
+        raw.withColumn("part", part).write.partitionBy("part").mode("overwrite").parquet(f"{base}/log/batch={epoch}")
+        arrived = session.read.parquet(f"{base}/log/batch={epoch}").drop("part")
+        obs = evidence.build_observations(arrived, table("document"), table("proposition"))
+        obs.groupBy("proposition_id").agg(F.count_if(F.col("membership") == "V").alias("n_v"), F.count_if(F.col("membership") == "U").alias("n_u")).write.mode("overwrite").parquet(f"{base}/counts/batch={epoch}")
+        log = session.read.parquet(f"{base}/log").where(F.col("batch") <= epoch).select(*raw.columns)
+        now = regrade.Evidence(table("proposition"), log, table("document"), table("citation"), table("profile"), table("witness"), table("candidate_set"))
+        if not _exists(session, f"{base}/roots"):
+            now.roots().write.mode("overwrite").parquet(f"{base}/roots")
+        roots = session.read.parquet(f"{base}/roots")
+        if epoch == 0:
+            stored, dirty = _rollup(session, None), now.propositions
+        else:
+            stored, dirty = _rollup(session, f"{base}/rollup", epoch), arrived.select("proposition_id")
+        rollup, _ = regrade.drain(stored, now, roots, dirty)
+        rollup.exceptAll(stored.select(*rollup.columns)).write.mode("overwrite").parquet(f"{base}/rollup/batch={epoch}")
 
     rows.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return newest(spark.read.parquet(f"{base}/out"), ["proposition_id"])
+    counts = spark.read.parquet(f"{base}/counts").groupBy("proposition_id").agg(F.sum("n_v").alias("n_v"), F.sum("n_u").alias("n_u"))
+    return counts.join(_rollup(spark, f"{base}/rollup").select("proposition_id", "grade", "final"), "proposition_id")
+
+
+#: Parts of the log of observations.
+LOG_PARTS = 16
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _rollup(spark: SparkSession, path: str | None, before: int | None = None) -> DataFrame:
+    """The rollup as the batches before a number left it, of what each wrote."""
+    if path is None:
+        return spark.createDataFrame([], "proposition_id long, entity_id long, class string, parent_id long, candidate_set_id long, grade string, final string")
+    written = spark.read.parquet(path)
+    return newest(written if before is None else written.where(F.col("batch") < before), ["proposition_id"])
