@@ -15,7 +15,7 @@ SILENCE_TEXT = {
 # Custody of a receipt and the largest magnitude it carries.
 CUSTODY_CAP = {"deposition": 4, "interview": 3, "quotation": 2, "unknown": 1}
 # Label and the largest magnitude a row under it keeps.
-LABEL_CAP = {"CONFIRMED": 3, "PROBABLE": 2, "POSSIBLE": 1, "UNDERCUT": 3}
+LABEL_CAP = {"STATES-ON-FACE": 4, "ENTAILS": 3, "CONSISTENT-WITH-BOTH": 0, "UNDERCUTS": 4, "IRRELEVANT": 0}
 LADDER = ["A", "B", "C", "D", "E", "F"]
 
 
@@ -73,6 +73,6 @@ def custody_capped(magnitude: Column, custody: Column) -> Column:
     return F.least(magnitude, choose(custody, CUSTODY_CAP, F.lit(0)))
 
 
-def demoted(assigned: Column, label: Column) -> tuple[Column, Column]:
-    """(magnitude, sign) under a label, which only lowers; an undercut label turns the sign."""
-    return F.least(assigned, choose(label, LABEL_CAP, F.lit(0))), F.when(label == "UNDERCUT", "UNDERCUTS").otherwise("SUPPORTS")
+def demoted(assigned: Column, sign: Column, label: Column) -> tuple[Column, Column]:
+    """(magnitude, sign) under a label, which only lowers: the row's own sign stays but under one that undercuts. A missing or unknown label leaves nothing."""
+    return F.least(assigned, choose(label, LABEL_CAP, F.lit(0))), F.when(label == "UNDERCUTS", "UNDERCUTS").otherwise(sign)

@@ -38,12 +38,20 @@ def grade_min(a: Column, b: Column) -> Column:
     )
 
 
+def _matrix(e: Column, a: Column, k: int) -> Column:
+    """Sign (k = 0) or magnitude (1) by expectedness, then alternative: a few comparisons a row and no joined text."""
+    rows: dict[str, dict] = {}
+    for (x, y), v in vocab.MATRIX.items():
+        rows.setdefault(x, {})[y] = v[k]
+    return choose(e, {x: choose(a, row) for x, row in rows.items()})
+
+
 def matrix_sign(e: Column, a: Column) -> Column:
-    return choose(F.concat(e, a), {x + y: v[0] for (x, y), v in vocab.MATRIX.items()})
+    return _matrix(e, a, 0)
 
 
 def matrix_magnitude(e: Column, a: Column) -> Column:
-    return choose(F.concat(e, a), {x + y: v[1] for (x, y), v in vocab.MATRIX.items()})
+    return _matrix(e, a, 1)
 
 
 def x_magnitude(level: Column) -> Column:

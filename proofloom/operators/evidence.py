@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import exprs, vocab
 
 
+#: Columns of observations that grading reads.
+GRADED = [
+    "proposition_id", "observation_id", "document_id", "membership", "magnitude", "locus", "prov_tier", "prov_causal", "mirror_only", "document_date", "null_excluding", "documents_null", "receipt_state", "bound", "scope",
+    "disagreed", "defaulted", "fact_key", "asserted_on", "model_family", "negative_search", "rebutted", "improbable", "refutation_class", "gate_e", "in_basis", "witness_id", "custody", "direct", "lawful", "georeferenced",
+]
 GATES = ["gate_a", "gate_b", "gate_c", "gate_d", "gate_e", "gate_f"]
 
 

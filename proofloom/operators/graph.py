@@ -6,6 +6,7 @@ work of a round is bounded by its frontier and a lost executor costs one round a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +74,80 @@ def _reached(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return now
 
 
+#: Edges of a weakly connected component that a task may take whole, and edges of such components dealt to a task together.
+SMALL, DEAL = 20_000, 20_000
+
+
+def circles(sources: list[int], targets: list[int]) -> dict[int, int]:
+    """The part (its largest node) of every node on a circle, by one depth-first walk with a stack of open nodes."""
+    ahead: dict[int, list[int]] = {}
+    for x, y in zip(sources, targets, strict=True):
+        ahead.setdefault(x, []).append(y)
+    number, lowest, open_, held, out = {}, {}, set(), [], {}
+    for start in ahead:
+        if start in number:
+            continue
+        walk = [(start, iter(ahead[start]))]
+        number[start] = lowest[start] = len(number)
+        held.append(start)
+        open_.add(start)
+        while walk:
+            node, rest = walk[-1]
+            new = next((y for y in rest if y not in number or y in open_ and number[y] < lowest[node]), None)
+            if new is None:
+                walk.pop()
+                if walk:
+                    lowest[walk[-1][0]] = min(lowest[walk[-1][0]], lowest[node])
+                if lowest[node] == number[node]:
+                    part = _above(held, node)
+                    del held[len(held) - len(part) :]
+                    open_.difference_update(part)
+                    if len(part) > 1:
+                        out |= dict.fromkeys(part, max(part))
+            elif new in number:
+                lowest[node] = number[new]
+            else:
+                number[new] = lowest[new] = len(number)
+                held.append(new)
+                open_.add(new)
+                walk.append((new, iter(ahead.get(new, ()))))
+    return out
+
+
+def _above(held: list[int], node: int) -> list[int]:
+    """The end of held from node on."""
+    at = len(held) - 1
+    while held[at] != node:
+        at -= 1
+    return held[at:]
+
+
 def strong_parts(edges: DataFrame, a: str = "citing", b: str = "cited") -> DataFrame:
     """(node, part) of the nodes on circles: nodes that reach each other are one part, whatever the length of the way.
 
-    Nodes without an edge in or out are peeled off; then the largest node that reaches a node colours it,
-    and those that reach back to their colour's node within the colour are a part and leave. All colours
-    are worked on at once; rounds are written, so a lost executor costs one round.
+    Circles lie within weakly connected components. Components of at most SMALL edges are walked whole,
+    many in a task; larger ones are taken apart by colours, in rounds over all of them at once.
+    """
+    live = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "live")
+    rooted = cut(live.join(components(live, "a", "b").select(F.col("node").alias("a"), "root"), "a"), "rooted")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
+    lots = max(1, -(-live.count() // DEAL))
+    small = rooted.join(sizes.where(F.col("n") <= SMALL).select("root"), "root", "left_semi").withColumn("lot", F.pmod(F.xxhash64("root"), F.lit(lots)))
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(circles(frame["a"].tolist(), frame["b"].tolist()).items()), columns=["node", "part"])
+
+    found = cut(small.groupBy("lot").applyInPandas(walk, "node long, part long"), "circles")
+    large = cut(rooted.join(sizes.where(F.col("n") > SMALL).select("root"), "root", "left_semi").select("a", "b"), "large")
+    return found if large.isEmpty() else found.unionByName(coloured_parts(large))
+
+
+def coloured_parts(live: DataFrame) -> DataFrame:
+    """strong_parts of edges (a, b) of any size: nodes without an edge in or out are peeled off; then the largest node that
+    reaches a node colours it, and those that reach back to their colour's node within the colour are a part and leave.
+
+    All colours are worked on at once; rounds are written, so a lost executor costs one round.
     """
-    live = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "live")
     found = None
     while not live.isEmpty():
         n = live.count()

@@ -49,7 +49,7 @@ class Evidence:
 
     def wide(self, roots: DataFrame) -> DataFrame:
         """Every count and flag of all propositions, written once."""
-        obs = cut(evidence.build_observations(self.raw, self.documents, self.propositions), "observations")
+        obs = cut(evidence.build_observations(self.raw, self.documents, self.propositions).select(*evidence.GRADED), "observations")
         return cut(score.gather(self.propositions, obs, roots, self.profiles, self.witnesses), "wide")
 
 

@@ -105,13 +105,14 @@ def custody_caps(r: Register) -> DataFrame:
     return r.observations.select("observation_id", derived.custody_capped(F.col("magnitude"), F.col("custody")).alias("magnitude"))
 
 
-_LABEL = "case observation_no % 4 when 0 then 'CONFIRMED' when 1 then 'PROBABLE' when 2 then 'POSSIBLE' else 'UNDERCUT' end"
+_LABEL = "case witness_id % 5 when 0 then 'STATES-ON-FACE' when 1 then 'ENTAILS' when 2 then 'CONSISTENT-WITH-BOTH' when 3 then 'UNDERCUTS' else 'IRRELEVANT' end"
 
 
-@query(f"l as (select *, witness_id as observation_no from obs), m as (select observation_id, magnitude, {_LABEL} as label from l) => select observation_id, label, least(magnitude, {_case('label', derived.LABEL_CAP, '0')}) as magnitude, case when label = 'UNDERCUT' then 'UNDERCUTS' else 'SUPPORTS' end as sign from m", "obs")
+@query(f"m as (select observation_id, magnitude, sign, {_LABEL} as label from obs) => select observation_id, label, least(magnitude, {_case('label', derived.LABEL_CAP, '0')}) as magnitude, case when label = 'UNDERCUTS' then 'UNDERCUTS' else sign end as sign from m", "obs")
 def demoted_labels(r: Register) -> DataFrame:
-    o = r.observations.withColumn("label", F.expr(_LABEL.replace("observation_no", "witness_id")))
-    magnitude, sign = derived.demoted(F.col("magnitude"), F.col("label"))
+    """Rows under the label that a reader gave them: it can lower a magnitude and turn a sign, nothing else."""
+    o = r.observations.withColumn("label", F.expr(_LABEL))
+    magnitude, sign = derived.demoted(F.col("magnitude"), F.col("sign"), F.col("label"))
     return o.select("observation_id", "label", magnitude.alias("magnitude"), sign.alias("sign"))
 
 

@@ -13,20 +13,22 @@ from .wider import _folder
 
 @query("=> select o_custkey as entity_id, o_orderkey as proposition_id, o_orderpriority as priority from orders")
 def payload_scan(r: Register) -> DataFrame:
-    """Payloads that spread over lines, one JSON document an entity with a list of its claims."""
+    """Files of JSON arrays whose documents spread over lines, one document an entity with a list of its claims."""
     at = _folder(r)
     o = r.driver("orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))).alias("claims"))
     # broken over lines as an editor would
-    o.select(F.regexp_replace(F.to_json(F.struct(F.col("o_custkey").alias("entity"), "claims")), ",", ",\n  ").alias("value")).repartition(4).write.text(at, lineSep="\n\n")
-    return readers.payloads(r.spark, at)
+    document = F.regexp_replace(F.to_json(F.struct(F.col("o_custkey").alias("entity"), "claims")), ",", ",\n  ")
+    files = o.groupBy(F.pmod("o_custkey", F.lit(16)).alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(document), ",\n"), F.lit("\n]")).alias("value"))
+    files.write.partitionBy("file").text(at)
+    return readers.payloads(r.spark, at)[0]
 
 
-@query("=> select md5(p_name || '|' || p_partkey) as name_of_blob, true as intact, p_partkey % 13 = 4 as in_ledger from part where p_partkey % 3 = 1".replace("md5(p_name || '|' || p_partkey)", "sha256(p_name || '|' || p_partkey)"))
+@query("=> select md5(p_name || '|' || p_partkey) as name_of_blob, true as intact, p_partkey % 13 = 4 as in_ledger from part where p_partkey % 3 = 1".replace("md5(p_name || '|' || p_partkey)", "sha256(p_name || '|' || p_partkey || chr(10))"))
 def blob_scan(r: Register) -> DataFrame:
     """Blobs named by the hash of what is in them: each is hashed again and looked up in the ledger."""
     at = _folder(r)
     p = r.driver("part").where("p_partkey % 3 = 1").select("p_partkey", F.concat_ws("|", "p_name", "p_partkey").alias("value"))
-    p = p.withColumn("sha", F.sha2("value", 256))
+    p = p.withColumn("sha", F.sha2(F.concat("value", F.lit("\n")), 256))  # the writer ends its line
     p.select("sha", "value").write.partitionBy("sha").text(at)
     ledger = p.where("p_partkey % 13 = 4").select("sha")
     return readers.blobs(r.spark, at, ledger)

@@ -32,7 +32,7 @@ class Register:
     @cached_property
     def wide(self) -> DataFrame:
         """Written once: grading reads the observations six times and this table twice."""
-        return cut(score.gather(self.table("proposition"), cut(self.observations, "observations"), self.roots, self.table("profile"), self.table("witness")), "wide")
+        return self.evidence.wide(self.roots)
 
     @cached_property
     def first_grades(self) -> DataFrame:

@@ -27,4 +27,4 @@ def query(sql: str | None = None, upto: str = "fixture"):
     return add
 
 
-from . import checks, derived, grading, history, loads, matching, published, states, telemetry, texts, wider  # noqa: E402, F401
+from . import checks, derived, grading, history, loads, matching, published, spans_of_time, states, telemetry, texts, wider  # noqa: E402, F401

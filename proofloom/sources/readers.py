@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from ..operators.shared import cut
 
 
-def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(entity_id, proposition_id, priority) of JSON documents that spread over lines and stand a blank line apart."""
-    text = spark.read.text(path, lineSep="\n\n").where("trim(value) <> ''")
-    parsed = text.select(F.from_json("value", "entity long, claims array<struct<id: long, priority: string>>").alias("j"))
-    return parsed.select(F.col("j.entity").alias("entity_id"), F.explode("j.claims").alias("c")).select("entity_id", F.col("c.id").alias("proposition_id"), F.col("c.priority").alias("priority"))
+def payloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of files of JSON documents, each file one document or an array of them over any number of lines.
+
+    rows: entity_id, proposition_id, priority of every claim; a document without claims is one row without any.
+    rejects: path and line (the file's text) of what does not parse.
+    """
+    shape = "entity long, claims array<struct<id: long, priority: string>>, line string"
+    read = spark.read.schema(shape).option("multiLine", True).option("columnNameOfCorruptRecord", "line").json(path)
+    read = cut(read.select("*", F.col("_metadata.file_path").alias("path")), "payloads")  # both results read what was parsed once
+    c = read.where("line is null").select(F.col("entity").alias("entity_id"), F.explode_outer("claims").alias("c"))
+    return c.select("entity_id", F.col("c.id").alias("proposition_id"), F.col("c.priority").alias("priority")), read.where("line is not null").select("path", "line")
 
 
 def blobs(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
-    """(name_of_blob, intact, in_ledger): whether the name of each blob's folder is the hash of its bytes, and whether the ledger (sha) has it."""
+    """(name_of_blob, intact, in_ledger): whether the name of each blob's folder is the hash of its bytes as they are, and whether the ledger (sha) has it. Spark's file scans leave out files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"sha=([0-9a-f]{64})", 1)
-    hashed = files.select(name.alias("name_of_blob"), F.sha2(F.expr("substring(content, 1, length(content) - 1)"), 256).alias("hash"))  # the writer ends its line
-    known = ledger.select(F.col("sha").alias("name_of_blob"), F.lit(True).alias("hit"))
+    hashed = files.select(F.regexp_extract("path", r"sha=([0-9a-f]{64})", 1).alias("name_of_blob"), F.sha2("content", 256).alias("hash"))
+    known = ledger.select(F.col("sha").alias("name_of_blob"), F.lit(True).alias("hit")).distinct()
     return hashed.join(known, "name_of_blob", "left").select("name_of_blob", (F.col("hash") == F.col("name_of_blob")).alias("intact"), F.coalesce("hit", F.lit(False)).alias("in_ledger"))
 
 

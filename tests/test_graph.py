@@ -88,3 +88,39 @@ def test_clamp_reaches_the_end_of_a_long_chain(spark):
     circle = spark.createDataFrame([(1, "STATUS", 2, "A"), (2, "STATUS", 1, "B")], "proposition_id long, class string, parent_id long, grade string")
     with pytest.raises(ValueError):
         score.clamp(circle)
+
+
+def reachable(pairs):
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    out = {}
+    for n in {x for p in pairs for x in p}:
+        seen, todo = set(), [n]
+        while todo:
+            for y in ahead.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        out[n] = seen
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_circles_are_nodes_that_reach_each_other(seed):
+    rng = random.Random(seed)
+    n = rng.choice([4, 12, 90])
+    pairs = [(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(int(n * rng.choice([0.8, 1.3, 2])))) if a != b]
+    reach = reachable(pairs)
+    want = {x: max(y for y in reach[x] if x in reach[y]) for x in reach if x in reach[x]}
+    assert graph.circles([a for a, _ in pairs], [b for _, b in pairs]) == want
+
+
+@pytest.mark.parametrize("small", [0, 30, 20_000])  # all, some and no components by colours
+def test_strong_parts_whatever_the_size(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(small)
+    pairs = [(a + 100 * k, b + 100 * k) for k in range(4) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(15 + 9 * k)) if a != b]
+    reach = reachable(pairs)
+    want = {x: max(y for y in reach[x] if x in reach[y]) for x in reach if x in reach[x]}
+    assert {r.node: r.part for r in graph.strong_parts(edges(spark, pairs)).collect()} == want
