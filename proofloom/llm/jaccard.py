@@ -50,6 +50,8 @@ TILE = 256
 STARS = (1, 8, 64)
 #: Postings that a bucket should hold, and that a task holds before it packs them.
 BUCKET, FLUSH = 100_000, 1_000_000
+#: Bytes of keys of a bucket's part.
+PART_BYTES = 5_000_000
 #: Bytes of text for each posting, about; it decides the number of buckets alone.
 POSTING_BYTES = 20
 #: Bits of the bitmap that tells in advance which documents' texts are not needed.
@@ -206,15 +208,30 @@ def _several(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "several": pa.array([_five(np.union1d(once[1:][once[1:] == once[:-1]], more))], pa.binary())})
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc_id) of the postings whose key several documents have."""
-    press = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for bucket, keys, docs, several in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "docs", "several")), strict=True):
-            key, wanted = _wide(keys), _wide(several)
-            hit = np.flatnonzero(np.isin(key, wanted, kind="sort")) if len(wanted) else np.zeros(0, np.int64)
-            doc = np.cumsum(np.frombuffer(press.decompress(docs), np.uint8).reshape(8, len(key)).T.copy().view("<i8").ravel())
-            yield pa.RecordBatch.from_arrays([pa.array((key[hit] | _U(bucket << 40)).view(np.int64)), pa.array(doc[hit])], names=["shingle", "doc_id"])
+def _kept(postings: pa.Table, table: pa.Table) -> pa.Table:
+    """(shingle, doc_id) of a bucket's postings whose key several documents have."""
+    press, keys, docs = zstandard.ZstdDecompressor(), [], []
+    if postings.num_rows and table.num_rows:
+        bucket, wanted = table.column("of_bucket")[0].as_py(), _wide(table.column("several")[0].as_py())
+        for packed, held in zip(postings.column("keys"), postings.column("docs"), strict=True) if len(wanted) else ():
+            key = _wide(packed.as_py())
+            hit = np.flatnonzero(np.isin(key, wanted, kind="sort"))
+            doc = np.cumsum(np.frombuffer(press.decompress(held.as_py()), np.uint8).reshape(8, len(key)).T.copy().view("<i8").ravel())
+            keys.append((key[hit] | _U(bucket << 40)).view(np.int64))
+            docs.append(doc[hit])
+    return pa.table({"shingle": pa.array(np.concatenate(keys) if keys else [], pa.int64()), "doc_id": pa.array(np.concatenate(docs) if docs else [], pa.int64())})
+
+
+def shared_postings(postings: DataFrame, several: DataFrame) -> DataFrame:
+    """(shingle, doc_id) of the postings whose keys stand in `several`: a bucket's keys travel once, or once for each part of PART_BYTES where a hot shingle makes a bucket large."""
+    sizes = postings.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("bytes"))
+    of = several.join(sizes, "bucket").select("bucket", "several", F.ceil(F.col("bytes") / PART_BYTES).cast("int").alias("parts"))
+    of = common.cut(of, "bucket-parts")
+    hot = of.where("parts > 1").select(F.col("bucket").alias("hot"), "parts")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("docs"), F.col("parts"))).cast("int")
+    dealt = postings.join(hot, F.col("bucket") == F.col("hot"), "left").select("bucket", part.alias("part"), "keys", "docs")
+    each = of.select(F.col("bucket").alias("of_bucket"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("parts") - 1))).alias("of_part"), "several")
+    return dealt.groupBy("bucket", "part").cogroup(each.groupBy("of_bucket", "of_part")).applyInArrow(_kept, "shingle long, doc_id long")
 
 
 def peeled(postings: DataFrame, percent: int) -> DataFrame:
@@ -469,9 +486,12 @@ def component_table(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     postings = first.where("bucket is not null").select("bucket", "keys", "docs")
     counted = common.cut(postings.select("bucket", "keys").mapInArrow(common.tidied(_counted), "bucket long, once binary, more binary"), "counted", PACKED_ROWS)
     several = common.cut(counted.groupBy("bucket").applyInArrow(_several, "bucket long, several binary"), "several")
-    shared = postings.join(several, "bucket").select("bucket", "keys", "docs", "several").mapInArrow(common.tidied(_kept), "shingle long, doc_id long")
+    shared = shared_postings(postings, several)
     by_class = shared.join(classes.select(F.col("id").alias("doc_id"), "n").distinct(), "doc_id").select("shingle", F.col("doc_id").alias("id"), "n")
-    tiles = common.cut(peeled(common.cut(by_class, "postings", PACKED_ROWS), percent), "tiles")
+    by_class = common.cut(by_class, "postings", PACKED_ROWS)
+    common.release(docs.sparkSession)
+    tiles = common.cut(peeled(by_class, percent), "tiles")
+    common.release(docs.sparkSession)
 
     alive = texts_of(texts.where("doc_id is not null"), tiles.select(F.col("id").alias("doc_id")).distinct())
     sets = common.cut(alive.mapInArrow(common.tidied(_described(size)), "id long, n long, marks binary, members binary"), "sets", common.TEXT_ROWS)
