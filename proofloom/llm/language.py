@@ -47,13 +47,13 @@ def _code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return points, count[at]
 
 
-_PLANE = 0x20000  # letters beyond the first two planes are folded into them
+_PLANES = 0x40000  # the four planes that have letters; tests look for others
 
 
 def _letter_table() -> np.ndarray:
     """Each code point's lower-case letter, or 0 for what is no letter."""
-    table = np.zeros(_PLANE, np.uint32)
-    for c in range(_PLANE):
+    table = np.zeros(_PLANES, np.uint32)
+    for c in range(_PLANES):
         if 0xD800 <= c < 0xE000:
             continue
         s = chr(c)
@@ -76,7 +76,7 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(trigram codes, row of each, rows' numbers of letters). Words are padded by a blank on both sides; what is no letter is a blank."""
     points, rows_at = _code_points(data, at)
     n = len(rows_at) - 1
-    low = letters()[np.where(points < _PLANE, points, points % 0x10000 + 0x10000)] if len(points) else np.zeros(0, np.uint32)
+    low = letters()[np.where(points < _PLANES, points, 0)] if len(points) else np.zeros(0, np.uint32)
     owner = np.repeat(np.arange(n), np.diff(rows_at))
     has = low > 0
     n_letters = np.bincount(owner[has], minlength=n)

@@ -104,7 +104,7 @@ def evaluate(postfix: list[str]) -> int:
     for token in postfix:
         if token in _STRENGTH:
             b, a = stack.pop(), stack.pop()
-            stack.append(max(a, b) if token == "or" else min(a, b) if token == "and" else min(3, a + 1))
+            stack.append(max(a, b) if token == "or" else min(a, b) if token == "and" else min(3, a + 1) if a else 0)  # an exception helps a known licence alone
         else:
             stack.append(family_grade(token))
     return stack[-1] if stack else 0

@@ -150,8 +150,16 @@ def _iban(shown: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    ok = ~m.rlike("^(000|666|9)") & ~m.rlike("^...-00") & ~m.rlike("-0000$")
-    return F.when(ok, _refill(m, permute_text(F.regexp_replace(m, "-", ""), key, "ssn"))).otherwise(m)
+    """Valid numbers move among the valid ones: 898 areas (not 000, 666 and from 900 on), groups 01 to 99, serials 0001 to 9999."""
+    part = lambda i, n: F.substr(m, F.lit(i), F.lit(n)).try_cast("long")
+    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
+    ok = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    number = ((area - 1 - F.when(area > 666, 1).otherwise(0)) * 99 + group - 1) * 9999 + serial - 1
+    new = permute_number(number, key, "ssn", 898 * 99, 9999)
+    place = F.floor(new / (99 * 9999)).cast("long") + 1
+    pad = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
+    digits = F.concat(pad(place + F.when(place >= 666, 1).otherwise(0), 3), pad(F.pmod(F.floor(new / 9999), F.lit(99)) + 1, 2), pad(F.pmod(new, F.lit(9999)) + 1, 4))
+    return F.when(ok, _refill(m, digits)).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:

@@ -1,8 +1,9 @@
 """Operators 9 and 10 on embeddings: exact top-k search and near-duplicate removal.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of different
-lengths are never compared. Repeated rows and equal vectors are allowed; an empty table gives no
-rows; other columns are ignored.
+lengths are never compared. Repeated rows and equal vectors are allowed; of different vectors under one
+query id the least, shorter ones first, is asked for. An empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +95,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256, id_col
     blocks, query_blocks = max(1, -(-n // INDEX_ROWS)), max(1, -(-nq // QUERY_ROWS))
     # every block of rows meets every block of queries
     index = rows.select("dims", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "vec_id", "v")
-    asked = rows.where("q").dropDuplicates(["vec_id"]).select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("part"), "vec_id", "v")
+    # of different vectors of one query id the least is asked for
+    once = rows.where("q").groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("least")).select("vec_id", "least.dims", "least.v")
+    asked = once.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("part"), "vec_id", "v")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
