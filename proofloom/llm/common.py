@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -59,7 +60,26 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/proofloom/{name}-{uuid.uuid4().hex}"
     with arrow_rows(spark, rows):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote, once nothing reads them any more."""
+    for table in tables:
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans whose results are written: Spark removes them when the driver collects its garbage, which a driver with little to do puts off while executors' disks fill.
+
+    What a plan leaves is garbage to the end only some time after it ended, so the driver collects twice.
+    """
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+    spark.sparkContext._jvm.System.gc()
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
