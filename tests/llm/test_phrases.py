@@ -76,5 +76,14 @@ def test_scores_beyond_64_bits(spark):
 def test_places_close_pieces():
     text = b"Ab cd, ef  gh\tij\nkl. mn"
     one, _, words, _, places = phrases._words_of(np.frombuffer(text, np.uint8), np.array([0, 5, len(text)]), np.array([0, 1]))
-    said = ["|" if p < 0 else words[p].decode() for p in places]
+    said = ["|" if p < 0 else words[p].as_py() for p in places]
     assert said == ["ab", "cd", "|", "ef", "gh", "ij", "|", "kl", "|", "mn", "|"] and len(one) == 7
+
+
+def test_packing_round_trips():
+    for v in ([], [0], [-1, 5, 2**60, -(2**60)]):
+        assert phrases._unpacked(phrases._packed(np.array(v, np.int64))).tolist() == v
+    import pyarrow as pa
+
+    for w in ([], ["a"], ["é", "", "😀x", "b\ten"]):
+        assert phrases._unpack_words(phrases._pack_words(pa.array(w, pa.large_string()))).to_pylist() == w
