@@ -9,8 +9,8 @@ order, as they are rare. Nodes that meet in a run are candidates when their leng
 of their word hashes allow d edits, which no linked pair fails. Of each connected group's
 occurrences the first by (doc_id, line number) stays, all others are removed.
 
-A bucket first gives a spanning forest of its candidate pairs; where the edit similarity turns one
-of those down, other forests between what is still apart follow, and then all pairs that are left. Shorter lines are never touched. Null texts stay
+A bucket first gives a spanning forest of its candidate pairs; only where the edit similarity turns
+one of those down are all its other pairs compared. Shorter lines are never touched. Null texts stay
 null and empty ones empty; rows without doc_id are left as they are; repeated rows of one doc_id
 share their lines and are changed alike; an empty table gives no rows; all columns are kept.
 """
@@ -41,8 +41,6 @@ DEAL = 2_000_000
 WANTED_LOG2 = 23
 #: Bytes of text for each run that is dealt out, about; it decides the number of buckets alone.
 RUN_BYTES = 7
-#: Turns in which groups that a pair was turned down in are joined by other pairs before all pairs are compared.
-TURNS = 2
 #: Rows in an Arrow batch of candidates, and of pairs of lines.
 DEAL_ROWS, PAIR_ROWS = 50_000, 2_000
 #: Lines of more words are compared one pair at a time, shorter ones in blocks.
@@ -256,28 +254,25 @@ def _pairs(key: np.ndarray, n: np.ndarray, sides: np.ndarray, least: float) -> I
         shift += 1
 
 
-def _candidates(least: float, forest: bool, turn: int = 0):
-    """Candidate pairs (a, b) of a bucket: where forest, as few as join its parts (from turn 1 on the parts are the roots so far, and each turn joins them by other pairs), else all between different roots."""
-    rooted = turn > 0 or not forest
-
+def _candidates(least: float, forest: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(p.as_py(), np.int64) for p in table.column("packed")])
-        rows = rows.reshape(-1, len(SIDES) + (4 if rooted else 3))
-        other = words.mix(rows[:, 1].view(_U) + _U(turn)) if turn else rows[:, 1]
-        rows = rows[np.lexsort((other, rows[:, 2], rows[:, 0]))]
-        part, label = np.unique(rows[:, -1] if rooted else rows[:, 1], return_inverse=True)
-        root = np.arange(len(part))
+        rows = rows.reshape(-1, len(SIDES) + (3 if forest else 4))
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        node, label = np.unique(rows[:, 1], return_inverse=True)
+        root = np.arange(len(node))
         out: list[np.ndarray] = []
         for a, b in _pairs(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 2]), np.ascontiguousarray(rows[:, 3 : 3 + len(SIDES)]).view(_U), least):
             if forest:  # links between parts that are not joined yet, one for each part that moves
+                a, b = label[a], label[b]
                 while True:
-                    ra, rb = root[label[a]], root[label[b]]
+                    ra, rb = root[a], root[b]
                     apart = ra != rb
                     if not apart.any():
                         break
                     a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
                     high, pick = np.unique(np.maximum(ra, rb), return_index=True)
-                    out.append(np.stack([rows[a[pick], 1], rows[b[pick], 1]]))
+                    out.append(np.stack([node[a[pick]], node[b[pick]]]))
                     root[high] = np.minimum(ra, rb)[pick]
                     while (root[root] != root).any():
                         root = root[root]
@@ -324,6 +319,14 @@ def similar(a: str, b: str, least: float) -> bool:
     return min(len(x), len(y)) >= least * most and most - edit_distance(x, y) >= least * most
 
 
+def bag_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Edits at least between two sequences, by the words that one has and the other lacks, in any order."""
+    ux, nx = np.unique(x, return_counts=True)
+    uy, ny = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+    return max(len(x), len(y)) - int(np.minimum(nx[i], ny[j]).sum())
+
+
 def within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
     """For each pair of word-hash sequences whether their edit distance is at most `most`; pairs of like length are worked on together in a band of the table."""
     la, lb = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
@@ -331,7 +334,8 @@ def within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.n
     near = np.flatnonzero(np.abs(la - lb) <= most)
     longest = np.maximum(la, lb)
     for k in near[longest[near] > LONG_LINE]:
-        ok[k] = edit_distance(xs[k].tolist(), ys[k].tolist()) <= most[k]
+        # in long lines the parities are full and let unlike ones pass; the words themselves do not
+        ok[k] = bag_distance(xs[k], ys[k]) <= most[k] and edit_distance(xs[k].tolist(), ys[k].tolist()) <= most[k]
     near = near[longest[near] <= LONG_LINE]
     near = near[np.argsort(longest[near], kind="stable")]
     for at in range(0, len(near), 1024):
@@ -447,24 +451,18 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     checked = _checked(tree, nodes, texts, similarity)
     links = checked.where("ok").select("a", "b")
     if not checked.where("not ok").isEmpty():
-        # groups in which the edit similarity turned a pair down: joined by other pairs for some turns, as most parts of a
-        # group of near copies are similar by one pair or another; then all near pairs between what is still apart
+        # groups in which the edit similarity turned a pair down: all other near pairs between what is still apart
         near = components(checked)
         torn = checked.where("not ok").select(F.col("a").alias("id")).distinct().join(near, "id").select("root").distinct()
-        again = common.cut(near.join(torn, "root", "left_semi").select("id", F.col("root").alias("group")), "torn-lines")
-        for turn in range(1, TURNS + 2):
-            linked = again.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            split = linked.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("group")
-            apart = common.cut(nodes.join(linked.join(split, "group", "left_semi"), "id").select("id", "words", *SIDES, "root"), "apart-lines")
-            if apart.isEmpty():
-                break
-            rest = met.join(apart.select(short, "*"), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES, "root"]), "bucket long, packed binary")
-            rest = rest.groupBy("bucket").applyInArrow(_candidates(similarity, turn <= TURNS, turn), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            rest = common.cut(rest, "candidates", DEAL_ROWS)
-            common.release(spark)
-            more = _checked(rest, nodes, texts, similarity)
-            checked = checked.unionByName(more)
-            links = links.unionByName(more.where("ok").select("a", "b"))
+        again = near.join(torn, "root", "left_semi").select("id")
+        linked = components(links)
+        apart = nodes.join(again, "id", "left_semi").select("id", "words", *SIDES).join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rest = met.join(apart.select(short, "*"), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES, "root"]), "bucket long, packed binary")
+        rest = rest.groupBy("bucket").applyInArrow(_candidates(similarity, False), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        rest = common.cut(rest, "candidates", DEAL_ROWS)
+        common.release(spark)
+        more = _checked(rest, nodes, texts, similarity)
+        links = links.unionByName(more.where("ok").select("a", "b"))
     groups = nodes.select("id", "first", "n").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = common.cut(groups, "line-groups")
     kept = groups.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")

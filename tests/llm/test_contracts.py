@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proofloom.llm import language, licenses, pseudonyms, vectors
+from proofloom.llm import language, licenses, lines, pseudonyms, vectors
 
 
 def test_letters_are_those_of_all_planes():
@@ -93,3 +93,19 @@ def test_many_cells_hold_every_link(spark):
     same = got.component_id.to_numpy() == label
     assert same.mean() >= 0.999 and (got.component_id.to_numpy() >= label).all()
     assert (got.kept.to_numpy() == (got.component_id.to_numpy() == np.arange(len(x)))).all()
+
+
+def test_long_lines_are_compared_exactly():
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 80, rng.integers(150, 420)).astype(np.uint64) for _ in range(12)]
+    xs, ys = [], []
+    for k in range(60):
+        x = base[k % 12]
+        y = np.delete(x, rng.integers(0, len(x), rng.integers(0, 90))) if k % 3 else rng.permutation(x) if k % 2 else base[(k + 1) % 12]
+        xs.append(x)
+        ys.append(y)
+    most = np.array([max(len(x), len(y)) // 5 for x, y in zip(xs, ys, strict=True)])
+    true = [lines.edit_distance(x.tolist(), y.tolist()) for x, y in zip(xs, ys, strict=True)]
+    assert all(lines.bag_distance(x, y) <= d for x, y, d in zip(xs, ys, true, strict=True))
+    got = lines.within(xs, ys, most)
+    assert got.tolist() == [d <= m for d, m in zip(true, most, strict=True)] and 5 < got.sum() < 55
