@@ -38,7 +38,7 @@ FIRST = 2000
 #: A candidate gives way to a longer one that has so many percent of its occurrences.
 COVERED_PERCENT = 80
 #: Places of a chunk at least, where a task has them; a longer text stands alone.
-CHUNK = 1 << 20
+CHUNK = 3 << 19
 #: Different groups of chunks that a bucket should hold, and bytes of text for each, about; they decide the number of buckets alone.
 BUCKET, GROUP_BYTES = 500_000, 8
 #: Rows in an Arrow batch of packed groups.
@@ -62,7 +62,7 @@ _COUNTED = "chunk long, local binary, codes binary, code long, first long, secon
 def _packed(values: np.ndarray) -> bytes:
     """Whole numbers, byte by byte of all of them, compressed."""
     v = np.ascontiguousarray(values, "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(v.view(np.uint8).reshape(-1, 8).T.tobytes()) if len(v) else b""
+    return zstandard.ZstdCompressor(level=3).compress(v.view(np.uint8).reshape(-1, 8).T.tobytes()) if len(v) else b""
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
