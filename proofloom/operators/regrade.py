@@ -23,6 +23,8 @@ from .shared import cut
 FIRST, OTHERS, SETS = 10, 100, 150
 #: Levels of children that are followed one by one; beyond, the whole rollup is clamped by doubling.
 LEVELS = 6
+#: From this part of all propositions on, a regrade reads all rows once instead of picking those of its keys.
+MOST = 1 / 8
 
 
 @dataclass(frozen=True)
@@ -49,19 +51,20 @@ class Evidence:
 
     def wide(self, roots: DataFrame) -> DataFrame:
         """Every count and flag of all propositions, written once."""
-        obs = cut(evidence.build_observations(self.raw, self.documents, self.propositions).select(*evidence.GRADED), "observations")
-        return cut(score.gather(self.propositions, obs, roots, self.profiles, self.witnesses), "wide")
+        witnesses = cut(self.witnesses, "witnesses")  # a few rows out of many: read once
+        counts = evidence.all_counts(self.raw, self.documents, self.propositions, roots, witnesses)
+        return cut(score.gather(self.propositions, counts, self.profiles), "wide")
 
 
 def _column(df: DataFrame, name: str) -> DataFrame:
     return df.select(name).distinct()
 
 
-def grade_own(e: Evidence, roots: DataFrame) -> DataFrame:
-    """ROLLUP less `final` of all propositions: grades before their parents clamp them."""
+def grade_own(e: Evidence, roots: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """ROLLUP less `final` of all propositions, and the named counts: grades before their parents clamp them."""
     wide = e.wide(roots)
-    sets = score.candidate_sets(e.propositions, score.evaluate(wide), e.sets)
-    return score.evaluate(wide, sets.select("candidate_set_id", "program_ok")).select(*ROLLUP[:-1])
+    sets = score.candidate_sets(None, score.evaluate(wide), e.sets)
+    return score.evaluate(wide, sets.select("candidate_set_id", "program_ok")).select(*ROLLUP[:-1], *more)
 
 
 def grade_all(e: Evidence, roots: DataFrame) -> DataFrame:
@@ -72,6 +75,10 @@ def grade_all(e: Evidence, roots: DataFrame) -> DataFrame:
 ROLLUP = ["proposition_id", "entity_id", "class", "parent_id", "candidate_set_id", "grade", "final"]
 
 
+def _most(keys: DataFrame, of: DataFrame) -> bool:
+    return keys.count() >= MOST * of.count()
+
+
 def grade_keys(e: Evidence, roots: DataFrame, keys: DataFrame) -> DataFrame:
     """ROLLUP less `final` of the keys (proposition_id), from their own evidence."""
     asked = e.propositions.join(keys, "proposition_id", "left_semi")
@@ -79,8 +86,12 @@ def grade_keys(e: Evidence, roots: DataFrame, keys: DataFrame) -> DataFrame:
     members = e.propositions.join(touched, "candidate_set_id", "left_semi")
     programs = members.where("class = 'PROGRAM'").select("proposition_id")
     scope = cut(keys.select("proposition_id").unionByName(programs).distinct(), "scope")
-    part = e.of(scope)
-    wide = part.wide(roots.join(_column(part.raw, "document_id").withColumnRenamed("document_id", "node"), "node", "left_semi"))
+    if _most(scope, e.propositions):  # rows of other propositions fall out where rows meet their proposition
+        near = lambda df: df.join(scope, "proposition_id", "left_semi")
+        wide = replace(e, propositions=near(e.propositions), profiles=near(e.profiles)).wide(roots)
+    else:
+        part = e.of(scope)
+        wide = part.wide(roots.join(_column(part.raw, "document_id").withColumnRenamed("document_id", "node"), "node", "left_semi"))
     sets = score.candidate_sets(members, score.evaluate(wide), e.sets)
     graded = score.evaluate(wide, sets.select("candidate_set_id", "program_ok"))
     return graded.join(keys, "proposition_id", "left_semi").select(*ROLLUP[:-1])
@@ -130,7 +141,8 @@ def drain(stored: DataFrame, e: Evidence, roots: DataFrame, dirty: DataFrame) ->
         return stored, stored.where("false").select("proposition_id")
     rest = stored.join(regraded.select("proposition_id"), "proposition_id", "left_anti")
     own = cut(rest.select(*ROLLUP).unionByName(regraded.join(stored.select("proposition_id", "final"), "proposition_id", "left").select(*ROLLUP)), "rollup-own")
-    return cut(_carried(own, regraded.select("proposition_id")), "rollup"), regraded.select("proposition_id")
+    whole = _most(regraded, own)
+    return cut(score.clamp(own.drop("final")).select(*ROLLUP) if whole else _carried(own, regraded.select("proposition_id")), "rollup"), regraded.select("proposition_id")
 
 
 def _carried(own: DataFrame, keys: DataFrame) -> DataFrame:
@@ -154,8 +166,8 @@ def _carried(own: DataFrame, keys: DataFrame) -> DataFrame:
 # ---- other worlds
 
 
-def grade_worlds(e: Evidence, roots: DataFrame, worlds: dict[str, Callable[[Evidence], Evidence]]) -> DataFrame:
-    """(world, ROLLUP less `final`) of several worlds, graded in one pass.
+def grade_worlds(e: Evidence, roots: DataFrame, worlds: dict[str, Callable[[Evidence], Evidence]], more: tuple[str, ...] = ()) -> DataFrame:
+    """(world, ROLLUP less `final`, the named counts) of several worlds, graded in one pass.
 
     A world changes propositions, rows, profiles or sets; documents, citations and witnesses are
     shared. The keys of each world's rows carry its number, so that counts, lineages and sets of all worlds
@@ -169,7 +181,7 @@ def grade_worlds(e: Evidence, roots: DataFrame, worlds: dict[str, Callable[[Evid
     joint = Evidence(both("propositions"), both("raw"), e.documents, e.citations, both("profiles"), e.witnesses, both("sets"))
     own = lambda c: F.expr(f"{c} div {len(names)}").alias(c)
     world = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.col("proposition_id"), F.lit(len(names))) + 1).cast("int"))
-    graded = grade_own(joint, roots)
+    graded = grade_own(joint, roots, more)
     return graded.select(world.alias("world"), *(own(c) if c in ("proposition_id", "parent_id", "candidate_set_id") else c for c in graded.columns))
 
 
