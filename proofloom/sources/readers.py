@@ -25,6 +25,16 @@ def blobs(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
     """(name_of_blob, intact, in_ledger): whether the name of each blob's folder is the hash of its bytes as they are, and whether the ledger (sha) has it. Spark's file scans leave out files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
     hashed = files.select(F.regexp_extract("path", r"sha=([0-9a-f]{64})", 1).alias("name_of_blob"), F.sha2("content", 256).alias("hash"))
+    return _looked_up(hashed, ledger)
+
+
+def packed_blobs(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
+    """blobs of a folder of packs: columnar files with name and content (bytes) of many blobs each, as a file a blob is too many files to list and open."""
+    hashed = spark.read.schema("name string, content binary").parquet(path).select(F.col("name").alias("name_of_blob"), F.sha2("content", 256).alias("hash"))
+    return _looked_up(hashed, ledger)
+
+
+def _looked_up(hashed: DataFrame, ledger: DataFrame) -> DataFrame:
     known = ledger.select(F.col("sha").alias("name_of_blob"), F.lit(True).alias("hit")).distinct()
     return hashed.join(known, "name_of_blob", "left").select("name_of_blob", (F.col("hash") == F.col("name_of_blob")).alias("intact"), F.coalesce("hit", F.lit(False)).alias("in_ledger"))
 

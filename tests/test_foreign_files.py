@@ -37,3 +37,20 @@ def test_blobs_are_hashed_as_they_are(spark, tmp_path):
 def test_labels_only_lower_and_only_one_turns_the_sign(spark, magnitude, sign, label, want):
     df = spark.createDataFrame([(magnitude, sign, label)], "m int, s string, l string")
     assert tuple(df.select(*derived.demoted(F.col("m"), F.col("s"), F.col("l"))).first()) == want
+
+
+def test_packed_blobs_are_hashed_as_they_are(spark, tmp_path):
+    bodies = [b"no newline at the end", b"one\n", b"", b"\xff\xfe\x00binary", b"tampered"]
+    packs = [(sha256(b if b != b"tampered" else b"other").hexdigest(), bytearray(b)) for b in bodies]
+    spark.createDataFrame(packs, "name string, content binary").repartition(2).write.parquet(str(tmp_path / "packs"))
+    got = {r.name_of_blob: (r.intact, r.in_ledger) for r in readers.packed_blobs(spark, str(tmp_path / "packs"), spark.createDataFrame([(packs[1][0],), (packs[1][0],)], "sha string")).collect()}
+    assert got == {name: (bytes(b) != b"tampered", k == 1) for k, (name, b) in enumerate(packs)}
+
+
+def test_blob_scan_writes_few_files(spark, tmp_path, monkeypatch):
+    from proofloom.plans import loads
+    from proofloom.plans.register import Register
+
+    monkeypatch.setattr(loads, "_folder", lambda r: str(tmp_path / "blobs"))
+    assert loads.blob_scan(Register(spark, "/root/testdata/sf0.001")).where("intact").count() > 50
+    assert len(list((tmp_path / "blobs").rglob("*.parquet"))) <= spark.sparkContext.defaultParallelism
