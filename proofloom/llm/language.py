@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,8 +30,8 @@ SEED = 20_011
 UNIT = 1_000_000
 #: Least cosine of a recognised text where no labelled texts of its length say more: about what unrelated vectors reach by chance.
 LEAST_COSINE = 0.05
-#: Labelled texts that the least cosines are taken from at most, by hash; the part of them that may lie lower; and how far below them texts still pass.
-FLOOR_ROWS, FLOOR_SHARE, FLOOR_PART = 20_000, 0.01, 1 / 3
+#: The part of all labelled texts that may lie below a length's usual cosine, how far below it texts still pass, and the steps that cosines are counted in.
+FLOOR_SHARE, FLOOR_PART, FLOOR_STEPS = 0.01, 1 / 3, 10_000
 #: Lengths are told apart by powers of two of their letters.
 BANDS = 40
 
@@ -250,23 +250,28 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
 def floors(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col: str = "text", lang_col: str = "lang", seed: int = SEED) -> np.ndarray:
     """The least cosine for each band of length: FLOOR_PART of what all but FLOOR_SHARE of the labelled texts of this and the two neighbouring bands reach.
 
-    Fitted on FLOOR_ROWS labelled texts at most; BANDS rows reach the driver. LEAST_COSINE where no text says more.
+    Every labelled text counts: each task adds up how many of its texts have which cosine (in steps of 1 / FLOOR_STEPS, rounded
+    down), so at most BANDS x (2 * FLOOR_STEPS + 1) counts a task travel and BANDS rows reach the driver. LEAST_COSINE where no text says more.
     """
-    rows = common.columns(docs, text=(text_col, "string"), lang=(lang_col, "string")).where("lang is not null and text is not null")
-    step = max(1, -(-rows.count() // FLOOR_ROWS))
-    least = np.full(BANDS, LEAST_COSINE)
+    rows = common.columns(docs, text=(text_col, "string"), lang=(lang_col, "string")).where("lang is not null and text is not null").select("text")
+    least, wide = np.full(BANDS, LEAST_COSINE), 2 * FLOOR_STEPS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles = Profiles(prototypes, seed)
+        profiles, total = Profiles(prototypes, seed), np.zeros(BANDS * wide, np.int64)
         for batch in batches:
             best, cosine, band = profiles.best(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(band[best >= 0]), pa.array(cosine[best >= 0])], names=["band", "cosine"])
-
-    found = rows.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(common.tidied(run), "band long, cosine double")
-    around = found.select(F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), "cosine")
+            step = np.clip(np.floor(cosine * FLOOR_STEPS).astype(np.int64) + FLOOR_STEPS, 0, wide - 1)
+            total += np.bincount((band * wide + step)[best >= 0], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // wide), pa.array(at % wide - FLOOR_STEPS), pa.array(total[at])], names=["band", "step", "n"])
+
+    found = rows.mapInArrow(common.tidied(run), "band long, step long, n long")
+    around = found.select(F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), "step", "n").where(F.col("band").between(0, BANDS - 1))
+    upto = Window.partitionBy("band").orderBy("step")
+    counted = around.groupBy("band", "step").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("band"))})
     with common.arrow_rows(docs.sparkSession, common.TEXT_ROWS):
-        for row in around.where(F.col("band").between(0, BANDS - 1)).groupBy("band").agg(F.percentile_approx("cosine", FLOOR_SHARE, 10_000).alias("low")).collect():
-            least[row.band] = max(LEAST_COSINE, FLOOR_PART * row.low)
+        for row in counted.where(F.col("upto") >= F.col("all") * FLOOR_SHARE).groupBy("band").agg(F.min("step").alias("low")).collect():
+            least[row.band] = max(LEAST_COSINE, FLOOR_PART * row.low / FLOOR_STEPS)
     return least
 
 
