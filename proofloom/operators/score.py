@@ -69,7 +69,8 @@ def evaluate(wide: DataFrame, program_grades: DataFrame | None = None) -> DataFr
     w = w.withColumn("caps", F.array_compact(F.array(*(F.when(ranked & on, F.lit(name)) for name, on, _ in caps))))
     rank = exprs.grade_rank(c("awarded"))
     low = F.least(rank, *(F.when(on, F.lit(vocab.RANKED[to])) for _, on, to in caps))
-    w = w.withColumn("capped", F.when(ranked, exprs.rank_grade(low)).otherwise(c("awarded")))
+    # a column of its own: written out in each of rank_grade's comparisons it would make a method too large for the JVM to translate
+    w = w.withColumn("low", low).withColumn("capped", F.when(ranked, exprs.rank_grade(c("low"))).otherwise(c("awarded"))).drop("low")
     floored = (c("search_index") < 500) & c("capped").isin("D", "E", "F")
     w = w.withColumn("caps", F.when(floored, F.array_append("caps", F.lit("SCI-FLOOR"))).otherwise(c("caps"))).withColumn("grade", F.when(floored, "X").otherwise(c("capped")))
     none_expected = (c("search_n") == 0) & (c("n_v_claim") == 0)
@@ -78,7 +79,8 @@ def evaluate(wide: DataFrame, program_grades: DataFrame | None = None) -> DataFr
     w = w.withColumn("marginal", marginal).withColumn("at_ceiling", c("grade") == c("ceiling")).withColumn("cap_text", F.array_join("caps", ","))
     w = w.withColumn("ceiling_reason", F.when(c("citogenesis"), "citogenesis").when(none_expected, "no record of the claim is expected"))
     capped = (F.size("caps") > 0) & (c("grade") != c("awarded"))
-    return w.withColumn("limiting", F.when(capped, F.concat(F.coalesce(limiting(), F.lit("")), F.lit(" [capped by "), F.array_join("caps", ", "), F.lit("]"))).otherwise(limiting()))
+    w = w.withColumn("limiting", limiting())
+    return w.withColumn("limiting", F.when(capped, F.concat(F.coalesce("limiting", F.lit("")), F.lit(" [capped by "), F.array_join("caps", ", "), F.lit("]"))).otherwise(c("limiting")))
 
 
 def limiting() -> Column:
@@ -120,7 +122,7 @@ def clamp(graded: DataFrame, unranked_parent: bool = False) -> DataFrame:
     own grade; parents in a circle are an error.
     """
     c, rank = F.col, exprs.grade_rank(F.col("grade"))
-    own = cut(graded, "own")
+    own = cut(graded.select("proposition_id", "class", "parent_id", "grade"), "own")  # what the way up needs; other columns come back at the end
     free = c("class").isin("EXIST", "PROGRAM", "ORIGIN") | c("parent_id").isNull() | rank.isNull()
     known = own.where(rank.isNotNull() | F.lit(unranked_parent)).select(c("proposition_id").alias("jump"), F.lit(True).alias("holds"))
     ways = own.select("proposition_id", rank.alias("low"), F.when(rank.isNull(), c("grade")).alias("mark"), F.when(~free, c("parent_id")).alias("jump"))
@@ -135,4 +137,4 @@ def clamp(graded: DataFrame, unranked_parent: bool = False) -> DataFrame:
         step = now.where("jump is not null").join(ends, "jump").select("proposition_id", F.least("low", "low_up").alias("low"), F.coalesce("mark", "mark_up").alias("mark"), c("next").alias("jump"))
         now = cut(now.where("jump is null").unionByName(step), "ways")
     final = F.coalesce("mark", exprs.rank_grade(c("low")))
-    return own.join(now.select("proposition_id", final.alias("final")), "proposition_id").withColumn("clamped", c("final") != c("grade"))
+    return graded.join(now.select("proposition_id", final.alias("final")), "proposition_id").withColumn("clamped", c("final") != c("grade"))

@@ -41,8 +41,9 @@ class Register:
 
     @cached_property
     def graded(self) -> DataFrame:
+        """Not written, so that a query computes the columns it shows alone."""
         sets = score.candidate_sets(None, self.first_grades, self.table("candidate_set"))
-        return cut(score.evaluate(self.wide, sets.select("candidate_set_id", "program_ok")), "graded")
+        return score.evaluate(self.wide, cut(sets.select("candidate_set_id", "program_ok"), "sets"))
 
     @cached_property
     def final(self) -> DataFrame:
