@@ -10,7 +10,8 @@ of their word hashes allow d edits, which no linked pair fails. Of each connecte
 occurrences the first by (doc_id, line number) stays, all others are removed.
 
 A bucket first gives a spanning forest of its candidate pairs; only where the edit similarity turns
-one of those down are all its other pairs compared. Shorter lines are never touched. Null texts stay
+one of those down are its other pairs compared, those left by wider parities of the words that count a
+word's repeats too. Shorter lines are never touched. Null texts stay
 null and empty ones empty; rows without doc_id are left as they are; repeated rows of one doc_id
 share their lines and are changed alike; an empty table gives no rows; all columns are kept.
 """
@@ -31,6 +32,8 @@ MIN_WORDS = 4
 SIMILARITY = 0.8
 #: Columns of 64 parities each.
 SIDES = ["s0", "s1", "s2", "s3"]
+#: Columns of 64 parities each of the words with their repeats, where groups are searched again.
+BAGS = [f"w{k}" for k in range(16)]
 #: Words of a run at most.
 RUN = 4
 #: Runs that a bucket of candidate search should hold.
@@ -237,32 +240,38 @@ def _deal(buckets: int, columns: list[str]):
     return run
 
 
-def _pairs(key: np.ndarray, n: np.ndarray, sides: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs with equal key whose lengths and parities allow similarity; rows are sorted by key and n."""
+def _pairs(key: np.ndarray, n: np.ndarray, sides: list[np.ndarray], least: float, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs with equal key, of different parts if these are given, whose lengths and parities allow similarity; rows are sorted by key and n."""
     starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     length = np.diff(np.append(starts, len(key)))
     run_end = np.repeat(starts + length, length)
     stay = least_words(n, least)
-    differ = 2 * (n - stay)  # an edit changes two words at most
+    differ = 2 * (n - stay) - n  # an edit changes two words at most, and one that makes up for a difference in length one
     shift, alive = 1, np.flatnonzero(np.repeat(length, length) > 1)
     while len(alive):
         alive = alive[alive + shift < run_end[alive]]
         alive = alive[n[alive] >= stay[alive + shift]]
-        near = alive[np.bitwise_count(sides[alive] ^ sides[alive + shift]).sum(axis=1) <= differ[alive + shift]]
+        near = alive if part is None else alive[part[alive] != part[alive + shift]]
+        for table in sides:  # narrow ones first, a stretch at a time
+            near = np.concatenate([some[np.bitwise_count(table[some] ^ table[some + shift]).sum(axis=1) <= differ[some + shift] + n[some]] for some in np.split(near, range(1 << 15, len(near), 1 << 15))])
         if len(near):
             yield near, near + shift
         shift += 1
 
 
 def _candidates(least: float, forest: bool):
+    """Pairs of a bucket: a forest of them; or all between different parts, rows of which have their part and bags too."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(p.as_py(), np.int64) for p in table.column("packed")])
-        rows = rows.reshape(-1, len(SIDES) + (3 if forest else 4))
+        rows = rows.reshape(-1, 3 + len(SIDES) + (0 if forest else 1 + len(BAGS)))
         rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
         node, label = np.unique(rows[:, 1], return_inverse=True)
         root = np.arange(len(node))
         out: list[np.ndarray] = []
-        for a, b in _pairs(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 2]), np.ascontiguousarray(rows[:, 3 : 3 + len(SIDES)]).view(_U), least):
+        edge = 3 + len(SIDES)
+        sides = [np.ascontiguousarray(x).view(_U) for x in ([rows[:, 3:edge]] if forest else [rows[:, 3:edge], rows[:, edge + 1 :]])]
+        for a, b in _pairs(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 2]), sides, least, None if forest else np.ascontiguousarray(rows[:, edge])):
             if forest:  # links between parts that are not joined yet, one for each part that moves
                 a, b = label[a], label[b]
                 while True:
@@ -277,8 +286,7 @@ def _candidates(least: float, forest: bool):
                     while (root[root] != root).any():
                         root = root[root]
             else:
-                cross = rows[a, -1] != rows[b, -1]
-                out.append(np.stack([rows[a[cross], 1], rows[b[cross], 1]]))
+                out.append(np.stack([rows[a, 1], rows[b, 1]]))
         found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         found = np.unique(np.sort(found, axis=0), axis=1)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
@@ -364,6 +372,24 @@ def within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.n
     return ok
 
 
+def bag_parities(x: np.ndarray) -> np.ndarray:
+    """64 parities in each of len(BAGS) numbers, of a line's words; a word's repeats count as further words, so an edit changes two of them at most."""
+    x = np.sort(x)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+    nth = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    place = words.mix(x + nth.astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(64 * len(BAGS))
+    odd = np.bincount(place.astype(np.int64), minlength=64 * len(BAGS)) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and parities of lines with their word hashes."""
+    for batch in batches:
+        if len(batch):
+            rows = np.stack([bag_parities(np.frombuffer(v.as_py(), _U)) for v in batch.column("words")])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(BAGS)))], names=["id", *BAGS])
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -445,25 +471,33 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     met = common.cut(runs.groupBy("bucket").applyInArrow(_meet(similarity), "key long, short long"), "line-runs", common.TEXT_ROWS)
     common.release(spark)
     short = F.col("id").bitwiseAND(F.lit(_ID)).alias("short")
-    dealt = met.join(nodes.select(short, "id", "words", *SIDES), "short").mapInArrow(common.tidied(_deal(buckets, ["key", "id", "words", *SIDES])), "bucket long, packed binary")
+    dealt = met.join(nodes.select(short, "id", "words", *SIDES).hint("shuffle_hash"), "short").mapInArrow(common.tidied(_deal(buckets, ["key", "id", "words", *SIDES])), "bucket long, packed binary")
     tree = common.cut(dealt.groupBy("bucket").applyInArrow(_candidates(similarity, True), "a long, b long").distinct(), "candidates", DEAL_ROWS)
     common.release(spark)
-    checked = _checked(tree, nodes, texts, similarity)
-    links = checked.where("ok").select("a", "b")
+    worded = _worded(tree, nodes, texts)
+    checked = _checked(tree, worded, similarity)
+    linked = components(checked.where("ok"))
+    named = nodes.select("id", "first", "n").join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
     if not checked.where("not ok").isEmpty():
-        # groups in which the edit similarity turned a pair down: all other near pairs between what is still apart
+        # groups in which the edit similarity turned a pair down: all other near pairs between what is still apart, by parities of their words that do not fill up so soon
         near = components(checked)
         torn = checked.where("not ok").select(F.col("a").alias("id")).distinct().join(near, "id").select("root").distinct()
         again = near.join(torn, "root", "left_semi").select("id")
-        linked = components(links)
-        apart = nodes.join(again, "id", "left_semi").select("id", "words", *SIDES).join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rest = met.join(apart.select(short, "*"), "short").mapInArrow(_deal(buckets, ["key", "id", "words", *SIDES, "root"]), "bucket long, packed binary")
+        bags = worded.join(again, "id", "left_semi").mapInArrow(common.tidied(_bags), ", ".join(f"{c} long" for c in ("id", *BAGS)))
+        apart = nodes.select("id", "words", *SIDES).join(bags, "id").join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        apart = common.cut(apart, "apart", DEAL_ROWS)
+        columns = ["key", "id", "words", *SIDES, "root", *BAGS]
+        rest = met.join(apart.select(short, *columns[1:]), "short").mapInArrow(common.tidied(_deal(buckets, columns)), "bucket long, packed binary")
         rest = rest.groupBy("bucket").applyInArrow(_candidates(similarity, False), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         rest = common.cut(rest, "candidates", DEAL_ROWS)
         common.release(spark)
-        more = _checked(rest, nodes, texts, similarity)
-        links = links.unionByName(more.where("ok").select("a", "b"))
-    groups = nodes.select("id", "first", "n").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = _checked(rest, worded, similarity).where("ok").select("a", "b")
+        # links between groups that are whole so far, so only these join
+        root = apart.select("id", "root")
+        more = more.join(root.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").select("ra", "rb")
+        joined = components(more, "ra", "rb").select(F.col("id").alias("root"), F.col("root").alias("into"))
+        named = named.join(joined, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
+    groups = named
     groups = common.cut(groups, "line-groups")
     kept = groups.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     of_line = groups.select("id", "root").join(kept, "root").select("id", "kept")
@@ -471,12 +505,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with ok: whether the edit similarity of their normalised lines is enough."""
+def _worded(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and word hashes of the lines in pairs."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     places = common.cut(nodes.join(ends, "id", "left_semi").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "places")
     found = texts.mapInArrow(common.tidied(_texts(_bitmap(places.select("doc_id", "line")))), "id long, words binary")
-    worded = common.cut(found.join(places.select("id"), "id", "left_semi").dropDuplicates(["id"]), "worded", common.TEXT_ROWS)
+    return common.cut(found.join(places.select("id"), "id", "left_semi").dropDuplicates(["id"]), "worded", common.TEXT_ROWS)
+
+
+def _checked(pairs: DataFrame, worded: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with ok: whether the edit similarity of their normalised lines is enough."""
     x, y = worded.select(F.col("id").alias("a"), F.col("words").alias("x")), worded.select(F.col("id").alias("b"), F.col("words").alias("y"))
     return common.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(common.tidied(_verify(similarity)), "a long, b long, ok boolean"), "checked", PAIR_ROWS)
 
