@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evidence, graph, score
-from .shared import cut
+from .shared import cut, having, marks
 
 #: Priorities of dirty propositions: parents of others first.
 FIRST, OTHERS, SETS = 10, 100, 150
@@ -29,7 +29,7 @@ MOST = 1 / 8
 
 @dataclass(frozen=True)
 class Evidence:
-    """The tables that grades are computed from."""
+    """The tables that grades are computed from; members: those of candidate sets, where propositions are only some of them."""
 
     propositions: DataFrame
     raw: DataFrame
@@ -38,13 +38,15 @@ class Evidence:
     profiles: DataFrame
     witnesses: DataFrame
     sets: DataFrame
+    members: DataFrame | None = None
 
     def roots(self) -> DataFrame:
         return graph.components(self.citations.where("collapses"))
 
     def of(self, keys: DataFrame) -> Evidence:
         """What propositions with these keys read; sets and citations stay."""
-        near = lambda df: df.join(keys, "proposition_id", "left_semi")
+        marked = marks(keys)
+        near = lambda df: having(df, keys, marked)
         raw = cut(near(self.raw), "raw-of-keys")
         documents = self.documents.join(raw.select("document_id").distinct(), "document_id", "left_semi")
         return Evidence(near(self.propositions), raw, documents, self.citations, near(self.profiles), self.witnesses, self.sets)
@@ -63,7 +65,7 @@ def _column(df: DataFrame, name: str) -> DataFrame:
 def grade_own(e: Evidence, roots: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """ROLLUP less `final` of all propositions, and the named counts: grades before their parents clamp them."""
     wide = e.wide(roots)
-    sets = score.candidate_sets(None, score.evaluate(wide), e.sets)
+    sets = score.candidate_sets(e.members, score.evaluate(wide), e.sets)
     return score.evaluate(wide, sets.select("candidate_set_id", "program_ok")).select(*ROLLUP[:-1], *more)
 
 
@@ -79,8 +81,8 @@ def _most(keys: DataFrame, of: DataFrame) -> bool:
     return keys.count() >= MOST * of.count()
 
 
-def grade_keys(e: Evidence, roots: DataFrame, keys: DataFrame) -> DataFrame:
-    """ROLLUP less `final` of the keys (proposition_id), from their own evidence."""
+def _part(e: Evidence, roots: DataFrame, keys: DataFrame) -> tuple[Evidence, DataFrame]:
+    """(evidence, roots) that grades of the keys (proposition_id) read: of the keys and of programs in their candidate sets."""
     asked = e.propositions.join(keys, "proposition_id", "left_semi")
     touched = cut(_column(asked.where("candidate_set_id is not null"), "candidate_set_id"), "touched-sets")
     members = e.propositions.join(touched, "candidate_set_id", "left_semi")
@@ -88,13 +90,14 @@ def grade_keys(e: Evidence, roots: DataFrame, keys: DataFrame) -> DataFrame:
     scope = cut(keys.select("proposition_id").unionByName(programs).distinct(), "scope")
     if _most(scope, e.propositions):  # rows of other propositions fall out where rows meet their proposition
         near = lambda df: df.join(scope, "proposition_id", "left_semi")
-        wide = replace(e, propositions=near(e.propositions), profiles=near(e.profiles)).wide(roots)
-    else:
-        part = e.of(scope)
-        wide = part.wide(roots.join(_column(part.raw, "document_id").withColumnRenamed("document_id", "node"), "node", "left_semi"))
-    sets = score.candidate_sets(members, score.evaluate(wide), e.sets)
-    graded = score.evaluate(wide, sets.select("candidate_set_id", "program_ok"))
-    return graded.join(keys, "proposition_id", "left_semi").select(*ROLLUP[:-1])
+        return replace(e, propositions=near(e.propositions), profiles=near(e.profiles), members=members), roots
+    part = replace(e.of(scope), members=members)
+    return part, roots.join(_column(part.raw, "document_id").withColumnRenamed("document_id", "node"), "node", "left_semi")
+
+
+def grade_keys(e: Evidence, roots: DataFrame, keys: DataFrame) -> DataFrame:
+    """ROLLUP less `final` of the keys (proposition_id), from their own evidence."""
+    return grade_own(*_part(e, roots, keys)).join(keys, "proposition_id", "left_semi")
 
 
 def dirty_keys(e: Evidence, rows: DataFrame | None = None, documents: DataFrame | None = None, roots: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -169,7 +172,7 @@ def _carried(own: DataFrame, keys: DataFrame) -> DataFrame:
 def grade_worlds(e: Evidence, roots: DataFrame, worlds: dict[str, Callable[[Evidence], Evidence]], more: tuple[str, ...] = ()) -> DataFrame:
     """(world, ROLLUP less `final`, the named counts) of several worlds, graded in one pass.
 
-    A world changes propositions, rows, profiles or sets; documents, citations and witnesses are
+    A world changes propositions, rows, profiles, sets or their members; documents, citations and witnesses are
     shared. The keys of each world's rows carry its number, so that counts, lineages and sets of all worlds
     are made by the same shuffles and never mix.
     """
@@ -178,7 +181,7 @@ def grade_worlds(e: Evidence, roots: DataFrame, worlds: dict[str, Callable[[Evid
     keyed = lambda df, k: df.select(*(key(c, k) if c in ("proposition_id", "parent_id", "candidate_set_id") else c for c in df.columns))
     each = [worlds[name](e) for name in names]
     both = lambda what: reduce(DataFrame.unionByName, (keyed(getattr(w, what), k) for k, w in enumerate(each)))
-    joint = Evidence(both("propositions"), both("raw"), e.documents, e.citations, both("profiles"), e.witnesses, both("sets"))
+    joint = Evidence(both("propositions"), both("raw"), e.documents, e.citations, both("profiles"), e.witnesses, both("sets"), None if e.members is None else both("members"))
     own = lambda c: F.expr(f"{c} div {len(names)}").alias(c)
     world = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.col("proposition_id"), F.lit(len(names))) + 1).cast("int"))
     graded = grade_own(joint, roots, more)
@@ -195,21 +198,50 @@ def second_null(e: Evidence, null_id: Column) -> Evidence:
     return replace(e, propositions=e.propositions.withColumns({"null_id": null_id, "null_selected": F.lit(True)}))
 
 
-def merged(e: Evidence, merges: DataFrame, identity: list[str]) -> tuple[Evidence, DataFrame]:
+def _into(merges: DataFrame) -> DataFrame:
+    """(entity_id, root) of entities that merges (a, b) name: what they connect is one, an entity merged with itself is one by itself."""
+    alone = merges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    both = graph.components(merges, "a", "b").unionByName(alone)
+    return cut(both.groupBy(F.col("node").alias("entity_id")).agg(F.min("root").alias("root")), "into")
+
+
+def _least(p: DataFrame, identity: list[str]) -> DataFrame:
+    """root, identity, least and pooled: what propositions (beside the root of their entity) that agree in `identity` become, and how many they are."""
+    return p.where("root is not null").groupBy("root", *identity).agg(F.min("proposition_id").alias("least"), F.count("*").alias("pooled"))
+
+
+def grade_merged(e: Evidence, roots: DataFrame, merges: DataFrame, identity: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(graded, named): grades of propositions that a merge of entities would pool, as they are (world `now`) and as it makes them
+    (world `merged`), and (proposition_id, target) of these propositions. Others may stand beside them in graded.
+
+    All others keep the rows that they have, so the work follows what is pooled: both worlds are graded in one pass
+    over the rows of these propositions and of the programs that their candidate sets depend on.
+    """
+    into = _into(merges)
+    e = replace(e, propositions=cut(e.propositions, "propositions"))  # windows over all of them, read several times
+    p = cut(e.propositions.select("proposition_id", "entity_id", *identity).join(into, "entity_id"), "near")
+    named = p.join(_least(p, identity).where("pooled > 1"), ["root", *identity])
+    named = cut(named.select("proposition_id", F.col("least").alias("target")), "pooled")
+    part, near = _part(e, roots, named.select("proposition_id"))
+    return grade_worlds(part, near, {"now": lambda w: w, "merged": lambda w: merged(w, into, identity)[0]}), named
+
+
+def merged(e: Evidence, into: DataFrame, identity: list[str]) -> tuple[Evidence, DataFrame]:
     """The world in which entities are merged, and (proposition_id, target): which proposition each one's rows go to.
 
-    merges: a, b, any number of them; what they connect is one entity. Propositions of a merged entity
-    that agree in `identity` are one, named by the least of them: its rows are those of all, its
-    profiles its own. A parent that becomes the proposition itself is none.
+    into: entity_id, root. Propositions of a merged entity that agree in `identity` are one, named by the least
+    of them: its rows are those of all, its profiles its own. A parent that becomes the proposition itself is none.
     """
-    into = graph.components(merges, "a", "b").withColumnRenamed("node", "entity_id")
     p = e.propositions.join(into, "entity_id", "left").withColumn("whole", F.coalesce("root", "entity_id"))
-    least = p.where("root is not null").groupBy("whole", *identity).agg(F.min("proposition_id").alias("least"))
-    named = p.join(least, ["whole", *identity], "left").withColumn("target", F.coalesce("least", "proposition_id"))
+    named = p.join(_least(p, identity), ["root", *identity], "left").withColumn("target", F.coalesce("least", "proposition_id"))
     named = cut(named.select("proposition_id", "target", "whole"), "targets")
     heads = named.where("proposition_id = target").select("proposition_id", F.col("whole").alias("into"))
     to = named.select(F.col("proposition_id").alias("parent_id"), F.col("target").alias("up"))
     propositions = e.propositions.join(heads, "proposition_id").join(to, "parent_id", "left")
     propositions = propositions.select(*(F.col("into").alias(c) if c == "entity_id" else F.when(F.coalesce("up", "parent_id") != F.col("proposition_id"), F.coalesce("up", "parent_id")).alias(c) if c == "parent_id" else c for c in e.propositions.columns))
     raw = e.raw.join(named.select("proposition_id", "target"), "proposition_id").select(*(F.col("target").alias(c) if c == "proposition_id" else c for c in e.raw.columns))
-    return replace(e, propositions=propositions, raw=raw, profiles=e.profiles.join(heads, "proposition_id", "left_semi")), named.select("proposition_id", "target")
+    members = e.members
+    if members is not None:  # those that are not among the propositions stay, in their merged entity
+        gone = named.where("proposition_id <> target").select("proposition_id")
+        members = members.join(gone, "proposition_id", "left_anti").join(into, "entity_id", "left").select(*(F.coalesce("root", "entity_id").alias(c) if c == "entity_id" else c for c in members.columns))
+    return replace(e, propositions=propositions, raw=raw, profiles=e.profiles.join(heads, "proposition_id", "left_semi"), members=members), named.select("proposition_id", "target")

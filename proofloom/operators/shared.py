@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -29,3 +30,26 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         if rows is not None:
             spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the bitmap that keeps most rows without a wanted key from moving, in words of 64; when it fills up more rows move, and results stay.
+MARKS_LOG2 = 26
+
+
+def _mark(key: str) -> tuple[Column, Column]:
+    """A key's word and its bit there."""
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << MARKS_LOG2))
+    return F.shiftright(at, 6), (at % 64).cast("int")
+
+
+def marks(keys: DataFrame) -> DataFrame:
+    """(word, bits) of the bitmap that every key of the one-column frame hits: at most 2**20 rows, however many keys there are."""
+    word, bit = _mark(keys.columns[0])
+    hits = keys.select(word.alias("word"), bit.alias("bit")).selectExpr("word", "shiftleft(1L, bit) as bit")
+    return cut(hits.groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
+
+
+def having(df: DataFrame, keys: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of df whose key is one of keys (a column of whole numbers): most others fall to the keys' bitmap, a table of bounded size, before the exact join moves rows."""
+    word, bit = _mark(keys.columns[0])
+    return df.join(F.broadcast(marked), (word == F.col("word")) & (F.getbit("bits", bit) == 1), "left_semi").join(keys, keys.columns[0], "left_semi")

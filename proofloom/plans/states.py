@@ -199,11 +199,12 @@ named as (select p.proposition_id, coalesce(case when root is not null then min(
 => select target as proposition_id, pooled, coalesce(own, 0) as own_rank, a.grade as merged_grade, coalesce({_RANK.format('a.grade')}, 0) > coalesce(own, 0) as raised from best join after a on a.proposition_id = target where pooled > 1""", "graded")
 def merge_guard(r: Register) -> DataFrame:
     """Claims that a merge of entities would pool: the best rank that they have of their own, the grade of the pooled evidence, and whether it is higher, which stops the merge."""
-    e, near = r.evidence, r.table("entity").where("entity_id % 20 between 2 and 4")
-    world_after, named = regrade.merged(e, near.select((F.col("entity_id") - 1).alias("a"), F.col("entity_id").alias("b")), _IDENTITY)
-    before = regrade.grade_own(e, r.roots).select("proposition_id", exprs.grade_rank(F.col("grade")).alias("rank"))
-    own = named.join(before, "proposition_id").groupBy(F.col("target").alias("proposition_id")).agg(F.count("*").alias("pooled"), F.coalesce(F.max("rank"), F.lit(0)).alias("own_rank")).where("pooled > 1")
-    after = regrade.grade_own(world_after, r.roots).select("proposition_id", F.col("grade").alias("merged_grade"))
+    near = r.table("entity").where("entity_id % 20 between 1 and 4").select((F.col("entity_id") - F.col("entity_id") % 20 + 1).alias("a"), F.col("entity_id").alias("b"))
+    graded, named = regrade.grade_merged(r.evidence, r.roots, near, _IDENTITY)
+    graded = cut(graded.select("world", "proposition_id", "grade"), "worlds")
+    before = graded.where("world = 'now'").select("proposition_id", exprs.grade_rank(F.col("grade")).alias("rank"))
+    own = named.join(before, "proposition_id").groupBy(F.col("target").alias("proposition_id")).agg(F.count("*").alias("pooled"), F.coalesce(F.max("rank"), F.lit(0)).alias("own_rank"))
+    after = graded.where("world = 'merged'").select("proposition_id", F.col("grade").alias("merged_grade"))
     return own.join(after, "proposition_id").withColumn("raised", F.coalesce(exprs.grade_rank(F.col("merged_grade")), F.lit(0)) > F.col("own_rank"))
 
 
